@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup, mixing
+from . import dedup, mixing, packing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,9 +16,16 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(table(spark, sf_dir, name))
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 QUERIES: dict[str, Query] = {
     "op2_mix_sources": _over("documents", mixing.mix_sources),
     "op5_exact_dedup": _over("documents", dedup.exact_dedup),
+    "op6_pack_documents": _over("documents", lambda docs: packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))),
 }
 
 SQL: dict[str, str] = {

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +39,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once per application."""
+    context = spark.sparkContext
+    if not getattr(context, "_corpus_shipped", False):
+        package = Path(__file__).resolve().parents[1]
+        with tempfile.TemporaryDirectory() as folder:
+            built = shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name)
+            context.addPyFile(built)
+        context._corpus_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

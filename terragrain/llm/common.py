@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,14 +41,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings that hold for a while, then go back to what they were."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once per application."""
     context = spark.sparkContext
     if not getattr(context, "_corpus_shipped", False):
         package = Path(__file__).resolve().parents[1]
-        with tempfile.TemporaryDirectory() as folder:
-            built = shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name)
-            context.addPyFile(built)
+        folder = tempfile.mkdtemp()  # the driver serves the file from here as long as it runs
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
         context._corpus_shipped = True
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup, langid, mixing, packing
+from . import dedup, jaccard, langid, mixing, packing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,7 @@ def tokenizer_path(name: str) -> str:
 QUERIES: dict[str, Query] = {
     "op2_mix_sources": _over("documents", mixing.mix_sources),
     "op3_language_id": _over("documents", langid.identify_language),
+    "op4_ngram_jaccard": _over("documents", jaccard.similarity_components),
     "op5_exact_dedup": _over("documents", dedup.exact_dedup),
     "op6_pack_documents": _over("documents", lambda docs: packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))),
 }

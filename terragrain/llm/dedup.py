@@ -10,12 +10,11 @@ the claim is believed; rows that share a digest but not a text are grouped by th
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, min_by_order
+from .common import fresh_path, materialise, min_by_order, settings
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -29,20 +28,6 @@ def sha256_digest(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-@contextmanager
-def _settings(spark: SparkSession, **values: str):
-    """Session settings that hold while a stream starts, then go back to what they were."""
-    names = {k.replace("__", "."): v for k, v in values.items()}
-    before = {k: spark.conf.get(k, None) for k in names}
-    try:
-        for k, v in names.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def stage(docs: DataFrame, path: str, text: str = "text", digest: Callable[[Column], Column] = sha256_digest) -> None:
     """Adds to the staged table at ``path``: the columns of ``docs`` under ``row`` and, beside them, locator and digest."""
     sha = F.sha2(normalised(F.col(text)), 256)
@@ -62,7 +47,7 @@ def update_state(spark: SparkSession, staged: str, state: str, doc_id: str = "do
     digest: digest, first (struct: doc_id and locator of the row that stays), group_size.
     """
     schema = spark.read.parquet(staged).schema
-    with _settings(spark, **{"spark__sql__streaming__stateStore__providerClass": ROCKSDB}):
+    with settings(spark, {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}):
         kept = (
             spark.readStream.schema(schema)
             .parquet(staged)
@@ -87,6 +72,7 @@ def compare_bytes(rows: DataFrame, state: DataFrame, text: str = "text") -> Data
     """
     hits = state.where("group_size > 1").select("digest", F.col("first.locator").alias("keeper"))
     full = rows.select("digest", "locator", normalised(F.col(f"row.{text}")).alias("full")).join(hits, "digest")
+    full = materialise(full, "dedup-hits")
     keepers = full.where(F.col("locator") == F.col("keeper")).select("digest", F.col("full").alias("kept_full"))
     return full.where(F.col("locator") != F.col("keeper")).join(keepers, "digest").where(F.col("full") != F.col("kept_full")).select("digest", "locator", "full")
 

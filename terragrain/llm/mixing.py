@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import materialise, word_count
 
 #: Rows that one running sum covers, on average.
-BLOCK_ROWS = 16_384
+BLOCK_ROWS = 2_048
 
 
 def shuffle_key(doc_id: Column) -> Column:

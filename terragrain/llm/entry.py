@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup, jaccard, langid, mixing, packing
+from . import dedup, jaccard, langid, mixing, packing, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,7 @@ def tokenizer_path(name: str) -> str:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_topk_search": _over("embeddings", topk.search_embeddings),
     "op2_mix_sources": _over("documents", mixing.mix_sources),
     "op3_language_id": _over("documents", langid.identify_language),
     "op4_ngram_jaccard": _over("documents", jaccard.similarity_components),
@@ -31,6 +32,7 @@ QUERIES: dict[str, Query] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_topk_search": topk.SQL,
     "op2_mix_sources": mixing.SQL,
     "op5_exact_dedup": dedup.SQL,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup, jaccard, langid, mixing, packing, topk
+from . import dedup, jaccard, langid, mixing, packing, secrets, topk, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,10 +29,13 @@ QUERIES: dict[str, Query] = {
     "op4_ngram_jaccard": _over("documents", jaccard.similarity_components),
     "op5_exact_dedup": _over("documents", dedup.exact_dedup),
     "op6_pack_documents": _over("documents", lambda docs: packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))),
+    "op7_secret_scan": _over("documents", secrets.scan_secrets),
+    "op10_url_filter": _over("pages", urls.judge_urls),
 }
 
 SQL: dict[str, str] = {
     "op1_topk_search": topk.SQL,
     "op2_mix_sources": mixing.SQL,
     "op5_exact_dedup": dedup.SQL,
+    "op7_secret_scan": secrets.SQL,
 }

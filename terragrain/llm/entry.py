@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dedup, jaccard, langid, mixing, packing, secrets, topk, urls
+from . import chat, dedup, jaccard, langid, mixing, packing, pii, secrets, topk, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,8 @@ QUERIES: dict[str, Query] = {
     "op5_exact_dedup": _over("documents", dedup.exact_dedup),
     "op6_pack_documents": _over("documents", lambda docs: packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))),
     "op7_secret_scan": _over("documents", secrets.scan_secrets),
+    "op8_chat_format": _over("conversations", lambda turns: chat.summarise(chat.format_conversations(chat.with_control_case(turns), tokenizer_path("byte_bpe_50k.json")))),
+    "op9_personal_data": _over("documents", pii.scan_personal_data),
     "op10_url_filter": _over("pages", urls.judge_urls),
 }
 

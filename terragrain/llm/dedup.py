@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, materialise, min_by_order, settings
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Keyed state on disk; many small stores shouldn't each reserve disk ahead of need.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -47,7 +51,7 @@ def update_state(spark: SparkSession, staged: str, state: str, doc_id: str = "do
     digest: digest, first (struct: doc_id and locator of the row that stays), group_size.
     """
     schema = spark.read.parquet(staged).schema
-    with settings(spark, {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}):
+    with settings(spark, STATE):
         kept = (
             spark.readStream.schema(schema)
             .parquet(staged)

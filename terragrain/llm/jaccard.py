@@ -31,7 +31,7 @@ NUMERATOR, DENOMINATOR = 4, 5
 #: Bytes of text whose shingles one bucket of the first pass holds, on average.
 BUCKET_BYTES = 6_000_000
 #: Shingles that a task gathers before it sends them.
-BATCH_SHINGLES = 2_000_000
+BATCH_SHINGLES = 500_000
 #: Rounds against pivots before what is left is compared in full.
 PIVOT_ROUNDS = 2
 
@@ -132,8 +132,8 @@ def _send(buckets: int):
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list[tuple[int | None, np.ndarray]] = []
         held, number = 0, None
-        for batch in batches:
-            for doc, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
+        for part in (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256)):
+            for doc, row, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
                 number = row if number is None else number
                 docs.append((doc, shingles(text)))
                 held += len(docs[-1][1]) + 64

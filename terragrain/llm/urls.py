@@ -100,8 +100,11 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
         only = F.lit("block" if labelled and blocked else "allow")
         return featured.select("page_id", "host", "path", "rule", F.coalesce("ruled", only).alias("verdict"), F.lit(None).cast("double").alias("block_score"))
     prior = blocked / labelled
-    stats = by_suffix.select("suffix", F.log1p("urls").alias("suffix_log"), ((F.coalesce("blocked", F.lit(0.0)) + PRIOR * prior) / (F.col("labelled") + PRIOR)).alias("suffix_blocked"))
-    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(featured.join(stats, "suffix"))
+    stats = by_suffix.select("suffix", F.log1p("urls").alias("suffix_log"), "labelled", F.coalesce("blocked", F.lit(0.0)).alias("blocked"))
+    # A labelled URL's own label is left out of its suffix's share.
+    own, counted = F.coalesce("label", F.lit(0.0)), F.col("label").isNotNull().cast("int")
+    share = (F.col("blocked") - own + PRIOR * prior) / (F.col("labelled") - counted + PRIOR)
+    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(featured.join(stats, "suffix").withColumn("suffix_blocked", share))
     chance = min(1.0, sample_urls / labelled)
     chosen = F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < int(chance * (1 << 20))
     sample = assembled.where(F.col("label").isNotNull() & chosen).select("features", "label")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 #: Remainders in one shard, on average: what one task holds.
-SHARD_ROWS = 16_384
+SHARD_ROWS = 4_096
 #: Bins at least this full stay as they are after a round.
 FULL_ENOUGH = 0.995
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LARGEST_KERNEL = 101
@@ -21,9 +21,11 @@ def kernel(sigma: float, width: int) -> list[float] | None:
     return [w / total for w in raw]
 
 
-def _rows(spark: SparkSession, weights: list[float]) -> DataFrame:
+def _spread(cells: DataFrame, weights: list[float]) -> DataFrame:
+    """Every cell once per step of the kernel, with step and weight."""
     half = len(weights) // 2
-    return spark.createDataFrame([(k - half, w) for k, w in enumerate(weights)], "step int, weight double")
+    steps = F.array(*[F.struct(F.lit(k - half).alias("step"), F.lit(w).alias("weight")) for k, w in enumerate(weights)])
+    return cells.withColumn("s", F.explode(steps)).select("*", "s.step", "s.weight")
 
 
 def blur(grid: DataFrame, sigma: float, width: int, height: int) -> DataFrame:
@@ -38,13 +40,12 @@ def blur(grid: DataFrame, sigma: float, width: int, height: int) -> DataFrame:
     if weights is None:
         return own
     half = len(weights) // 2
-    steps = F.broadcast(_rows(grid.sparkSession, weights))
-    across = own.crossJoin(steps).groupBy(F.pmod(F.col("x") - F.col("step"), F.lit(width)).alias("x"), "y").agg(F.sum(F.col("v") * F.col("weight")).alias("v"))
+    across = _spread(own, weights).groupBy(F.pmod(F.col("x") - F.col("step"), F.lit(width)).alias("x"), "y").agg(F.sum(F.col("v") * F.col("weight")).alias("v"))
     # How often row y stands for itself and for the rows beyond the edge that it repeats.
     source = F.when(F.col("y") == 0, F.sequence(F.lit(-half), F.lit(0))).otherwise(F.array(F.col("y")))
     last = F.when(F.col("y") == height - 1, F.sequence(F.lit(height - 1), F.lit(height - 1 + half)))
     both = F.when(F.lit(height == 1), F.sequence(F.lit(-half), F.lit(half))).otherwise(F.coalesce(last, source))
-    rows = across.withColumn("row", F.explode(both)).crossJoin(steps).withColumn("to", F.col("row") - F.col("step"))
+    rows = _spread(across.withColumn("row", F.explode(both)), weights).withColumn("to", F.col("row") - F.col("step"))
     return rows.where(F.col("to").between(0, height - 1)).groupBy("x", F.col("to").alias("y")).agg(F.sum(F.col("v") * F.col("weight")).alias("v"))
 
 

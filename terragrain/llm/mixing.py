@@ -87,22 +87,15 @@ def boundaries(sizes: DataFrame, targets: DataFrame, max_repeats: int) -> DataFr
     )
     # The global order, in ranges of finish time: whole ranges are summed, and the one that the budget ends in is sorted.
     ranges = max(16, rows * max_repeats // BLOCK_ROWS)
-    latest = timed.agg(F.max("finish").alias("latest"))
-    ranged = timed.crossJoin(F.broadcast(latest)).withColumn("range", F.least(F.floor(F.try_divide(F.col("finish"), F.col("latest")) * ranges), F.lit(ranges - 1)).cast("int"))
-    in_order = Window.orderBy("range")
-    totals = ranged.groupBy("range").agg(F.sum("size").alias("words"), F.max("budget").alias("budget")).withColumn("until", F.sum("words").over(in_order))
-    cut_range = totals.where(F.col("until") > F.col("budget")).agg(F.min("range").alias("cut"))
-    spent = totals.join(F.broadcast(cut_range), F.col("range") == F.col("cut")).select("cut", (F.col("until") - F.col("words")).alias("spent"))
-    marked = ranged.crossJoin(F.broadcast(cut_range)).withColumn("cut", F.coalesce("cut", F.lit(ranges)))
+    latest = timed.agg(F.max("finish")).first()[0] or 0.0
+    ranged = timed.withColumn("range", F.least(F.floor(F.try_divide(F.col("finish"), F.lit(latest)) * ranges), F.lit(ranges - 1)).cast("int"))
+    totals = ranged.groupBy("range").agg(F.sum("size").alias("words"), F.max("budget").alias("budget")).withColumn("until", F.sum("words").over(Window.orderBy("range")))
+    over = totals.where(F.col("until") > F.col("budget")).orderBy("range").first()
+    cut, spent = (ranges, 0) if over is None else (over["range"], over["until"] - over["words"])
     last = F.max(F.struct("round", "key", F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("last")
-    whole = marked.where(F.col("range") < F.col("cut")).groupBy("source").agg(last)
+    whole = ranged.where(F.col("range") < cut).groupBy("source").agg(last)
     order = Window.partitionBy("range").orderBy("finish", "position", "round", "key", F.col("doc_id").isNull(), "doc_id")
-    partial = (
-        marked.where(F.col("range") == F.col("cut")).drop("cut").withColumn("running", F.sum("size").over(order))
-        .join(F.broadcast(spent), F.col("range") == F.col("cut"))
-        .where(F.col("running") + F.col("spent") <= F.col("budget"))
-        .groupBy("source").agg(last)
-    )
+    partial = ranged.where(F.col("range") == cut).withColumn("running", F.sum("size").over(order)).where(F.col("running") + spent <= F.col("budget")).groupBy("source").agg(last)
     return whole.unionByName(partial).groupBy("source").agg(F.max("last").alias("last"))
 
 

@@ -5,6 +5,7 @@ Cell edges are evenly spaced, rounded to single precision; cells are half-open,
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +31,20 @@ def cell_of(lon: Column, lat: Column, resolution: int) -> tuple[Column, Column]:
     return bin_index(lon, *WORLD["lon"], resolution), bin_index(lat, *WORLD["lat"], resolution // 2)
 
 
+def _edges(lo: float, hi: float, n: int) -> np.ndarray:
+    out = lo + np.arange(n + 1) * ((hi - lo) / n)
+    out[n] = hi
+    return out.astype(np.float32)
+
+
+def contains_grid(fine: int, coarse: int) -> bool:
+    """Whether every cell of the coarse world grid is made of whole cells of the fine one, rounded edges included."""
+    step = fine // coarse
+    if fine % coarse or fine // 2 != (coarse // 2) * step:
+        return False
+    return all(np.array_equal(_edges(*WORLD[axis], f)[::step], _edges(*WORLD[axis], c)) for axis, f, c in (("lon", fine, coarse), ("lat", fine // 2, coarse // 2)))
+
+
 def centre_of(x: Column, y: Column, resolution: int) -> tuple[Column, Column]:
     """(lon, lat) of a cell's centre."""
     lon = (x + F.lit(0.5)) / F.lit(float(resolution)) * F.lit(360.0) - F.lit(180.0)

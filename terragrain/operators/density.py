@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.binning import bin_index, cell_of, centre_of
+from ..functions.binning import bin_index, cell_of, centre_of, contains_grid
 from ..functions.predicates import in_world, lenient_double
 
 KM_PER_DEGREE = 111.0
@@ -20,18 +20,47 @@ def valid_points(points: DataFrame) -> DataFrame:
     return points.withColumns(cast).where(in_world(F.col("lon"), F.col("lat")))
 
 
+def _cells(resolutions: Iterable[int]) -> Column:
+    out = []
+    for r in resolutions:
+        x, y = cell_of(F.col("lon"), F.col("lat"), r)
+        out.append(F.struct(F.lit(r).alias("res"), x.alias("x"), y.alias("y")))
+    return F.array(*out)
+
+
+def _coarser(base: int, others: list[int]) -> Column:
+    """A cell of ``base`` and the cells of the coarser grids around it."""
+    own = [F.struct("res", "x", "y")]
+    own += [F.struct(F.lit(r).alias("res"), F.floor(F.col("x") / (base // r)).cast("int").alias("x"), F.floor(F.col("y") / (base // r)).cast("int").alias("y")) for r in others]
+    return F.array(*own)
+
+
 def histogram(points: DataFrame, resolutions: Iterable[int]) -> DataFrame:
-    """(res, x, y, cnt) of every non-empty cell at every resolution, in one pass; repeated resolutions count once.
+    """(res, x, y, cnt) of every non-empty cell at every resolution, in one scan; repeated resolutions count once.
 
-    Equal positions are counted first, so that their cells are worked out once. That count is partial
-    before its shuffle, and so is the one of cells.
+    Points are put into cells only at resolutions that no finer one contains; where all edges of a
+    coarser grid are edges of a finer one, its counts are summed from the finer cells. All counts are
+    partial before their shuffle. Streams, where sums of counts can't be kept up to date, put every
+    point into a cell of every resolution.
     """
-    cells = []
-    for r in sorted(set(resolutions)):
-        x, y = cell_of(F.col("lon"), F.col("lat"), r)
-        cells.append(F.struct(F.lit(r).alias("res"), x.alias("x"), y.alias("y")))
-    each = valid_points(points).select(F.explode(F.array(*cells)).alias("c"))
-    return each.groupBy(F.col("c.res").alias("res"), F.col("c.x").alias("x"), F.col("c.y").alias("y")).agg(F.count(F.lit(1)).alias("cnt"))
+    wanted = sorted(set(resolutions), reverse=True)
+    within: dict[int, list[int]] = {}
+    for r in wanted:
+        finer = next((b for b in within if not points.isStreaming and contains_grid(b, r)), None)
+        within[r] = []
+        if finer is not None:
+            within.pop(r)
+            within[finer].append(r)
+    each = valid_points(points).select(F.explode(_cells(within)).alias("c"))
+    counted = each.groupBy(F.col("c.res").alias("res"), F.col("c.x").alias("x"), F.col("c.y").alias("y")).agg(F.count(F.lit(1)).alias("cnt"))
+    if len(within) == len(wanted):
+        return counted
+    around = None
+    for base, others in within.items():
+        cells = _coarser(base, others)
+        around = F.when(F.col("res") == base, cells) if around is None else around.when(F.col("res") == base, cells)
+    spread = counted.select(F.explode(around).alias("c"), "cnt")
+    return spread.groupBy(F.col("c.res").alias("res"), F.col("c.x").alias("x"), F.col("c.y").alias("y")).agg(F.sum("cnt").alias("cnt"))
 
 
 def summary(grid: DataFrame) -> DataFrame:

@@ -36,6 +36,15 @@ def test_every_resolution_counts_every_valid_point_and_repeats_count_once(spark)
     assert sorted(map(tuple, fine.collect())) == sorted((r.x, r.y, r.cnt) for r in grid.where("res = 180").collect())
 
 
+def test_coarse_grids_summed_from_fine_ones_equal_their_own_counts(spark):
+    rng = np.random.default_rng(9)
+    points = spark.createDataFrame([(float(a), float(b)) for a, b in zip(rng.integers(-18000, 18001, 3000) / 100, rng.integers(-9000, 9001, 3000) / 100, strict=True)], POINTS)
+    resolutions = [90, 100, 125, 180, 250, 360, 500, 721, 720, 1000]
+    together = {tuple(r) for r in density.histogram(points, resolutions).collect()}
+    alone = {tuple(r) for n in resolutions for r in density.histogram(points, [n]).collect()}
+    assert together == alone
+
+
 def test_nothing_in_an_empty_grid(spark):
     points = spark.createDataFrame([], POINTS)
     grid = density.histogram(points, [360])

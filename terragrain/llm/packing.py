@@ -27,6 +27,8 @@ from .common import materialise
 
 #: Remainders in one shard, on average: what one task holds.
 SHARD_ROWS = 4_096
+#: Sequence numbers leave room for so many bins of a shard, and rounds.
+MOST_BINS, MOST_ROUNDS = 1 << 20, 1 << 8
 #: Bins at least this full stay as they are after a round.
 FULL_ENOUGH = 0.995
 
@@ -181,7 +183,7 @@ def _pack_shard(capacity: int):
         before = np.cumsum(size) - size
         first = np.r_[True, bins[1:] != bins[:-1]] if len(bins) else np.zeros(0, bool)
         rows["offset"] = before - np.repeat(before[first], np.diff(np.r_[np.flatnonzero(first), len(bins)]))
-        rows["bin"] = rows["shard"].astype("int64") * 2**32 + bins
+        rows["bin"] = rows["shard"].astype("int64") * MOST_BINS + bins
         rows["fill"] = np.repeat(np.add.reduceat(size, np.flatnonzero(first)) if len(bins) else size, np.diff(np.r_[np.flatnonzero(first), len(bins)]))
         return rows[["row_id", "length", "bin", "offset", "fill"]]
 
@@ -207,13 +209,13 @@ def pack_pieces(pieces: DataFrame, length: int = 2048, shard_rows: int = SHARD_R
             break
         todo = packed.where(F.col("fill") < int(FULL_ENOUGH * length)).select("row_id", "length")
         left = todo.count()
-        if left > 0.9 * rows:  # more rounds would not fill these bins either
+        if left > 0.9 * rows or turn + 1 == MOST_ROUNDS:  # more rounds would not fill these bins either
             done = done.unionByName(packed.where(F.col("fill") < int(FULL_ENOUGH * length)))
             break
         rows, turn = left, turn + 1
     if done is None:
         return whole
-    places = done.select(F.col("row_id").alias("placed"), ((F.col("bin") * 16 + F.col("turn")) * 2 + 1).alias("sequence_id"), "offset")
+    places = done.select(F.col("row_id").alias("placed"), ((F.col("bin") * MOST_ROUNDS + F.col("turn")) * 2 + 1).alias("sequence_id"), "offset")
     rest = pieces.where(F.col("length") < length).join(places, F.col("row_id") == F.col("placed")).drop("placed")
     return whole.unionByName(rest)
 

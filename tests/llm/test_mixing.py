@@ -44,6 +44,13 @@ def test_targets_caps_and_reruns(spark):
         assert abs(taken[s] - target[s]) <= 2 * 17
 
 
+def test_drawn_rows_keep_their_columns(spark):
+    docs = documents(spark, clashing=True)
+    drawn = mixing.draw_mix(docs)
+    assert drawn.columns == docs.columns and drawn.count() > 0
+    assert mixing.draw_mix(documents(spark, [], clashing=True)).count() == 0
+
+
 def test_drawn_rows_repeat_as_planned(spark):
     docs = documents(spark, [(i, "w " * 10, "en", "big" if i < 90 else "small", 1) for i in range(100)])
     drawn = mixing.draw_mix(docs)

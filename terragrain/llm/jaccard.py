@@ -266,6 +266,12 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _entries(prefixed: DataFrame) -> DataFrame:
+    """The index: one row per prefix shingle of a set, with its place in the set's order."""
+    each = prefixed.select("set_id", "n", "alone", F.posexplode("prefix").alias("k", "token"))
+    return each.select("token", "set_id", "n", "alone", (F.col("alone") + F.col("k")).alias("place"))
+
+
 def link_sets(reps: DataFrame, tokens: DataFrame) -> DataFrame | None:
     """(id, label) of every set that is similar to another, by connected component."""
     spark = tokens.sparkSession
@@ -275,28 +281,31 @@ def link_sets(reps: DataFrame, tokens: DataFrame) -> DataFrame | None:
     grouped = own.where("alone = 0").join(heads, ["n", "prefix"]).select("set_id", "head")
     grouped = materialise(grouped, "groups")
     others = grouped.where("set_id <> head").select("set_id")
-    index = own.join(others, "set_id", "left_anti").select("set_id", "n", "alone", F.posexplode("prefix").alias("k", "token"))
-    index = index.select("token", "set_id", "n", (F.col("alone") + F.col("k")).alias("place"))
+    index = _entries(own.join(others, "set_id", "left_anti")).withColumn("label", F.col("set_id"))
     pairs = grouped.where("set_id <> head").select(F.col("set_id").alias("a"), F.col("head").alias("b"))
     links, labels, tried = None, None, None
     for turn in range(PIVOT_ROUNDS + 1):
         last = turn == PIVOT_ROUNDS
         if labels is not None:
             # From now on single members, and only shingles that sets of several components have.
-            entries = own.select("set_id", "n", "alone", F.posexplode("prefix").alias("k", "token")).select("token", "set_id", "n", (F.col("alone") + F.col("k")).alias("place"))
-            entries = entries.join(labels, F.col("set_id") == F.col("id"), "left").select("token", "set_id", "n", "place", F.coalesce("label", "set_id").alias("label"))
+            entries = _entries(own).join(labels, F.col("set_id") == F.col("id"), "left").withColumn("label", F.coalesce("label", "set_id")).drop("id")
             several = entries.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("token")
             index = materialise(entries.join(several, "token"), "index")
-        else:
-            index = index.withColumn("label", F.col("set_id"))
+        entry = F.struct("set_id", "n", "place", "label")
         if last:
-            by_label = index.select("token", "label").distinct()
-            couples = by_label.alias("x").join(by_label.alias("y"), "token").where("x.label < y.label").select("token", F.col("x.label").alias("label_a"), F.col("y.label").alias("label_b"))
-            met = couples.join(index.select("token", F.col("label").alias("label_a"), F.struct("set_id", "n", "place").alias("p")), ["token", "label_a"])
-            met = met.join(index.select("token", F.col("label").alias("label_b"), F.struct("set_id", "n", "place").alias("q")), ["token", "label_b"])
+            by_label = index.groupBy("token", "label").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("place")).alias("most"))
+            x, y = (by_label.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("label", "least_n", "most_n", "most")]) for k in "ab")
+            # Components whose sizes or positions rule out every pair of members aren't expanded.
+            fits = (F.col("most_n_a") * DENOMINATOR >= F.col("least_n_b") * NUMERATOR) & (F.col("most_n_b") * DENOMINATOR >= F.col("least_n_a") * NUMERATOR)
+            fits = fits & (F.least("most_a", "most_b") * (NUMERATOR + DENOMINATOR) >= (F.col("least_n_a") + F.col("least_n_b")) * NUMERATOR)
+            couples = x.join(y, "token").where((F.col("label_a") < F.col("label_b")) & fits).select("token", "label_a", "label_b")
+            met = couples.join(index.select("token", F.col("label").alias("label_a"), entry.alias("p")), ["token", "label_a"])
+            met = met.join(index.select("token", F.col("label").alias("label_b"), entry.alias("q")), ["token", "label_b"])
         else:
-            pivot = index.groupBy("token").agg(F.min_by(F.struct("set_id", "n", "place", "label"), F.xxhash64("set_id", F.lit(turn))).alias("q"))
-            met = index.select("token", F.struct("set_id", "n", "place", "label").alias("p")).join(pivot, "token").where("p.label <> q.label")
+            # First the set with the fewest unshared shingles, as most similar sets are similar to it; then that of another component.
+            order = F.struct("alone", F.xxhash64("set_id")) if turn == 0 else F.struct(F.xxhash64("label", F.lit(turn)), F.col("alone"), F.col("set_id"))
+            pivot = index.groupBy("token").agg(F.min_by(entry, order).alias("q"))
+            met = index.select("token", entry.alias("p")).join(pivot, "token").where("p.label <> q.label")
         met = met.where(_may_be_similar("p", "q")).select(F.greatest("p.set_id", "q.set_id").alias("a"), F.least("p.set_id", "q.set_id").alias("b"))
         pairs = (met if pairs is None else met.union(pairs)).distinct()
         pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
@@ -331,4 +340,5 @@ def similarity_components(docs: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document per component: the one with the smallest doc_id, all its columns as they are."""
     kept = similarity_components(docs).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-1)).alias("kept")).distinct()
-    return docs.join(kept, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)) == F.col("kept"), "left_semi")
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("kept"))
+    return rows.join(kept, "kept", "left_semi").select("row.*")

@@ -169,3 +169,18 @@ def with_control_case(turns: DataFrame) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = turns.sparkSession.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return turns.select("conv_id", "turn", "role", "text").unionByName(extra)
+
+
+_ESCAPES = r"len(regexp_extract_all({}, '[<\[]\\*(s>|/s>|INST\]|/INST\]|\|endoftext\|>)'))"
+
+SQL = f"""
+WITH a AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k FROM a)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY k)) AS turns_sha256,
+  CAST(coalesce(sum(length(t)) FILTER (r = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY k) FILTER (r = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(17 + length(r) + length(t) + {_ESCAPES.format("r")} + {_ESCAPES.format("t")}) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""

@@ -38,6 +38,8 @@ QUERIES: dict[str, Query] = {
 SQL: dict[str, str] = {
     "op1_topk_search": topk.SQL,
     "op2_mix_sources": mixing.SQL,
+    "op4_ngram_jaccard": jaccard.SQL,
     "op5_exact_dedup": dedup.SQL,
     "op7_secret_scan": secrets.SQL,
+    "op8_chat_format": chat.SQL,
 }

@@ -338,7 +338,27 @@ def similarity_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document per component: the one with the smallest doc_id, all its columns as they are."""
+    """``docs`` with one document per component: the one with the smallest doc_id, all its columns as they are.
+
+    Rows without a doc_id all stay, as nothing tells which of them is which.
+    """
     kept = similarity_components(docs).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-1)).alias("kept")).distinct()
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("kept"))
     return rows.join(kept, "kept", "left_semi").select("row.*")
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT rid, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+c AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.rid <> b.rid GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n a ON a.rid = x JOIN n b ON b.rid = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+r AS (SELECT rid, rid AS other FROM w UNION SELECT r.rid, l.y FROM r JOIN l ON r.other = l.x),
+m AS (SELECT r.rid, min(o.doc_id) AS component_id FROM r JOIN w o ON o.rid = r.other GROUP BY r.rid)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM w LEFT JOIN n USING (rid) JOIN m USING (rid)
+"""

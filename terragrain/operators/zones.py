@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.predicates import SKIPPED_FIPS
+from ..functions.predicates import SKIPPED_FIPS, pad_fips
 
 
 def edges(rings: DataFrame) -> DataFrame:
@@ -50,3 +50,22 @@ def decimate(rings: DataFrame, factor: int) -> DataFrame:
     step = F.greatest(F.lit(1), F.floor(F.size("points") / factor).cast("int"))
     kept = usable.withColumn("step", step).withColumn("line", F.filter("points", lambda p, i: i % F.col("step") == 0))
     return kept.where(F.size("line") >= 3).withColumn("line", F.transform("line", lambda p: p.cast("array<float>"))).drop("step", "points")
+
+
+def boundary_lines(rings: DataFrame, factor: int, fips: str | None = None) -> DataFrame:
+    """Shapefile rings (kind, points, attributes) as decimated lines.
+
+    Only polygons count; where ``fips`` names the attribute with the state code, the codes outside the
+    contiguous states are skipped.
+    """
+    polygons = rings.where(F.col("kind").isin(5, 15))
+    if fips is not None:
+        polygons = polygons.where(~F.coalesce(F.col("attributes")[fips], F.lit("")).isin(*SKIPPED_FIPS))
+    return decimate(polygons, factor)
+
+
+def zone_rings(rings: DataFrame, fips: str, states: DataFrame) -> DataFrame:
+    """County rings as rings of their states (zone, ring, points): padded codes that the states' table has."""
+    zone = pad_fips(F.col("attributes")[fips])
+    coded = rings.where(F.col("kind").isin(5, 15)).select(zone.alias("zone"), "ring", "points").where(~F.col("zone").isin(*SKIPPED_FIPS))
+    return coded.join(F.broadcast(states.select(F.col("fip").alias("zone"))), "zone", "left_semi")

@@ -439,6 +439,34 @@ def density_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("corner").cast("long").alias("corner"), *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("px", "py", "pz")])
 
 
+@query("mesh_triangles", f"WITH {BLUR} SELECT triangle, count(*) AS n FROM (SELECT unnest(range(10)) AS triangle FROM scaled WHERE z >= 0.1) GROUP BY triangle")
+def mesh_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = smooth.above(smooth.normalise(_blurred(spark, sf_dir), POWER), 0.1)
+    return mesh.triangles(kept).groupBy(F.col("triangle").cast("long").alias("triangle")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("local_mesh", f"WITH {BLUR}, c AS (SELECT x, y, z, unnest(range(8)) AS corner FROM scaled WHERE z >= 0.1) SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, corner, round(((x + CASE WHEN corner % 4 IN (1, 2) THEN 1 ELSE 0 END) / CAST(180 AS DOUBLE) - 0.5) * 8, 6) + 0 AS px, round(((y + CASE WHEN corner % 4 IN (2, 3) THEN 1 ELSE 0 END) / CAST(90 AS DOUBLE) - 0.5) * 4, 6) + 0 AS py, round(CASE WHEN corner < 4 THEN 0 ELSE z * CAST(2 AS DOUBLE) END, 6) + 0 AS pz FROM c")
+def local_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = smooth.above(smooth.normalise(_blurred(spark, sf_dir), POWER), 0.1)
+    v = mesh.plane_vertices(kept, 180, 90, height_scale=0.5, aspect=0.5)
+    return v.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("corner").cast("long").alias("corner"), *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("px", "py", "pz")])
+
+
+@query("bar_labels", f"WITH {POINTS}{ZONES} SELECT fip, points, abbrev AS label FROM (SELECT CASE zone WHEN 'Z1' THEN '48' ELSE '06' END AS fip, points FROM counts) JOIN (VALUES {_STATES}) s(fip, name, abbrev, lat, lon) USING (fip)")
+def bar_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mesh.bar_labels(zone_top(spark, sf_dir)).select("fip", "points", "label")
+
+
+@query("peak_panel")
+def peak_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mesh.peak_rows(peak_locations(spark, sf_dir))
+
+
+@query("peak_tiles")
+def peak_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mesh.tiles(_boxes(spark, sf_dir), F.lit(12)).select("rank", "zoom", "tile_x", "tile_y", "left", "top", "width", "height")
+
+
 @query("boundary_decimate", "WITH r AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey % 50 ORDER BY l_orderkey, l_linenumber) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey % 50) AS n, l_orderkey % 50 AS ring FROM lineitem), k AS (SELECT ring, n, i FROM r WHERE i % greatest(1, n // 80) = 0 AND n >= 4) SELECT CAST(ring AS BIGINT) AS ring, count(*) AS kept, CAST(max(i) AS BIGINT) AS last FROM k GROUP BY ring HAVING count(*) >= 3")
 def boundary_decimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select("ring", F.size("line").cast("long").alias("kept"), F.element_at("line", -1)[0].cast("long").alias("last"))

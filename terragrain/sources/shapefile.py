@@ -10,6 +10,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +66,13 @@ def read_rings(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load([f"{stem}.shp", f"{stem}.dbf"])
     both = files.groupBy(F.regexp_replace("path", r"\.[a-z]+$", "").alias("stem")).agg(F.max(F.when(F.col("path").endswith(".shp"), F.col("content"))).alias("shp"), F.max(F.when(F.col("path").endswith(".dbf"), F.col("content"))).alias("dbf"))
     return both.select("shp", "dbf").mapInArrow(_parse, RINGS)
+
+
+def read_first(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The rings of the first shapefile that exists; none where none does."""
+    for path in paths:
+        try:
+            return read_rings(spark, path)
+        except AnalysisException:  # no such path
+            continue
+    return spark.createDataFrame([], RINGS)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import display, pathquery, predicates
-from ..functions.binning import bin_sql, centre_of
+from ..functions.binning import bin_sql
 from ..operators import density, mesh, sampling, smooth, zones
 from ..sources import features, report
 from ..sources.states import state_rows, states

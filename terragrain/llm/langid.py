@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import materialise
+from .common import SMALL_BATCHES, materialise, settings, start_task
 
 ORDERS = (2, 3, 4)
 #: Labelled documents per language that training reads, in expectation.
@@ -33,7 +33,7 @@ LEAST_RATE = 2e-6
 SLOTS_LOG2 = 20
 HASHES = 2
 #: Characters that one vectorised pass looks at.
-CHARS_AT_ONCE = 1 << 20
+CHARS_AT_ONCE = 1 << 18
 
 
 @lru_cache(maxsize=1)
@@ -94,6 +94,13 @@ def _grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
         yield flush()
 
 
+def _slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, so that only their texts are Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _slots(hashes: np.ndarray) -> list[np.ndarray]:
     """The filter slots of n-grams: the top bits of the hash and of its multiples."""
     shift = np.uint64(64 - SLOTS_LOG2)
@@ -152,7 +159,8 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageFilter
     sample = labelled.join(F.broadcast(chance), "lang").where(chosen).select("text", "bit")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        start_task("langid")
+        for batch in _slices(batches):
             bits = np.array(batch.column("bit").to_pylist(), dtype=np.int64)
             for hashes, owner in _grams(batch.column("text").to_pylist()):
                 for b in np.unique(bits[owner]):
@@ -160,7 +168,8 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageFilter
                     yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(np.full(len(gram), b, np.int32)), pa.array(n.astype(np.int64))], names=["gram", "bit", "n"])
 
     counted = sample.mapInArrow(count, "gram long, bit int, n long").groupBy("gram", "bit").agg(F.sum("n").alias("n"))
-    counted = materialise(counted, "lang-grams")
+    with settings(spark, SMALL_BATCHES):
+        counted = materialise(counted, "lang-grams")
     totals = counted.groupBy("bit").agg(F.sum("n").alias("total"))
     rated = counted.join(F.broadcast(totals), "bit").withColumn("rate", F.col("n") / F.col("total"))
     highest = F.max("rate").over(Window.partitionBy("gram"))
@@ -192,8 +201,9 @@ def predict(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
     apart = "text" in docs.columns
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task("langid")
         own = sent.value
-        for batch in batches:
+        for batch in _slices(batches):
             column = batch.column("text") if apart else batch.column("row").field("text")
             texts = [t or "" for t in column.to_pylist()]
             share, total = own.shares(texts) if own.languages else (np.zeros((len(texts), 1)), np.zeros(len(texts)))
@@ -228,7 +238,11 @@ def identify_language(docs: DataFrame) -> DataFrame:
     return predict(rows, fit(docs))
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
-    """``docs`` without the documents whose language can't be told: ``und``, or a score below ``least_score``."""
+def keep_identified(docs: DataFrame, above_score: float = 0.0) -> DataFrame:
+    """``docs`` without the documents whose language can't be told: ``und``, or no score above ``above_score``.
+
+    By default that is text without letters, and text none of whose n-grams is typical of a language;
+    short texts with little evidence stay.
+    """
     packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
-    return predict(packed, fit(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select("row.*")
+    return predict(packed, fit(docs)).where((F.col("lang_pred") != "und") & (F.col("score") > above_score)).select("row.*")

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -54,6 +55,23 @@ def settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+#: Arrow batches of long texts are kept small, as both sides of a Python stage hold one or two of them.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+#: What operators remember in a Python worker from task to task, by operator, with the way to drop it.
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def remember(operator: str, drop: Callable[[], None]) -> None:
+    _remembered[operator] = drop
+
+
+def start_task(operator: str) -> None:
+    """Drops what other operators' tasks remember in this Python worker, which serves them in turn."""
+    for name in [n for n in _remembered if n != operator]:
+        _remembered.pop(name)()
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once per application."""
     context = spark.sparkContext

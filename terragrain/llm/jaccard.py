@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, settings
+from .common import SMALL_BATCHES, materialise, settings, start_task
 
 WORDS = 5
 #: The similarity as a fraction: 4 / 5.
@@ -130,6 +130,7 @@ def _send(buckets: int):
             yield _rows(kind=np.ones(len(part), np.int32), bucket=np.array(part, np.int32), batch=np.full(len(part), batch), values=[low[at[b] : at[b + 1]].tobytes() for b in part], places=steps)
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task("jaccard")
         docs: list[tuple[int | None, np.ndarray]] = []
         held, number = 0, None
         for part in (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256)):
@@ -186,11 +187,14 @@ def describe_sets(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
     sent = rows.mapInArrow(_send(buckets), _PASS)
     answered = sent.groupBy("bucket").applyInArrow(_answer, _PASS)
-    return materialise(answered.groupBy("batch").applyInArrow(_totals, "doc long, n long, key_hi long, key_lo long, repeated long"), "sets")
+    totals = answered.groupBy("batch").applyInArrow(_totals, "doc long, n long, key_hi long, key_lo long, repeated long")
+    with settings(docs.sparkSession, SMALL_BATCHES):
+        return materialise(totals, "sets")
 
 
 def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingles of the rows whose set is the one that ``key_hi`` and ``key_lo`` name."""
+    start_task("jaccard")
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
@@ -213,7 +217,7 @@ def distinct_sets(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFram
     keyed = reps.where(F.col("n") > 0).select("set_id", "key_hi", "key_lo", F.coalesce("doc", F.lit(-1)).alias("at"))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("at"), "text")
     # Where the sets are few enough for a Bloom filter, Spark drops the other texts before it shuffles.
-    with settings(spark, {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}):
+    with settings(spark, SMALL_BATCHES | {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}):
         found = texts.join(keyed, "at").drop("at").mapInArrow(_tokens, "set_id long, tokens array<long>")
         tokens = materialise(found.groupBy("set_id").agg(F.first("tokens").alias("tokens")), "tokens")
     return reps, tokens

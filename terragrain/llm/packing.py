@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import SMALL_BATCHES, materialise, remember, settings, start_task
 
 #: Remainders in one shard, on average: what one task holds.
 SHARD_ROWS = 4_096
@@ -88,8 +88,8 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [None if UNUSUAL_SPACE.search(t) else t.split() for t in texts]
         used = set().union(*filter(None, split))
-        if len(self.chunks) > self.REMEMBERED:
-            self.chunks.clear()
+        if len(self.chunks) > self.REMEMBERED:  # what is in use now is what is used most
+            self.chunks = {c: self.chunks[c] for c in used.intersection(self.chunks)}
         known = self.chunks
         long = []
         for c in used.difference(known):
@@ -104,7 +104,8 @@ class WordEncoder:
 
 @lru_cache(maxsize=2)
 def encoder_for(path: str) -> WordEncoder:
-    """The encoder of a Python worker; what it remembers outlives a task."""
+    """The encoder of a Python worker; what it remembers outlives a task, until another operator's task starts."""
+    remember("packing", encoder_for.cache_clear)
     return WordEncoder(path)
 
 
@@ -115,6 +116,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 2
     """
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task("packing")
         encoder = encoder_for(tokenizer)
         end = np.array([end_id], dtype="<u4").tobytes()
         step = 4 * length
@@ -227,6 +229,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int
     little-endian unsigned 32-bit). Null text is empty (its end id is packed all the same), repeated
     rows are packed each, other columns take no part, an empty table gives no sequences.
     """
-    pieces = materialise(cut_pieces(docs, tokenizer, end_id, length, keep_ids), "pieces")
+    with settings(docs.sparkSession, SMALL_BATCHES):
+        pieces = materialise(cut_pieces(docs, tokenizer, end_id, length, keep_ids), "pieces")
     packed = pack_pieces(pieces, length)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if keep_ids else []))

@@ -52,23 +52,26 @@ def _grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
     """Per slice of the texts: hashes of all n-grams, the text each is of, and the letters of each text.
 
     Runs of letters are words with one border before and after; an n-gram holds at most one border
-    at either end. Long texts come in several overlapping slices, so memory is bounded and no n-gram
-    is lost.
+    at either end. Long texts come in several overlapping slices, so memory is bounded; an n-gram
+    belongs to the slice that its last character is new in, so none is lost or counted twice.
     """
     table, most = letters(), max(ORDERS)
-    parts: list[tuple[int, np.ndarray]] = []
+    parts: list[tuple[int, np.ndarray, int]] = []  # the text, its characters, and how many of them an earlier slice had
     held = 0
 
     def flush():
-        joined = np.concatenate([p for _, p in parts])
-        owner = np.repeat(np.array([k for k, _ in parts], dtype=np.int64), [len(p) for _, p in parts])
+        joined = np.concatenate([p for _, p, _ in parts])
+        sizes = [len(p) for _, p, _ in parts]
+        owner = np.repeat(np.array([k for k, _, _ in parts], dtype=np.int64), sizes)
+        part = np.repeat(np.arange(len(parts)), sizes)
+        new = np.concatenate([np.arange(len(p)) >= had for _, p, had in parts])
         hashes, owners = [], []
         for n in ORDERS:
             if len(joined) < n:
                 continue
             ends = len(joined) - n + 1
             h = np.full(ends, n, dtype=np.uint64)
-            ok = owner[:ends] == owner[n - 1 :]
+            ok = (part[:ends] == part[n - 1 :]) & new[n - 1 :]
             for k in range(n):
                 col = joined[k : k + ends]
                 h = (h ^ col) * np.uint64(0x9E3779B97F4A7C15)
@@ -82,10 +85,11 @@ def _grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
 
     for k, text in enumerate(texts):
         for at in range(0, len(text), CHARS_AT_ONCE):
-            codes = np.frombuffer(text[max(0, at - most + 1) : at + CHARS_AT_ONCE].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-            own = table[codes]
-            ends = np.zeros(1, dtype=np.uint32)
-            parts.append((k, np.concatenate([ends, own, ends] if not at else [own, ends]).astype(np.uint64)))
+            first, last = max(0, at - most + 1), min(at + CHARS_AT_ONCE, len(text))
+            own = table[np.frombuffer(text[first:last].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+            border = np.zeros(1, dtype=np.uint32)
+            before, after = [border] if first == 0 else [], [border] if last == len(text) else []
+            parts.append((k, np.concatenate([*before, own, *after]).astype(np.uint64), at - first + len(before) if at else 0))
             held += len(own)
             if held >= CHARS_AT_ONCE:
                 yield flush()

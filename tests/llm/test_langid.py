@@ -53,6 +53,9 @@ def test_long_texts_lose_no_ngram(monkeypatch):
     monkeypatch.setattr(langid, "CHARS_AT_ONCE", 64)
     parts = {int(h) for g in langid._grams([text]) for h in g[0]}
     assert parts == set(whole[0])
+    for at_once in (1, 2, 3, 5, 64, 699, 700, 701):
+        monkeypatch.setattr(langid, "CHARS_AT_ONCE", at_once)
+        assert sorted(int(h) for g in langid._grams([text]) for h in g[0]) == whole[0]
 
 
 def test_pipeline_stage_keeps_columns_and_clean_rows(spark):

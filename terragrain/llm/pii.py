@@ -1,16 +1,18 @@
 """Personal data, and the terms that reveal it.
 
-Patterns find the protected entities. Around every entity, the words of its line are its context; over
-the corpus, the contexts tell how strongly a term points at an entity: its pointwise mutual information
-with the entity, against all the information that names the entity. A term that discloses most of it,
-in several different contexts, is a span too, and is generalised with the entity.
+Patterns find the protected entities. Over all texts of the corpus, counts of the texts that hold an
+entity, a term and both tell how strongly the term points at the entity: its pointwise mutual
+information with the entity, against all the information that names the entity. A term that discloses
+most of it, in several different contexts, is a span too, and is generalised with the entity.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -22,10 +24,13 @@ KINDS = ("email", "ip", "card", "phone", "term")
 #: Share of an entity's information from which on a term discloses it, and different contexts that must agree.
 DISCLOSED = 0.8
 SUPPORT = 3
-#: Words of the same line on either side of an entity that are its context.
+#: Words of the same line on either side of an entity that tell its contexts apart.
 NEAR = 8
 #: Characters on either side that are looked at for them, where a line is longer.
 REACH = 400
+#: Bits of a bitmap, and partial counts that a task holds at a time.
+BITS_LOG2 = 24
+COUNTS_AT_ONCE = 200_000
 
 # The base patterns; quantifiers that can't give back keep long runs linear.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -68,50 +73,150 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str, int, int]]:
-    """Per entity and word near it on its line: entity, context (hash of the words), term, start, end."""
-    out = []
+def _outside(spans: list[tuple[int, int, int]]) -> Callable[[re.Match], bool]:
+    """Whether a match overlaps none of the spans."""
+    starts, ends = [], []  # of the spans, merged
+    for start, end in sorted((s, e) for _, s, e in spans):
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+
+    def apart(m: re.Match) -> bool:
+        k = bisect_right(ends, m.start())
+        return k == len(ends) or m.end() <= starts[k]
+
+    return apart
+
+
+def terms_of(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
+    """The different terms of the whole text that overlap no entity."""
+    if not spans:
+        return {w.lower() for w in set(_TERM.findall(text))}
+    apart = _outside(spans)
+    return {m.group().lower() for m in _TERM.finditer(text) if apart(m)}
+
+
+def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, list[re.Match]]]:
+    """Per entity: its hash, the hash of the words near it on its line, and these words."""
+    out, apart = [], _outside(spans)
     for kind, start, end in spans:
         entity = xxhash.xxh64_intdigest(f"{kind}:{text[start:end].lower()}") >> 1
         left, right = text.rfind("\n", max(0, start - REACH), start) + 1 or max(0, start - REACH), text.find("\n", end, end + REACH)
         right = min(len(text), end + REACH) if right < 0 else right
         words = [m for m in _TERM.finditer(text, left, start)][-NEAR:] + [m for m in _TERM.finditer(text, end, right)][:NEAR]
-        words = [m for m in words if not any(s < m.end() and m.start() < e for _, s, e in spans)]
-        context = xxhash.xxh64_intdigest(" ".join(m.group().lower() for m in words)) >> 1
-        out += [(entity, context, m.group().lower(), m.start(), m.end()) for m in words]
+        words = [m for m in words if apart(m)]
+        out.append((entity, xxhash.xxh64_intdigest(" ".join(m.group().lower() for m in words)) >> 1, words))
     return out
 
 
-_FOUND = "row_id long, doc_id long, spans array<struct<kind:int,start:int,end:int>>, near array<struct<entity:bigint,context:bigint,term:string,start:int,end:int>>"
+def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, 512) for batch in batches for at in range(0, batch.num_rows, 512))
+
+
+_FOUND = "row_id long, doc_id long, copies long, spans array<struct<kind:int,start:int,end:int>>, entities array<struct<entity:bigint,context:bigint>>, near array<struct<entity:bigint,term:string,start:int,end:int>>"
 
 
 def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-    near = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    for part in (batch.slice(at, 512) for batch in batches for at in range(0, batch.num_rows, 512)):
-        spans, words = [], []
+    pair = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64())]))
+    near = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    for part in _parts(batches):
+        spans, entities, words = [], [], []
         for text in part.column("text").to_pylist():
             own = base_spans(text or "")
+            around = contexts(text, own) if own else []
             spans.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in own])
-            words.append([dict(zip(("entity", "context", "term", "start", "end"), w, strict=True)) for w in contexts(text, own)] if own else [])
-        yield pa.RecordBatch.from_arrays([part.column("row_id"), part.column("doc_id"), pa.array(spans, span), pa.array(words, near)], names=["row_id", "doc_id", "spans", "near"])
+            entities.append([{"entity": e, "context": c} for e, c, _ in around])
+            words.append([{"entity": e, "term": m.group().lower(), "start": m.start(), "end": m.end()} for e, _, near in around for m in near])
+        yield pa.RecordBatch.from_arrays([part.column("row_id"), part.column("doc_id"), part.column("copies"), pa.array(spans, span), pa.array(entities, pair), pa.array(words, near)], names=["row_id", "doc_id", "copies", "spans", "entities", "near"])
 
 
-def disclosing_terms(near: DataFrame, disclosed: float = DISCLOSED, support: int = SUPPORT) -> DataFrame:
-    """(entity, term) where the term discloses the entity; ``near`` has entity, context, term.
+def with_copies(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``rows`` with ``copies``, the number of rows of the same text, and the number of different texts."""
+    digest = [F.xxhash64("text").alias("d0"), F.xxhash64(F.lit(1), "text").alias("d1")]
+    texts = materialise(rows.where(F.col("text").isNotNull()).select(*digest).groupBy("d0", "d1").agg(F.count(F.lit(1)).alias("copies")), "pii-texts")
+    copied = materialise(texts.where(F.col("copies") > 1), "pii-copied")
+    return rows.select("*", *digest).join(copied, ["d0", "d1"], "left").drop("d0", "d1").withColumn("copies", F.coalesce("copies", F.lit(1)).cast("long")), texts.count()
 
-    Counts are over all different contexts of the corpus, so that copies of a text count once.
+
+def _bits(hashes: DataFrame) -> bytes:
+    """A bitmap of fixed size of the column ``hash``: a value whose bit is clear isn't among them."""
+    slot = F.pmod("hash", F.lit(1 << BITS_LOG2))
+    masks = hashes.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("mask"))
+    found, words = masks.toArrow(), np.zeros(1 << (BITS_LOG2 - 6), dtype="<u8")
+    words[found["word"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
+    return words.tobytes()
+
+
+def _among(bits: bytes, value: int) -> int:
+    return bits[(value >> 3) & ((1 << (BITS_LOG2 - 3)) - 1)] >> (value & 7) & 1
+
+
+def count_terms(rows: DataFrame, entities: DataFrame) -> DataFrame:
+    """Partial counts over whole texts (entity, context, term, n): of texts with the term, where entity is null, else of those with both.
+
+    ``rows`` has text and copies, and copies of a text count once together. Only pairs with the
+    ``entities`` (and a few more) are counted; of several contexts in a text, the first has the count.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(_bits(entities.select(F.col("entity").alias("hash"))))
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, counts = sent.value, {}
+
+        def flush() -> pa.RecordBatch:
+            keys = [pa.array([k[at] for k in counts], kind) for at, kind in enumerate((pa.int64(), pa.int64(), pa.string()))]
+            out = pa.RecordBatch.from_arrays([*keys, pa.array(list(counts.values()), pa.float64())], names=["entity", "context", "term", "n"])
+            counts.clear()
+            return out
+
+        for part in _parts(batches):
+            for text, copies in zip(part.column("text").to_pylist(), part.column("copies").to_pylist(), strict=True):
+                spans = base_spans(text or "")
+                terms = terms_of(text or "", spans)
+                for term in terms:
+                    counts[None, None, term] = counts.get((None, None, term), 0.0) + 1 / copies
+                met = set()
+                for entity, context in dict.fromkeys((e, c) for e, c, _ in contexts(text, spans)) if spans else ():
+                    if _among(bits, entity):
+                        for term in terms:
+                            counts[entity, context, term] = counts.get((entity, context, term), 0.0) + (0.0 if entity in met else 1 / copies)
+                        met.add(entity)
+                        if len(counts) >= COUNTS_AT_ONCE:
+                            yield flush()
+                if len(counts) >= COUNTS_AT_ONCE:
+                    yield flush()
+        if counts:
+            yield flush()
+
+    return rows.select("text", "copies").mapInArrow(count, "entity long, context long, term string, n double")
+
+
+def disclosing_terms(rows: DataFrame, total: int, found: DataFrame, disclosed: float = DISCLOSED, support: int = SUPPORT) -> DataFrame:
+    """(entity, term) where the term discloses the entity.
+
+    All counts are of different whole texts of the corpus, ``total`` in all: those with the entity,
+    with the term and with both. Copies of a text count once. Both must also be together where the
+    words near the entity differ, ``support`` times.
     """
-    seen = materialise(near.select("entity", "context", "term").distinct(), "pii-contexts")
-    both = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
-    by_entity = seen.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
-    by_term = seen.groupBy("term").agg(F.count(F.lit(1)).alias("of_term"))
-    total = seen.select("entity", "context").distinct().count()
+    once = F.round(F.sum(F.lit(1.0) / F.col("copies")))
+    met = found.where(F.size("entities") > 0).select("copies", "entities")
+    by_entity = met.select("copies", F.explode(F.array_distinct(F.col("entities.entity"))).alias("entity")).groupBy("entity").agg(once.alias("of_entity"))
+    around = met.select(F.explode("entities").alias("e")).select("e.*").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("contexts"))
+    # An entity of fewer texts or contexts than ``support`` can't have a term with as many.
+    entities = materialise(by_entity.where(F.col("of_entity") >= support).join(around.where(F.col("contexts") >= support).select("entity"), "entity"), "pii-entities")
+    if entities.isEmpty():
+        return rows.sparkSession.createDataFrame([], "entity long, term string")
+    counts = materialise(count_terms(rows, entities), "pii-counts")
+    by_term = counts.where(F.col("entity").isNull()).groupBy("term").agg(F.round(F.sum("n")).alias("of_term"))
+    by_context = counts.where(F.col("entity").isNotNull()).groupBy("entity", "term", "context").agg(F.sum("n").alias("n"))
+    both = by_context.groupBy("entity", "term").agg(F.round(F.sum("n")).alias("both"), F.count(F.lit(1)).alias("contexts")).where((F.col("both") >= support) & (F.col("contexts") >= support))
     # What a term tells of an entity is log(total * both / (of_entity * of_term)); the entity's own information is log(total / of_entity).
-    joined = both.join(by_entity, "entity").join(by_term, "term")
+    joined = both.join(entities, "entity").join(by_term, "term")
     tells = F.log2(F.lit(float(max(total, 1))) * F.col("both") / (F.col("of_entity") * F.col("of_term")))
     names = F.log2(F.lit(float(max(total, 1))) / F.col("of_entity"))
-    return joined.where((names > 0) & (tells >= disclosed * names)).select("entity", "term")
+    return materialise(joined.where((names > 0) & (tells >= disclosed * names)).select("entity", "term"), "pii-told")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -120,10 +225,10 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     Null text is empty; repeated rows are scanned each; other columns take no part; an empty table
     gives an empty result. Places are code points, ends exclusive.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows, total = with_copies(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
     found = materialise(rows.mapInArrow(_scan, _FOUND), "pii-found")
+    told = disclosing_terms(rows, total, found)
     near = found.select("row_id", F.explode("near").alias("w")).select("row_id", "w.*")
-    told = disclosing_terms(near)
     terms = near.join(told, ["entity", "term"]).groupBy("row_id").agg(F.sort_array(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end"))).alias("terms"))
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     return found.select("row_id", "doc_id", "spans").join(terms, "row_id", "left").select("doc_id", F.concat("spans", F.coalesce("terms", none)).alias("spans"))

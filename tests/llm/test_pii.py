@@ -65,6 +65,23 @@ def test_terms_that_keep_to_one_entity_disclose_it(spark):
     assert f"term:{says}:" not in got[30]
 
 
+def test_a_term_of_many_texts_without_entities_discloses_none(spark):
+    texts = [f"note {w} mentions harbour for zed@corp.example {w}" for w in ("alpha", "beta", "gamma", "delta")]
+    texts += [f"the harbour was quiet in {w} and nobody came" for w in ("spring", "summer", "autumn", "winter", "january", "february", "march", "april")]
+    rows = [(k, text, "en", "a", 1) for k, text in enumerate([*texts, *(f"filler number {'x' * k} goes here" for k in range(3, 15))])]
+    got = {r.doc_id: r.spans for r in pii.scan_personal_data(documents(spark, rows)).collect()}
+    at = texts[0].index("harbour")
+    assert f"term:{at}:" not in got[0]
+    assert f"term:{texts[0].index('mentions')}:" in got[0]
+
+
+def test_copies_of_a_text_count_once(spark):
+    texts = [f"note {w} mentions harbour for zed@corp.example {w}" for w in ("alpha", "beta", "gamma", "delta")]
+    rows = [(k, text, "en", "a", 1) for k, text in enumerate([*texts, *["the harbour was quiet"] * 30, *(f"filler number {'x' * k} goes here" for k in range(3, 15))])]
+    got = {r.doc_id: r.spans for r in pii.scan_personal_data(documents(spark, rows)).collect()}
+    assert f"term:{texts[0].index('harbour')}:" in got[0]
+
+
 def test_sanitised_text(spark):
     out = {r.doc_id: r.text for r in pii.sanitise(documents(spark, ROWS[len(AWKWARD) :])).collect()}
     assert out[20].startswith("é😀 mail [email], [email]") and "[card]" in out[20] and "[phone]" in out[20] and "[ip]" in out[20]

@@ -3,7 +3,7 @@
 Patterns find the protected entities. Over all texts of the corpus, counts of the texts that hold an
 entity, a term and both tell how strongly the term points at the entity: its pointwise mutual
 information with the entity, against all the information that names the entity. A term that discloses
-most of it, in several different contexts, is a span too, and is generalised with the entity.
+most of it, in several different contexts, is a span too wherever it stands, and is generalised.
 """
 
 from __future__ import annotations
@@ -98,16 +98,15 @@ def terms_of(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
     return {m.group().lower() for m in _TERM.finditer(text) if apart(m)}
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, list[re.Match]]]:
-    """Per entity: its hash, the hash of the words near it on its line, and these words."""
+def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Per entity: its hash, and the hash of the words near it on its line."""
     out, apart = [], _outside(spans)
     for kind, start, end in spans:
         entity = xxhash.xxh64_intdigest(f"{kind}:{text[start:end].lower()}") >> 1
         left, right = text.rfind("\n", max(0, start - REACH), start) + 1 or max(0, start - REACH), text.find("\n", end, end + REACH)
         right = min(len(text), end + REACH) if right < 0 else right
         words = [m for m in _TERM.finditer(text, left, start)][-NEAR:] + [m for m in _TERM.finditer(text, end, right)][:NEAR]
-        words = [m for m in words if apart(m)]
-        out.append((entity, xxhash.xxh64_intdigest(" ".join(m.group().lower() for m in words)) >> 1, words))
+        out.append((entity, xxhash.xxh64_intdigest(" ".join(m.group().lower() for m in words if apart(m))) >> 1))
     return out
 
 
@@ -115,22 +114,16 @@ def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (batch.slice(at, 512) for batch in batches for at in range(0, batch.num_rows, 512))
 
 
-_FOUND = "row_id long, doc_id long, copies long, spans array<struct<kind:int,start:int,end:int>>, entities array<struct<entity:bigint,context:bigint>>, near array<struct<entity:bigint,term:string,start:int,end:int>>"
-
-
 def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+    """Per text with an entity: copies, and its entities with their contexts."""
     pair = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64())]))
-    near = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
     for part in _parts(batches):
-        spans, entities, words = [], [], []
-        for text in part.column("text").to_pylist():
-            own = base_spans(text or "")
-            around = contexts(text, own) if own else []
-            spans.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in own])
-            entities.append([{"entity": e, "context": c} for e, c, _ in around])
-            words.append([{"entity": e, "term": m.group().lower(), "start": m.start(), "end": m.end()} for e, _, near in around for m in near])
-        yield pa.RecordBatch.from_arrays([part.column("row_id"), part.column("doc_id"), part.column("copies"), pa.array(spans, span), pa.array(entities, pair), pa.array(words, near)], names=["row_id", "doc_id", "copies", "spans", "entities", "near"])
+        copies, entities = [], []
+        for text, n in zip(part.column("text").to_pylist(), part.column("copies").to_pylist(), strict=True):
+            if spans := base_spans(text or ""):
+                copies.append(n)
+                entities.append([{"entity": e, "context": c} for e, c in contexts(text, spans)])
+        yield pa.RecordBatch.from_arrays([pa.array(copies, pa.int64()), pa.array(entities, pair)], names=["copies", "entities"])
 
 
 def with_copies(rows: DataFrame) -> tuple[DataFrame, int]:
@@ -178,7 +171,7 @@ def count_terms(rows: DataFrame, entities: DataFrame) -> DataFrame:
                 for term in terms:
                     counts[None, None, term] = counts.get((None, None, term), 0.0) + 1 / copies
                 met = set()
-                for entity, context in dict.fromkeys((e, c) for e, c, _ in contexts(text, spans)) if spans else ():
+                for entity, context in dict.fromkeys(contexts(text, spans)) if spans else ():
                     if _among(bits, entity):
                         for term in terms:
                             counts[entity, context, term] = counts.get((entity, context, term), 0.0) + (0.0 if entity in met else 1 / copies)
@@ -193,7 +186,7 @@ def count_terms(rows: DataFrame, entities: DataFrame) -> DataFrame:
     return rows.select("text", "copies").mapInArrow(count, "entity long, context long, term string, n double")
 
 
-def disclosing_terms(rows: DataFrame, total: int, found: DataFrame, disclosed: float = DISCLOSED, support: int = SUPPORT) -> DataFrame:
+def disclosing_terms(rows: DataFrame, total: int, disclosed: float = DISCLOSED, support: int = SUPPORT) -> DataFrame:
     """(entity, term) where the term discloses the entity.
 
     All counts are of different whole texts of the corpus, ``total`` in all: those with the entity,
@@ -201,7 +194,7 @@ def disclosing_terms(rows: DataFrame, total: int, found: DataFrame, disclosed: f
     words near the entity differ, ``support`` times.
     """
     once = F.round(F.sum(F.lit(1.0) / F.col("copies")))
-    met = found.where(F.size("entities") > 0).select("copies", "entities")
+    met = materialise(rows.select("text", "copies").mapInArrow(_scan, "copies long, entities array<struct<entity:bigint,context:bigint>>"), "pii-entities-met")
     by_entity = met.select("copies", F.explode(F.array_distinct(F.col("entities.entity"))).alias("entity")).groupBy("entity").agg(once.alias("of_entity"))
     around = met.select(F.explode("entities").alias("e")).select("e.*").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("contexts"))
     # An entity of fewer texts or contexts than ``support`` can't have a term with as many.
@@ -219,17 +212,44 @@ def disclosing_terms(rows: DataFrame, total: int, found: DataFrame, disclosed: f
     return materialise(joined.where((names > 0) & (tells >= disclosed * names)).select("entity", "term"), "pii-told")
 
 
+_MARKED = "row_id long, doc_id long, spans array<struct<kind:int,start:int,end:int>>, words array<struct<term:string,start:int,end:int>>"
+
+
+def mark(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """Per row: row_id, doc_id, spans of the entities, and words: all places of the ``terms`` (and of a few more) in the whole text."""
+    sent = rows.sparkSession.sparkContext.broadcast(_bits(terms.select(F.xxhash64("term").alias("hash"))))
+
+    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        span = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+        word = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+        bits = sent.value
+        some = any(bits)
+        for part in _parts(batches):
+            spans, words = [], []
+            for text in part.column("text").to_pylist():
+                own = base_spans(text or "")
+                spans.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in own])
+                # 42 is the seed of Spark's xxhash64.
+                told = {t for t in terms_of(text or "", own) if _among(bits, xxhash.xxh64_intdigest(t, 42))} if some else ()
+                apart = _outside(own)
+                words.append([{"term": t, "start": m.start(), "end": m.end()} for m in _TERM.finditer(text) if (t := m.group().lower()) in told and apart(m)] if told else [])
+            yield pa.RecordBatch.from_arrays([part.column("row_id"), part.column("doc_id"), pa.array(spans, span), pa.array(words, word)], names=["row_id", "doc_id", "spans", "words"])
+
+    return rows.select("row_id", "doc_id", "text").mapInArrow(scan, _MARKED)
+
+
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, spans (kind, start, end; by kind, then start), terms of the method included.
 
-    Null text is empty; repeated rows are scanned each; other columns take no part; an empty table
-    gives an empty result. Places are code points, ends exclusive.
+    A disclosing term is a span wherever it stands, whether or not its text names the entity. Null
+    text is empty; repeated rows are scanned each; other columns take no part; an empty table gives
+    an empty result. Places are code points, ends exclusive.
     """
-    rows, total = with_copies(docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    found = materialise(rows.mapInArrow(_scan, _FOUND), "pii-found")
-    told = disclosing_terms(rows, total, found)
-    near = found.select("row_id", F.explode("near").alias("w")).select("row_id", "w.*")
-    terms = near.join(told, ["entity", "term"]).groupBy("row_id").agg(F.sort_array(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end"))).alias("terms"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    told = materialise(disclosing_terms(*with_copies(rows)).select("term").distinct(), "pii-terms")
+    found = materialise(mark(rows, told), "pii-found")
+    words = found.where(F.size("words") > 0).select("row_id", F.explode("words").alias("w")).select("row_id", "w.*")
+    terms = words.join(told, "term").groupBy("row_id").agg(F.sort_array(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end"))).alias("terms"))
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     return found.select("row_id", "doc_id", "spans").join(terms, "row_id", "left").select("doc_id", F.concat("spans", F.coalesce("terms", none)).alias("spans"))
 

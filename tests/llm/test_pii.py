@@ -88,5 +88,15 @@ def test_sanitised_text(spark):
     assert "wexford" not in out[30] and "[term]" in out[30]
 
 
+def test_disclosing_terms_are_marked_wherever_they_stand(spark):
+    far = ROWS[len(AWKWARD) + 3][1] + "\nWexford again, " + "and so on " * 200 + "wexford\n"
+    rows = [*ROWS[len(AWKWARD) :], (50, far, "en", "a", 1), (51, "only wexford, no address", "en", "a", 1)]
+    got = {r.doc_id: r.spans.split(",") for r in pii.scan_personal_data(documents(spark, rows)).collect()}
+    for i, text in ((50, far), (51, rows[-1][1])):
+        assert {f"term:{m.start()}:{m.end()}" for m in re.finditer("(?i)wexford", text)} <= set(got[i])
+    out = {r.doc_id: r.text.lower() for r in pii.sanitise(documents(spark, rows)).collect()}
+    assert not any("wexford" in text for text in out.values())
+
+
 def test_empty_table(spark):
     assert pii.scan_personal_data(documents(spark, [])).count() == 0

@@ -156,31 +156,34 @@ def count_terms(rows: DataFrame, entities: DataFrame) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(_bits(entities.select(F.col("entity").alias("hash"))))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, counts = sent.value, {}
+        bits, counts, alone = sent.value, {}, {}
 
         def flush() -> pa.RecordBatch:
-            keys = [pa.array([k[at] for k in counts], kind) for at, kind in enumerate((pa.int64(), pa.int64(), pa.string()))]
-            out = pa.RecordBatch.from_arrays([*keys, pa.array(list(counts.values()), pa.float64())], names=["entity", "context", "term", "n"])
+            pairs = [*counts, *((None, None, term) for term in alone)]
+            keys = [pa.array([k[at] for k in pairs], kind) for at, kind in enumerate((pa.int64(), pa.int64(), pa.string()))]
+            out = pa.RecordBatch.from_arrays([*keys, pa.array([*counts.values(), *alone.values()], pa.float64())], names=["entity", "context", "term", "n"])
             counts.clear()
+            alone.clear()
             return out
 
         for part in _parts(batches):
             for text, copies in zip(part.column("text").to_pylist(), part.column("copies").to_pylist(), strict=True):
                 spans = base_spans(text or "")
                 terms = terms_of(text or "", spans)
+                share, before = 1 / copies, alone.get
                 for term in terms:
-                    counts[None, None, term] = counts.get((None, None, term), 0.0) + 1 / copies
+                    alone[term] = before(term, 0.0) + share
                 met = set()
                 for entity, context in dict.fromkeys(contexts(text, spans)) if spans else ():
                     if _among(bits, entity):
                         for term in terms:
-                            counts[entity, context, term] = counts.get((entity, context, term), 0.0) + (0.0 if entity in met else 1 / copies)
+                            counts[entity, context, term] = counts.get((entity, context, term), 0.0) + (0.0 if entity in met else share)
                         met.add(entity)
                         if len(counts) >= COUNTS_AT_ONCE:
                             yield flush()
-                if len(counts) >= COUNTS_AT_ONCE:
+                if len(counts) + len(alone) >= COUNTS_AT_ONCE:
                     yield flush()
-        if counts:
+        if counts or alone:
             yield flush()
 
     return rows.select("text", "copies").mapInArrow(count, "entity long, context long, term string, n double")
@@ -224,13 +227,18 @@ def mark(rows: DataFrame, terms: DataFrame) -> DataFrame:
         word = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         bits = sent.value
         some = any(bits)
+        clear: set[str] = set()  # words that are no such terms
         for part in _parts(batches):
             spans, words = [], []
             for text in part.column("text").to_pylist():
                 own = base_spans(text or "")
                 spans.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in own])
                 # 42 is the seed of Spark's xxhash64.
-                told = {t for t in terms_of(text or "", own) if _among(bits, xxhash.xxh64_intdigest(t, 42))} if some else ()
+                fresh = set(_TERM.findall(text or "")) - clear if some else ()
+                told = {t for t in {w.lower() for w in fresh} if _among(bits, xxhash.xxh64_intdigest(t, 42))}
+                if len(clear) >= COUNTS_AT_ONCE:
+                    clear.clear()
+                clear.update(w for w in fresh if w.lower() not in told)
                 apart = _outside(own)
                 words.append([{"term": t, "start": m.start(), "end": m.end()} for m in _TERM.finditer(text) if (t := m.group().lower()) in told and apart(m)] if told else [])
             yield pa.RecordBatch.from_arrays([part.column("row_id"), part.column("doc_id"), pa.array(spans, span), pa.array(words, word)], names=["row_id", "doc_id", "spans", "words"])

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
 
-from ..operators import density
+from ..operators import density, sampling
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,23 +35,33 @@ def stream_histogram(points: DataFrame, resolutions: Iterable[int]) -> DataFrame
     return density.histogram(points, resolutions)
 
 
-def every_nth_per_key(rows: DataFrame, n: int, key: str, order: str) -> DataFrame:
-    """Every nth row of each key as rows arrive; the rows of one chunk go by ``order``.
+def every_nth_per_key(rows: DataFrame, n: int, key: str, order: str, span: int = sampling.SPAN) -> DataFrame:
+    """Every nth row of each key over what the stream holds now; a micro-batch's rows go by the whole number ``order``.
 
-    The state is one count per key and has no expiry. Rows come in chunks, so a frequent key's batch
-    is never held whole.
+    Micro-batches are numbered in spans of ``order``, so a frequent key isn't in one task. The rows,
+    the counts per key and the result of a micro-batch are kept by its id, so a retry replaces them.
     """
     if n < 1:
         raise ValueError("n must be 1 or more")
+    spark, base = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/stream-{uuid.uuid4().hex}"
     schema = rows.schema
 
-    def pick(_: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = state.get[0] if state.exists else 0
-        for chunk in chunks:
-            chunk = chunk.sort_values(order, kind="stable")
-            number = seen + 1 + pd.RangeIndex(len(chunk))
-            seen += len(chunk)
-            yield chunk[number % n == 0]
-        state.update((seen,))
+    def pick(batch: DataFrame, at: int) -> None:
+        own = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{base}/rows/batch={at}")
+        held = own.read.schema(schema).parquet(f"{base}/rows/batch={at}")
+        held.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).write.mode("overwrite").parquet(f"{base}/counts/batch={at}")
+        seen = own.read.parquet(f"{base}/counts").where(F.col("batch") < at).groupBy("_key").agg(F.sum("_n").alias("_seen"))
+        numbered = sampling.running_number(held, [key], order, span).join(seen, F.col(key).eqNullSafe(F.col("_key")), "left")
+        picked = numbered.where((F.col("number") + F.coalesce("_seen", F.lit(0))) % n == 0)
+        picked.select(*schema.names).write.mode("overwrite").parquet(f"{base}/out/batch={at}")
 
-    return rows.groupBy(key).applyInPandasWithState(pick, schema, "seen long", "append", GroupStateTimeout.NoTimeout)
+    rows.writeStream.foreachBatch(pick).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    done = spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/out") if _exists(spark, f"{base}/out") else done
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there, on whichever store."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import SMALL_BATCHES, materialise, settings, start_task
+from .common import SMALL_BATCHES, materialise, settings, task
 
 ORDERS = (2, 3, 4)
 #: Labelled documents per language that training reads, in expectation.
@@ -163,7 +163,6 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageFilter
     sample = labelled.join(F.broadcast(chance), "lang").where(chosen).select("text", "bit")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start_task("langid")
         for batch in _slices(batches):
             bits = np.array(batch.column("bit").to_pylist(), dtype=np.int64)
             for hashes, owner in _grams(batch.column("text").to_pylist()):
@@ -171,7 +170,7 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageFilter
                     gram, n = np.unique(hashes[bits[owner] == b], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(np.full(len(gram), b, np.int32)), pa.array(n.astype(np.int64))], names=["gram", "bit", "n"])
 
-    counted = sample.mapInArrow(count, "gram long, bit int, n long").groupBy("gram", "bit").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(task("langid", count), "gram long, bit int, n long").groupBy("gram", "bit").agg(F.sum("n").alias("n"))
     with settings(spark, SMALL_BATCHES):
         counted = materialise(counted, "lang-grams")
     totals = counted.groupBy("bit").agg(F.sum("n").alias("total"))
@@ -205,7 +204,6 @@ def predict(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
     apart = "text" in docs.columns
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start_task("langid")
         own = sent.value
         for batch in _slices(batches):
             column = batch.column("text") if apart else batch.column("row").field("text")
@@ -218,7 +216,7 @@ def predict(docs: DataFrame, filters: LanguageFilters) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(named, pa.string()), pa.array(np.clip(score, 0, 1))], names=[*names, "lang_pred", "score"])
 
     schema = StructType([f for f in docs.schema if f.name != "text"] + [StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.mapInArrow(judge, schema)
+    return docs.mapInArrow(task("langid", judge), schema)
 
 
 def held_out(docs: DataFrame):

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_BATCHES, materialise, remember, settings, start_task
+from .common import SMALL_BATCHES, Recent, keep, materialise, remember, scratch, settings, task, text_slices
 
 #: Remainders in one shard, on average: what one task holds.
 SHARD_ROWS = 4_096
@@ -34,6 +34,7 @@ FULL_ENOUGH = 0.995
 
 #: White space on which Python and the tokenizer may not agree.
 UNUSUAL_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u3000]")
+SPACE = re.compile(r"\s")
 #: Characters whose lower case and composition need no context: printable ASCII and Latin-1 letters.
 PLAIN = re.compile("[\\x21-\\x7e\\xc0-\\xff]+")
 
@@ -48,9 +49,8 @@ class WordEncoder:
     to the tokenizer's model; everything else goes through the whole tokenizer.
     """
 
-    #: Chunks and words remembered, so that memory stays bounded on any corpus.
-    REMEMBERED = 600_000
-    LONGEST = 64
+    #: Characters of a long text that are looked at together.
+    PART = 1 << 20
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs as many tasks as there are cores
@@ -63,43 +63,36 @@ class WordEncoder:
         # Byte-level models name a byte by a printable character: its own if it has one, else the next from 256 on.
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.byte_names = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in own)}
-        self.chunks: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.chunks = Recent(self._chunk)
+        self.known = Recent(self._word)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        found = self.known.get(word)
-        if found is None:
-            named = word if word.isascii() else "".join([self.byte_names[b] for b in word.encode()])
-            found = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(named)])
-            if len(word) <= self.LONGEST:
-                if len(self.known) >= self.REMEMBERED:
-                    self.known.clear()
-                self.known[word] = found
-        return found
+        named = word if word.isascii() else "".join([self.byte_names[b] for b in word.encode()])
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(named)])
 
     def _chunk(self, chunk: str) -> bytes:
         if "<|" in chunk or not PLAIN.fullmatch(chunk):
             return self._whole(chunk)
-        return b"".join([self._word(w) for w in self.words.findall(chunk.lower())])
+        return b"".join([self.known.one(w) for w in self.words.findall(chunk.lower())])
+
+    def _in_parts(self, text: str) -> Iterator[bytes]:
+        """The ids of a long text's parts, which end at white space, so that few of its chunks are held at a time."""
+        at = 0
+        while at < len(text):
+            gap = SPACE.search(text, at + self.PART)
+            end = gap.start() if gap else len(text)
+            chunks = text[at:end].split()
+            yield b"".join(map(self.chunks.holding(set(chunks)).__getitem__, chunks))
+            at = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if UNUSUAL_SPACE.search(t) else t.split() for t in texts]
-        used = set().union(*filter(None, split))
-        if len(self.chunks) > self.REMEMBERED:  # what is in use now is what is used most
-            self.chunks = {c: self.chunks[c] for c in used.intersection(self.chunks)}
-        known = self.chunks
-        long = []
-        for c in used.difference(known):
-            known[c] = self._chunk(c)
-            if len(c) > self.LONGEST:
-                long.append(c)
-        out = [self._whole(t) if c is None else b"".join(map(known.__getitem__, c)) for t, c in zip(texts, split, strict=True)]
-        for c in long:
-            del known[c]
-        return out
+        out: list[bytes | None] = [self._whole(t) if UNUSUAL_SPACE.search(t) else b"".join(self._in_parts(t)) if len(t) > self.PART else None for t in texts]
+        split = [t.split() if found is None else () for t, found in zip(texts, out, strict=True)]
+        known = self.chunks.holding(set().union(*split))
+        return [b"".join(map(known.__getitem__, c)) if found is None else found for c, found in zip(split, out, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -116,27 +109,24 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 2
     """
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start_task("packing")
         encoder = encoder_for(tokenizer)
         end = np.array([end_id], dtype="<u4").tobytes()
         step = 4 * length
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                out: list[tuple] = []
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                for row_id, doc_id, ids in zip(part.column("row_id").to_pylist(), part.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
-                    ids += end
-                    for k, start in enumerate(range(0, len(ids), step)):
-                        own = ids[start : start + step]
-                        out.append((row_id, doc_id, k, start // 4, len(own) // 4, zlib.crc32(own), *([own] if keep_ids else [])))
-                columns = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.binary()] if keep_ids else [])]
-                names = ["row_id", "doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        for part in text_slices(batches):
+            out: list[tuple] = []
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            for row_id, doc_id, ids in zip(part.column("row_id").to_pylist(), part.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
+                ids += end
+                for k, start in enumerate(range(0, len(ids), step)):
+                    own = ids[start : start + step]
+                    out.append((row_id, doc_id, k, start // 4, len(own) // 4, zlib.crc32(own), *([own] if keep_ids else [])))
+            columns = list(zip(*out, strict=True))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.binary()] if keep_ids else [])]
+            names = ["row_id", "doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(cut, PIECES + (", ids binary" if keep_ids else ""))
+    return rows.mapInArrow(task("packing", cut), PIECES + (", ids binary" if keep_ids else ""))
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> np.ndarray:

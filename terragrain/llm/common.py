@@ -89,12 +89,16 @@ def hot_keys(counts: DataFrame, keys: list[str]) -> DataFrame | None:
     ``counts`` has the keys and ``n``. A key is hot from HOT_ROWS rows on, or a HOT_KEYS-th of all such
     rows, so the table has fewer than HOT_KEYS rows whatever the input is, and can be broadcast.
     """
-    many = materialise(counts.where(F.col("n") > HOT_ROWS).select(*keys, "n"), "hot-keys")
-    total = many.agg(F.sum("n")).first()[0]
+    total = counts.where(F.col("n") > HOT_ROWS).agg(F.sum("n")).first()[0]
     if not total:
         return None
     most = max(HOT_ROWS, total // HOT_KEYS)
-    return many.where(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    return materialise(counts.where(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("parts")), "hot-keys")
+
+
+def hot_keys_of(rows: DataFrame, keys: list[str]) -> DataFrame | None:
+    """``hot_keys`` of a table's own rows, which aren't counted by key where they are few."""
+    return None if rows.count() <= HOT_ROWS else hot_keys(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys)
 
 
 def split_join(many: DataFrame, one: DataFrame, keys: list[str], by: str | Column, hot: DataFrame | None, how: str = "inner") -> DataFrame:
@@ -175,16 +179,16 @@ def text_slices(batches: Iterable[pa.RecordBatch], rows: int = 256, size: int =
 
 
 class Recent:
-    """Values by key, worked out once while they are in use; what it holds stays within ``budget`` bytes, twice.
+    """Values by key, worked out together while they are in use; what it holds stays within ``budget`` bytes, twice.
 
-    Keys and values are texts or bytes. A full generation is kept as the older one, and what is asked
-    for again moves to the newer.
+    Keys and values are texts or bytes; ``make`` gives the values of a list of keys. A full generation
+    is kept as the older one, and what is asked for again moves to the newer.
     """
 
     #: Bytes of an entry besides the contents of key and value: two objects and their place in the table.
     ENTRY = 200
 
-    def __init__(self, make: Callable, budget: int = 12 << 20):
+    def __init__(self, make: Callable[[list], Iterable], budget: int = 16 << 20):
         self.make, self.budget = make, budget
         self.newer: dict = {}
         self.older: dict = {}
@@ -196,26 +200,13 @@ class Recent:
         if missing and self.held > self.budget:
             self.older, self.newer, self.held = self.newer, {}, 0
             missing = keys
-        for k in missing:
-            self._add(k)
+        again = missing.intersection(self.older)
+        fresh = list(missing.difference(again))
+        added = {k: self.older[k] for k in again} | dict(zip(fresh, self.make(fresh), strict=True))
+        self.newer |= added
+        self.held += self.ENTRY * len(added) + sum(map(len, added)) + sum(map(len, added.values()))
         return self.newer
 
-    def one(self, key):
-        found = self.newer.get(key)
-        if found is None:
-            if self.held > self.budget:
-                self.older, self.newer, self.held = self.newer, {}, 0
-            found = self._add(key)
-        return found
-
-    def _add(self, key):
-        found = self.older.get(key)
-        if found is None:
-            found = self.make(key)
-        self.newer[key] = found
-        self.held += self.ENTRY + len(key) + len(found)
-        return found
-
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once per application."""

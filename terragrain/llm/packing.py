@@ -42,7 +42,7 @@ PIECES = "row_id long, doc_id long, piece int, start long, length long, ids_crc3
 
 
 class WordEncoder:
-    """Token ids of whole texts, by white-space separated chunks that are encoded once.
+    """Token ids of whole texts, by white-space separated chunks that are encoded once while they are in use.
 
     The tokenizer drops white space and never joins across it, so a text's ids are its chunks' ids
     in a row. A chunk of plain characters is split by the tokenizer's own pattern, and its words go
@@ -63,20 +63,27 @@ class WordEncoder:
         # Byte-level models name a byte by a printable character: its own if it has one, else the next from 256 on.
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.byte_names = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in own)}
-        self.chunks = Recent(self._chunk)
-        self.known = Recent(self._word)
+        self.chunks = Recent(self._encode_chunks)
+        self.known = Recent(self._encode_words)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        named = word if word.isascii() else "".join([self.byte_names[b] for b in word.encode()])
-        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(named)])
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        tokenize, names = self.model.tokenize, self.byte_names
+        named = (w if w.isascii() else "".join([names[b] for b in w.encode()]) for w in words)
+        return [b"".join([t.id.to_bytes(4, "little") for t in tokenize(w)]) for w in named]
 
-    def _chunk(self, chunk: str) -> bytes:
-        if "<|" in chunk or not PLAIN.fullmatch(chunk):
-            return self._whole(chunk)
-        return b"".join([self.known.one(w) for w in self.words.findall(chunk.lower())])
+    def _split(self, chunk: str) -> list[str] | None:
+        """The words of a plain chunk; None for any other."""
+        if chunk.isascii() and chunk.isalpha():
+            return [chunk.lower()]
+        return self.words.findall(chunk.lower()) if PLAIN.fullmatch(chunk) and "<|" not in chunk else None
+
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        split = [self._split(c) for c in chunks]
+        known = self.known.holding(set().union(*(w for w in split if w)))
+        return [self._whole(c) if w is None else known[w[0]] if len(w) == 1 else b"".join([known[x] for x in w]) for c, w in zip(chunks, split, strict=True)]
 
     def _in_parts(self, text: str) -> Iterator[bytes]:
         """The ids of a long text's parts, which end at white space, so that few of its chunks are held at a time."""
@@ -182,13 +189,8 @@ def _pack_shard(capacity: int):
     return pack
 
 
-def pack_pieces(pieces: DataFrame, length: int = 2048, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Adds sequence_id and offset to materialised ``pieces``.
-
-    Every document has one remainder at most, so a remainder is known by its ``row_id``.
-    """
-    whole = pieces.where(F.col("length") == length).withColumn("sequence_id", F.monotonically_increasing_id() * 2).withColumn("offset", F.lit(0).cast("long"))
-    todo = pieces.where(F.col("length") < length).select("row_id", "length")
+def place_remainders(todo: DataFrame, length: int, shard_rows: int) -> DataFrame | None:
+    """(placed, sequence_id, offset) of the remainders (row_id, length); None where there are none."""
     rows, done, turn = todo.count(), None, 0
     while rows:
         shards = -(-rows // shard_rows)
@@ -206,8 +208,21 @@ def pack_pieces(pieces: DataFrame, length: int = 2048, shard_rows: int = SHARD_R
             break
         rows, turn = left, turn + 1
     if done is None:
-        return whole
-    places = done.select(F.col("row_id").alias("placed"), ((F.col("bin") * MOST_ROUNDS + F.col("turn")) * 2 + 1).alias("sequence_id"), "offset")
+        return None
+    return done.select(F.col("row_id").alias("placed"), ((F.col("bin") * MOST_ROUNDS + F.col("turn")) * 2 + 1).alias("sequence_id"), "offset")
+
+
+def pack_pieces(pieces: DataFrame, length: int = 2048, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Adds sequence_id and offset to materialised ``pieces``.
+
+    Every document has one remainder at most, so a remainder is known by its ``row_id``.
+    """
+    whole = pieces.where(F.col("length") == length).withColumn("sequence_id", F.monotonically_increasing_id() * 2).withColumn("offset", F.lit(0).cast("long"))
+    with scratch(pieces.sparkSession):
+        places = place_remainders(pieces.where(F.col("length") < length).select("row_id", "length"), length, shard_rows)
+        if places is None:
+            return whole
+        places = keep(places, "places")
     rest = pieces.where(F.col("length") < length).join(places, F.col("row_id") == F.col("placed")).drop("placed")
     return whole.unionByName(rest)
 

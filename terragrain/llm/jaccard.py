@@ -6,24 +6,32 @@
 2. The documents left are collapsed by identical set, and their shingles are ordered from rare to
    frequent. Two similar sets share a shingle of their prefixes (the rarest fifth).
 3. Sets of one size with one prefix form a group. Groups that share a prefix shingle, and whose sizes
-   and positions allow the similarity, are candidates; they are expanded to members and verified on
-   the whole sets.
+   and positions allow the similarity, are candidates; they are expanded to members, verified on the
+   whole sets, and every link that is found is checked once more on the words themselves.
 
 Only connectedness is asked for, so no group is ever expanded to all its pairs at once: first every
 member is verified against one pivot per shingle, links are joined into components, and only members
-of different components are compared further. That loses no link between components.
+of different components are compared further. That loses no link between components. Rows of one
+shingle, pivot or component are dealt over several tasks where there are many.
+
+A word is known by 128 bits of a cryptographic digest, a shingle by 64 bits mixed from its words',
+and a set by 128 bits that digest two such hashes of all its shingles.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SMALL_BATCHES, materialise, settings, start_task
+from .common import HOT_ROWS, SMALL_BATCHES, Recent, hot_keys, hot_keys_of, keep, materialise, remember, scratch, settings, split_join, task, text_slices
 
 WORDS = 5
 #: The similarity as a fraction: 4 / 5.
@@ -34,10 +42,11 @@ BUCKET_BYTES = 6_000_000
 BATCH_SHINGLES = 500_000
 #: Rounds against pivots before what is left is compared in full.
 PIVOT_ROUNDS = 2
+#: Bytes of a long text, and words, that are looked up together.
+PART_BYTES, WORDS_AT_ONCE = 1 << 20, 300_000
 
-_BYTES = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)[np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)])]
-_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -46,39 +55,79 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word_hashes(data: np.ndarray) -> np.ndarray:
-    """One 64-bit hash per word of UTF-8 bytes: a polynomial over the word's bytes, mixed."""
-    space = _SPACE[data]
-    starts = np.flatnonzero(~space & np.r_[True, space[:-1]])
-    if not len(starts):
-        return np.zeros(0, dtype=np.uint64)
-    data, space, starts = data[starts[0] :], space[starts[0] :], starts - starts[0]
-    place = np.arange(len(data)) - np.repeat(starts, np.diff(np.r_[starts, len(data)]))
-    powers = np.empty(int(place.max()) + 1, dtype=np.uint64)
-    powers[0] = 1
-    powers[1:] = _BASE
-    np.multiply.accumulate(powers, out=powers)
-    return _mix(np.add.reduceat(np.where(space, np.uint64(0), _BYTES[data] * powers[place]), starts))
-
-
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The sorted distinct hashes of a text's word n-grams; of all words together, if they are fewer."""
-    own = _word_hashes(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8))
-    if not len(own):
-        return own
-    n = min(words, len(own))
-    h = np.full(len(own) - n + 1, n, dtype=np.uint64)
+@lru_cache(maxsize=1)
+def _digests() -> Recent:
+    remember("jaccard", _digests.cache_clear)
+    return Recent(lambda words: [hashlib.blake2b(w, digest_size=16).digest() for w in words])
+
+
+def _words(text: str | None) -> Iterator[list[bytes]]:
+    """The lower-cased words of a text, a long one in parts: bytes split at the same white space as the contract's."""
+    data = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
+    at = 0
+    while at < len(data):
+        gap = _GAP.search(data, at + PART_BYTES)
+        end = gap.start() if gap else len(data)
+        yield data[at:end].split()
+        at = end
+
+
+def _word_digests(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The digests of all words of the texts, two numbers a word, and how many words each text has."""
+    parts: list[np.ndarray] = []
+    counts = np.zeros(len(texts), dtype=np.int64)
+    waiting: list[list[bytes]] = []
+
+    def look_up():
+        known = _digests().holding(set().union(*waiting))
+        parts.append(np.frombuffer(b"".join(map(known.__getitem__, chain.from_iterable(waiting))), dtype="<u8").reshape(-1, 2))
+        waiting.clear()
+
+    held = 0
+    for k, text in enumerate(texts):
+        for words in _words(text):
+            counts[k] += len(words)
+            held += len(words)
+            waiting.append(words)
+            if held >= WORDS_AT_ONCE:
+                look_up()
+                held = 0
+    look_up()
+    return np.concatenate(parts), counts
+
+
+def _fold(digests: np.ndarray, n: int) -> np.ndarray:
+    """Two hashes of every run of ``n`` words."""
+    h = np.full((len(digests) - n + 1, 2), n, dtype=np.uint64)
     for k in range(n):
-        h = _mix(h * np.uint64(31) + own[k : len(own) - n + 1 + k])
-    return np.unique(h)
-
-
-def _set_keys(own: np.ndarray) -> tuple[int, int]:
-    """128 bits that stand for a whole set."""
-    if not len(own):
-        return 0, 0
-    with np.errstate(over="ignore"):
-        return int(np.bitwise_xor.reduce(_mix(own)).view(np.int64)), int(_mix(own ^ _BASE).sum(dtype=np.uint64).view(np.int64))
+        h = _mix(h * np.uint64(31) + digests[k : len(digests) - n + 1 + k])
+    return h
+
+
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[tuple[np.ndarray, int, int]]:
+    """Per text: the sorted distinct hashes of its word n-grams (of all words together, if they are fewer), and 128 bits that stand for the set."""
+    digests, counts = _word_digests(texts)
+    starts, owner = np.cumsum(counts) - counts, np.repeat(np.arange(len(texts)), counts)
+    if len(digests) >= words:
+        h, own = _fold(digests, words), owner[: len(digests) - words + 1]
+        inside = own == owner[words - 1 :]
+        h, own = h[inside], own[inside]
+    else:
+        h, own = np.zeros((0, 2), dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    short = np.flatnonzero((counts > 0) & (counts < words))
+    h = np.concatenate([h, *[_fold(digests[starts[k] : starts[k] + counts[k]], int(counts[k])) for k in short]])
+    own = np.concatenate([own, short])
+    order = np.lexsort((h[:, 0], own))
+    h, own = h[order], own[order]
+    new = np.r_[True, (h[1:, 0] != h[:-1, 0]) | (own[1:] != own[:-1])][: len(h)]
+    h, own = h[new], own[new]
+    at = np.searchsorted(own, np.arange(len(texts) + 1)).tolist()
+    out = []
+    for k in range(len(texts)):
+        part = h[at[k] : at[k + 1]]
+        hi, lo = np.frombuffer(hashlib.blake2b(part.tobytes(), digest_size=16).digest(), dtype="<i8").tolist() if len(part) else (0, 0)
+        out.append((part[:, 0].copy(), hi, lo))
+    return out
 
 
 def least_shared(size: Column) -> Column:
@@ -86,8 +135,9 @@ def least_shared(size: Column) -> Column:
     return F.ceil(size * NUMERATOR / DENOMINATOR)
 
 
-_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("batch", pa.int64()), ("place", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("key_hi", pa.int64()), ("key_lo", pa.int64()), ("repeated", pa.int64()), ("values", pa.binary()), ("places", pa.binary())])
-_PASS = "kind int, bucket int, batch long, place long, doc long, n long, key_hi long, key_lo long, repeated long, values binary, places binary"
+_ARROW = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("batch", pa.int64()), ("place", pa.int64()), ("locator", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("key_hi", pa.int64()), ("key_lo", pa.int64()), ("repeated", pa.int64()), ("values", pa.binary()), ("places", pa.binary())])
+_PASS = "kind int, bucket int, batch long, place long, locator long, doc long, n long, key_hi long, key_lo long, repeated long, values binary, places binary"
+_SET = "locator long, doc long, n long, key_hi long, key_lo long"
 
 
 def _rows(**columns) -> pa.RecordBatch:
@@ -102,20 +152,20 @@ def _send(buckets: int):
     place; and, after those and without a place, of every shingle of several documents, once.
     """
 
-    def rows_of(docs: list[tuple[int | None, np.ndarray]], batch: int) -> Iterator[pa.RecordBatch]:
-        joined = np.concatenate([s for _, s in docs])
-        owner = np.repeat(np.arange(len(docs)), [len(s) for _, s in docs])
+    def rows_of(docs: list[tuple[int, int | None, np.ndarray, int, int]]) -> Iterator[pa.RecordBatch]:
+        batch = docs[0][0]
+        joined = np.concatenate([s for _, _, s, _, _ in docs])
+        owner = np.repeat(np.arange(len(docs)), [len(s) for _, _, s, _, _ in docs])
         order = np.argsort(joined, kind="stable")
         values = joined[order]
         new = np.r_[True, values[1:] != values[:-1]][: len(values)]
         single = new & np.r_[new[1:], True][: len(values)]
         alone = np.zeros(len(joined), dtype=bool)
         alone[order] = single
-        keys = [_set_keys(s) for _, s in docs]
         places = np.arange(len(docs))
         yield _rows(
-            kind=np.zeros(len(docs), np.int32), bucket=((batch + places) % buckets).astype(np.int32), batch=np.full(len(docs), batch), place=places, doc=[d for d, _ in docs], n=[len(s) for _, s in docs],
-            key_hi=[k for k, _ in keys], key_lo=[k for _, k in keys], repeated=np.bincount(owner[~alone], minlength=len(docs)),
+            kind=np.zeros(len(docs), np.int32), bucket=((batch + places) % buckets).astype(np.int32), batch=np.full(len(docs), batch), place=places, locator=[d[0] for d in docs], doc=[d[1] for d in docs],
+            n=[len(d[2]) for d in docs], key_hi=[d[3] for d in docs], key_lo=[d[4] for d in docs], repeated=np.bincount(owner[~alone], minlength=len(docs)),
         )
         sent = np.concatenate([joined[alone], values[new & ~single]])
         place = np.concatenate([owner[alone], np.full(len(sent) - int(alone.sum()), -1)])
@@ -130,21 +180,19 @@ def _send(buckets: int):
             yield _rows(kind=np.ones(len(part), np.int32), bucket=np.array(part, np.int32), batch=np.full(len(part), batch), values=[low[at[b] : at[b + 1]].tobytes() for b in part], places=steps)
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start_task("jaccard")
-        docs: list[tuple[int | None, np.ndarray]] = []
-        held, number = 0, None
-        for part in (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256)):
-            for doc, row, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "row", "text")), strict=True):
-                number = row if number is None else number
-                docs.append((doc, shingles(text)))
-                held += len(docs[-1][1]) + 64
-                if held >= BATCH_SHINGLES:
-                    yield from rows_of(docs, number)
-                    docs, held, number = [], 0, None
+        docs: list[tuple[int, int | None, np.ndarray, int, int]] = []
+        held = 0
+        for part in text_slices(batches):
+            for locator, doc, own in zip(part.column("locator").to_pylist(), part.column("doc").to_pylist(), shingle_sets(part.column("text").to_pylist()), strict=True):
+                docs.append((locator, doc, *own))
+                held += len(own[0]) + 64
+            if held >= BATCH_SHINGLES:
+                yield from rows_of(docs)
+                docs, held = [], 0
         if docs:
-            yield from rows_of(docs, number)
+            yield from rows_of(docs)
 
-    return send
+    return task("jaccard", send)
 
 
 def _answer(rows: pa.Table) -> pa.Table:
@@ -177,60 +225,63 @@ def _totals(rows: pa.Table) -> pa.Table:
     docs, sent = rows.filter(pa.array(kinds == 0)), rows.filter(pa.array(kinds == 1))
     place = docs.column("place").to_numpy()
     found = np.bincount(np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(b, dtype="<i4") for b in sent.column("places").to_pylist()]]).astype(np.int64), minlength=int(place.max()) + 1 if len(place) else 0)
-    return docs.select(["doc", "n", "key_hi", "key_lo"]).append_column("repeated", pa.array(docs.column("repeated").to_numpy() + found[place]))
+    return docs.select(["locator", "doc", "n", "key_hi", "key_lo"]).append_column("repeated", pa.array(docs.column("repeated").to_numpy() + found[place]))
+
 
+def stage_rows(docs: DataFrame) -> DataFrame:
+    """The rows as a table of their own: locator, which tells them apart, and row (their columns)."""
+    return materialise(docs.select(F.monotonically_increasing_id().alias("locator"), F.struct(*[F.col(c) for c in docs.columns]).alias("row")), "jaccard-rows")
 
-def describe_sets(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc, n, key_hi, key_lo (of its set), repeated (an upper bound of its shingles that others have)."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+def describe_sets(staged: DataFrame) -> DataFrame:
+    """Per staged row: locator, doc (its doc_id), n, key_hi, key_lo (of its set), repeated (an upper bound of its shingles that others have)."""
+    size = staged.agg(F.sum(F.octet_length("row.text"))).first()[0] or 0
     buckets = max(1, size // BUCKET_BYTES)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
+    rows = staged.select("locator", F.col("row.doc_id").cast("long").alias("doc"), F.col("row.text").alias("text"))
     sent = rows.mapInArrow(_send(buckets), _PASS)
     answered = sent.groupBy("bucket").applyInArrow(_answer, _PASS)
-    totals = answered.groupBy("batch").applyInArrow(_totals, "doc long, n long, key_hi long, key_lo long, repeated long")
-    with settings(docs.sparkSession, SMALL_BATCHES):
+    totals = answered.groupBy("batch").applyInArrow(_totals, _SET + ", repeated long")
+    with settings(staged.sparkSession, SMALL_BATCHES):
         return materialise(totals, "sets")
 
 
+def is_alike(sets: DataFrame) -> DataFrame:
+    """The rows whose set may be similar to another's."""
+    return sets.where((F.col("n") > 0) & (F.col("repeated") >= least_shared(F.col("n"))))
+
+
 def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingles of the rows whose set is the one that ``key_hi`` and ``key_lo`` name."""
-    start_task("jaccard")
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            ids, out = [], []
-            for k, text, hi, lo in zip(*(part.column(c).to_pylist() for c in ("set_id", "text", "key_hi", "key_lo")), strict=True):
-                own = shingles(text)
-                if _set_keys(own) == (hi, lo):
-                    ids.append(k)
-                    out.append(own.view(np.int64))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["set_id", "tokens"])
-
-
-def distinct_sets(docs: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The sets that may be similar to another: (set_id, key_hi, key_lo, n, doc) and (set_id, tokens)."""
-    spark = docs.sparkSession
-    alike = sets.where((F.col("n") > 0) & (F.col("repeated") >= least_shared(F.col("n"))))
-    reps = alike.groupBy("key_hi", "key_lo").agg(F.min("doc").alias("doc"), F.min("n").alias("n"))
-    reps = materialise(reps.withColumn("set_id", F.monotonically_increasing_id()), "reps")
-    keyed = reps.where(F.col("n") > 0).select("set_id", "key_hi", "key_lo", F.coalesce("doc", F.lit(-1)).alias("at"))
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("at"), "text")
+    """The shingles of the texts, beside the texts."""
+    for part in text_slices(batches):
+        tokens = [own.view(np.int64) for own, _, _ in shingle_sets(part.column("text").to_pylist())]
+        yield pa.RecordBatch.from_arrays([part.column("set_id"), pa.array(tokens, pa.list_(pa.int64())), part.column("text")], names=["set_id", "tokens", "text"])
+
+
+def distinct_sets(staged: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The different sets that may be similar to another: (set_id, key_hi, key_lo, n, members, first) and (set_id, tokens, text).
+
+    ``set_id`` is the smallest locator among the set's members, ``first`` its member with the smallest
+    doc_id (null last), then locator.
+    """
+    first = F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", "locator")).alias("first")
+    reps = is_alike(sets).groupBy("key_hi", "key_lo").agg(F.min("locator").alias("set_id"), F.min("n").alias("n"), F.count(F.lit(1)).alias("members"), first)
+    reps = materialise(reps, "reps")
+    texts = staged.select(F.col("locator").alias("set_id"), F.col("row.text").alias("text"))
     # Where the sets are few enough for a Bloom filter, Spark drops the other texts before it shuffles.
-    with settings(spark, SMALL_BATCHES | {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}):
-        found = texts.join(keyed, "at").drop("at").mapInArrow(_tokens, "set_id long, tokens array<long>")
-        tokens = materialise(found.groupBy("set_id").agg(F.first("tokens").alias("tokens")), "tokens")
-    return reps, tokens
+    with settings(staged.sparkSession, SMALL_BATCHES | {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}):
+        found = texts.join(reps.select("set_id"), "set_id").mapInArrow(task("jaccard", _tokens), "set_id long, tokens array<long>, text string")
+        return reps, materialise(found, "tokens")
 
 
 def prefixes(reps: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Per set with shared shingles in its prefix: set_id, n, alone (unshared ones, which come first), prefix (the shared ones in order)."""
+    """Per set with shared shingles in its prefix: set_id, n, alone (unshared ones, which come first), prefix (the shared ones in order, with their frequency)."""
     each = tokens.select("set_id", F.explode("tokens").alias("token"))
-    often = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = each.join(often, "token").groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    often = materialise(each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequencies")
+    hot = hot_keys(often.select("token", F.col("df").alias("n")), ["token"])
+    shared = split_join(each, often, ["token"], "set_id", hot).groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
     size = F.col("n") - least_shared(F.col("n")) + 1
     out = shared.join(reps.select("set_id", "n"), "set_id").withColumn("alone", F.col("n") - F.size("shared")).withColumn("room", size - F.col("alone"))
-    return materialise(out.where("room > 0").select("set_id", "n", "alone", F.transform(F.slice("shared", 1, F.col("room").cast("int")), lambda x: x["token"]).alias("prefix")), "prefixes")
+    return materialise(out.where("room > 0").select("set_id", "n", "alone", F.slice("shared", 1, F.col("room").cast("int")).alias("prefix")), "prefixes")
 
 
 def _may_be_similar(a: str, b: str) -> Column:
@@ -241,13 +292,39 @@ def _may_be_similar(a: str, b: str) -> Column:
     return most * (NUMERATOR + DENOMINATOR) >= both * NUMERATOR
 
 
+def _with_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links whose texts are similar word by word."""
+
+    def ngrams(text: str) -> set:
+        words = list(chain.from_iterable(_words(text)))
+        n = min(WORDS, len(words))
+        return set(zip(*(words[k:] for k in range(n)), strict=False))
+
+    for part in text_slices(batches, rows=64, text=lambda batch: batch.column("text_b")):
+        known: dict[int, set] = {}
+        same = []
+        for b, text_a, text_b in zip(part.column("b").to_pylist(), part.column("text_a").to_pylist(), part.column("text_b").to_pylist(), strict=True):
+            if b not in known:
+                known[b] = ngrams(text_b)
+            own = ngrams(text_a)
+            common = len(own & known[b])
+            same.append(common * DENOMINATOR >= (len(own) + len(known[b]) - common) * NUMERATOR)
+        yield part.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+
+
 def verify(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose whole sets are similar."""
-    left = tokens.select(F.col("set_id").alias("a"), F.col("tokens").alias("tokens_a"))
-    right = tokens.select(F.col("set_id").alias("b"), F.col("tokens").alias("tokens_b"))
+    """Those of the distinct, materialised pairs (a, b) whose whole sets are similar: by their hashes, then by their words."""
+    hot_a, hot_b = (hot_keys_of(pairs, [k]) for k in "ab")
+
+    def beside(rows: DataFrame, column: str) -> DataFrame:
+        right = split_join(rows, tokens.select(F.col("set_id").alias("b"), F.col(column).alias(f"{column}_b")), ["b"], "a", hot_b)
+        return split_join(right, tokens.select(F.col("set_id").alias("a"), F.col(column).alias(f"{column}_a")), ["a"], "b", hot_a)
+
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
     union = F.size("tokens_a") + F.size("tokens_b") - common
-    return pairs.join(right, "b").join(left, "a").where(common * DENOMINATOR >= union * NUMERATOR).select("a", "b")
+    similar = beside(pairs, "tokens").where(common * DENOMINATOR >= union * NUMERATOR).select("a", "b")
+    with settings(pairs.sparkSession, SMALL_BATCHES):
+        return materialise(beside(similar, "text").select("a", "b", "text_a", "text_b").mapInArrow(task("jaccard", _with_words), "a long, b long"), "verified")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -257,63 +334,94 @@ def components(links: DataFrame) -> DataFrame:
     chains shorten by halves.
     """
     both = materialise(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
+    many = both.count() > HOT_ROWS
+    hot = hot_keys_of(both, ["b"])
     labels = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near")).select("id", F.least("id", "near").alias("label"))
     labels = materialise(labels, "labels")
     while True:
-        near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("near"))
+        near = split_join(both, labels.select(F.col("id").alias("b"), "label"), ["b"], "a", hot).groupBy("a").agg(F.min("label").alias("near"))
         lower = labels.join(near, F.col("id") == F.col("a")).select("id", "label", F.least("label", "near").alias("low"))
         jump = labels.select(F.col("id").alias("low"), F.col("label").alias("jumped"))
-        moved = materialise(lower.join(jump, "low").select("id", "label", F.least("low", "jumped").alias("to")), "labels")
+        common = None
+        if many:
+            lower = materialise(lower, "labels")
+            common = hot_keys_of(lower, ["low"])
+        moved = materialise(split_join(lower, jump, ["low"], "id", common).select("id", "label", F.least("low", "jumped").alias("to")), "labels")
         changed = not moved.where("label <> to").isEmpty()
         labels = moved.select("id", F.col("to").alias("label"))
         if not changed:
             return labels
 
 
-def _entries(prefixed: DataFrame) -> DataFrame:
+def _parts() -> Column:
+    """In how many parts the rows of a shingle are dealt."""
+    return F.ceil(F.col("df") / HOT_ROWS).cast("int")
+
+
+def _dealt(entries: DataFrame) -> DataFrame:
+    return entries.withColumn("part", F.pmod(F.xxhash64("set_id"), _parts()).cast("int"))
+
+
+def _to_all_parts(by_token: DataFrame) -> DataFrame:
+    return by_token.withColumn("part", F.explode(F.sequence(F.lit(0), _parts() - 1))).drop("df")
+
+
+def _entries(prefixed: DataFrame, *more: str) -> DataFrame:
     """The index: one row per prefix shingle of a set, with its place in the set's order."""
-    each = prefixed.select("set_id", "n", "alone", F.posexplode("prefix").alias("k", "token"))
-    return each.select("token", "set_id", "n", "alone", (F.col("alone") + F.col("k")).alias("place"))
+    each = prefixed.select("set_id", "n", "alone", *more, F.posexplode("prefix").alias("k", "p"))
+    return each.select("p.token", "p.df", "set_id", "n", "alone", (F.col("alone") + F.col("k")).alias("place"), *more)
+
 
+def _couples(index: DataFrame) -> DataFrame:
+    """(token, label_a, label_b) of the components that share a shingle and may have similar members.
 
-def link_sets(reps: DataFrame, tokens: DataFrame) -> DataFrame | None:
+    The components of a frequent shingle are dealt in parts, and every pair of parts meets in a task of its own.
+    """
+    by_label = index.groupBy("token", "label").agg(F.max("df").alias("df"), F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("place")).alias("most"))
+    own = by_label.withColumn("part", F.pmod(F.xxhash64("label"), _parts()).cast("int"))
+    columns = ("label", "least_n", "most_n", "most")
+    x = own.select("token", *[F.col(c).alias(f"{c}_a") for c in columns], F.col("part").alias("i"), F.explode(F.sequence(F.col("part"), _parts() - 1)).alias("j"))
+    y = own.select("token", *[F.col(c).alias(f"{c}_b") for c in columns], F.explode(F.sequence(F.lit(0), F.col("part"))).alias("i"), F.col("part").alias("j"))
+    # Components whose sizes or positions rule out every pair of members aren't expanded.
+    fits = (F.col("most_n_a") * DENOMINATOR >= F.col("least_n_b") * NUMERATOR) & (F.col("most_n_b") * DENOMINATOR >= F.col("least_n_a") * NUMERATOR)
+    fits = fits & (F.least("most_a", "most_b") * (NUMERATOR + DENOMINATOR) >= (F.col("least_n_a") + F.col("least_n_b")) * NUMERATOR)
+    return x.join(y, ["token", "i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("label_a") < F.col("label_b"))) & fits).select("token", "label_a", "label_b")
+
+
+def link_sets(reps: DataFrame, tokens: DataFrame) -> DataFrame:
     """(id, label) of every set that is similar to another, by connected component."""
     spark = tokens.sparkSession
     own = prefixes(reps, tokens)
     # Sets with an unshared shingle in the prefix can't have it in common with another set.
-    heads = own.where("alone = 0").groupBy("n", "prefix").agg(F.min("set_id").alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    grouped = own.where("alone = 0").join(heads, ["n", "prefix"]).select("set_id", "head")
+    full = own.where("alone = 0").select("set_id", F.col("n").alias("size"), F.col("prefix.token").alias("prefix"))
+    heads = full.groupBy("size", "prefix").agg(F.min("set_id").alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
+    grouped = split_join(full, heads, ["size", "prefix"], "set_id", hot_keys_of(full, ["size", "prefix"])).where("set_id <> head").select("set_id", "head")
     grouped = materialise(grouped, "groups")
-    others = grouped.where("set_id <> head").select("set_id")
-    index = _entries(own.join(others, "set_id", "left_anti")).withColumn("label", F.col("set_id"))
-    pairs = grouped.where("set_id <> head").select(F.col("set_id").alias("a"), F.col("head").alias("b"))
+    index = _entries(own.join(grouped.select("set_id"), "set_id", "left_anti")).withColumn("label", F.col("set_id"))
+    pairs = grouped.select(F.col("set_id").alias("a"), F.col("head").alias("b"))
     links, labels, tried = None, None, None
     for turn in range(PIVOT_ROUNDS + 1):
-        last = turn == PIVOT_ROUNDS
         if labels is not None:
             # From now on single members, and only shingles that sets of several components have.
-            entries = _entries(own).join(labels, F.col("set_id") == F.col("id"), "left").withColumn("label", F.coalesce("label", "set_id")).drop("id")
-            several = entries.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("token")
-            index = materialise(entries.join(several, "token"), "index")
+            labelled = own.join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+            entries = _dealt(_entries(labelled, "label"))
+            several = entries.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.max("df").alias("df")).where("l < h").select("token", "df")
+            index = materialise(entries.join(_to_all_parts(several), ["token", "part"]).drop("part"), "index")
+            if index.isEmpty():
+                break
         entry = F.struct("set_id", "n", "place", "label")
-        if last:
-            by_label = index.groupBy("token", "label").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("place")).alias("most"))
-            x, y = (by_label.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("label", "least_n", "most_n", "most")]) for k in "ab")
-            # Components whose sizes or positions rule out every pair of members aren't expanded.
-            fits = (F.col("most_n_a") * DENOMINATOR >= F.col("least_n_b") * NUMERATOR) & (F.col("most_n_b") * DENOMINATOR >= F.col("least_n_a") * NUMERATOR)
-            fits = fits & (F.least("most_a", "most_b") * (NUMERATOR + DENOMINATOR) >= (F.col("least_n_a") + F.col("least_n_b")) * NUMERATOR)
-            couples = x.join(y, "token").where((F.col("label_a") < F.col("label_b")) & fits).select("token", "label_a", "label_b")
-            met = couples.join(index.select("token", F.col("label").alias("label_a"), entry.alias("p")), ["token", "label_a"])
+        if turn == PIVOT_ROUNDS:
+            met = _couples(index).join(index.select("token", F.col("label").alias("label_a"), entry.alias("p")), ["token", "label_a"])
             met = met.join(index.select("token", F.col("label").alias("label_b"), entry.alias("q")), ["token", "label_b"])
         else:
             # First the set with the fewest unshared shingles, as most similar sets are similar to it; then that of another component.
             order = F.struct("alone", F.xxhash64("set_id")) if turn == 0 else F.struct(F.xxhash64("label", F.lit(turn)), F.col("alone"), F.col("set_id"))
-            pivot = index.groupBy("token").agg(F.min_by(entry, order).alias("q"))
-            met = index.select("token", entry.alias("p")).join(pivot, "token").where("p.label <> q.label")
+            pivot = _to_all_parts(index.groupBy("token").agg(F.min_by(entry, order).alias("q"), F.max("df").alias("df")))
+            met = _dealt(index).select("token", "part", entry.alias("p")).join(pivot, ["token", "part"]).where("p.label <> q.label")
         met = met.where(_may_be_similar("p", "q")).select(F.greatest("p.set_id", "q.set_id").alias("a"), F.least("p.set_id", "q.set_id").alias("b"))
         pairs = (met if pairs is None else met.union(pairs)).distinct()
         pairs = materialise(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = materialise(verify(pairs, tokens), "verified")
+        found = verify(pairs, tokens) if not pairs.isEmpty() else pairs
         if not found.isEmpty():
             links = found if links is None else links.union(found)
             labels = components(links)
@@ -323,32 +431,44 @@ def link_sets(reps: DataFrame, tokens: DataFrame) -> DataFrame | None:
     return labels
 
 
+def linked_rows(staged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per staged row (locator, doc, n, ...) and, for those whose set may be similar to another's, also first: the component's first row."""
+    sets = describe_sets(staged)
+    reps, tokens = distinct_sets(staged, sets)
+    labels = link_sets(reps, tokens)
+    labelled = reps.drop("n").join(labels.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    labelled = materialise(labelled, "labelled")
+    firsts = labelled.groupBy("label").agg(F.min("first").alias("first"))
+    by_key = split_join(labelled.drop("first"), firsts, ["label"], "set_id", hot_keys_of(labelled, ["label"])).select("key_hi", "key_lo", "first")
+    hot = hot_keys(reps.select("key_hi", "key_lo", F.col("members").alias("n")), ["key_hi", "key_lo"])
+    return sets, split_join(is_alike(sets), by_key, ["key_hi", "key_lo"], "locator", hot)
+
+
 def similarity_components(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included).
 
     Null, empty and white-space texts have an empty set and are linked with nothing. Repeated rows and
-    equal sets are linked; a null doc_id stays null unless its set has one that isn't. Columns other
-    than doc_id and text take no part. An empty table gives an empty result.
+    equal sets are linked; a null doc_id stays null unless its component has one that isn't. Columns
+    other than doc_id and text take no part. An empty table gives an empty result.
     """
-    sets = describe_sets(docs)
-    reps, tokens = distinct_sets(docs, sets)
-    labels = link_sets(reps, tokens)
-    labelled = reps.join(labels, F.col("set_id") == F.col("id"), "left").withColumn("label", F.coalesce("label", "set_id"))
-    smallest = labelled.groupBy("label").agg(F.min("doc").alias("component"))
-    by_key = labelled.join(smallest, "label").select("key_hi", "key_lo", "component")
-    return sets.join(by_key, ["key_hi", "key_lo"], "left").select(
-        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc")).otherwise(F.coalesce("component", "doc")).alias("component_id")
-    )
+    with scratch(docs.sparkSession):
+        sets, alike = linked_rows(stage_rows(docs.select("doc_id", "text")))
+        alone = sets.where(~((F.col("n") > 0) & (F.col("repeated") >= least_shared(F.col("n"))))).select("doc", "n", F.col("doc").alias("component"))
+        every = alone.union(alike.select("doc", "n", F.coalesce("first.doc", "doc")))
+        return keep(every.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")), "components")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document per component: the one with the smallest doc_id, all its columns as they are.
+    """``docs`` with one row per component: that with the smallest doc_id, null last; all its columns as they are.
 
-    Rows without a doc_id all stay, as nothing tells which of them is which.
+    Of rows without a doc_id, or with the same one, any one stays, the same on every read of the
+    result. Rows whose text is null, empty or white space all stay, as they are similar to nothing.
     """
-    kept = similarity_components(docs).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-1)).alias("kept")).distinct()
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("kept"))
-    return rows.join(kept, "kept", "left_semi").select("row.*")
+    staged = stage_rows(docs)
+    with scratch(docs.sparkSession):
+        _, alike = linked_rows(staged)
+        dropped = keep(alike.where(F.col("locator") != F.col("first.locator")).select("locator"), "near-copies")
+    return staged.join(dropped, "locator", "left_anti").select("row.*")
 
 
 SQL = r"""

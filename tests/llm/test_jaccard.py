@@ -1,10 +1,9 @@
 import random
 import re
 
-import numpy as np
 import pytest
 
-from terragrain.llm import jaccard
+from terragrain.llm import common, jaccard
 
 from .cases import AWKWARD, documents
 
@@ -93,6 +92,70 @@ def test_empty_table_and_stage(spark):
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {r[2] for r in brute_force(corpus(5))}
 
 
-def test_word_hashes_follow_the_bytes():
-    a = jaccard._word_hashes(np.frombuffer("Éa b  Ab\tab".encode(), dtype="u1"))
-    assert len(a) == 4 and a[2] == a[3] and len(set(a.tolist())) == 3
+def test_shingles_follow_the_bytes():
+    (a, *key), (b, *other), (c, *_), (none, hi, lo) = jaccard.shingle_sets(["Éa b  Ab\tab", "Éa B ab\nAB ", "éa b ab ab", None])
+    assert len(a) == 1 and a.tolist() == b.tolist() and key == other
+    assert a.tolist() != c.tolist() and (len(none), hi, lo) == (0, 0, 0)
+
+
+def test_long_texts_are_looked_up_in_parts(monkeypatch):
+    text = " ".join(f"w{k % 97} x{k % 31}" for k in range(3000))
+    whole = [s.tolist() for s, _, _ in jaccard.shingle_sets([text, "a b", text])]
+    monkeypatch.setattr(jaccard, "PART_BYTES", 50)
+    monkeypatch.setattr(jaccard, "WORDS_AT_ONCE", 20)
+    assert [s.tolist() for s, _, _ in jaccard.shingle_sets([text, "a b", text])] == whole
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_words_that_collide_under_polynomials_stay_apart(spark):
+    word = thue_morse(2048)
+    rows = [(1, word, "en", "a", 1), (2, word.translate(str.maketrans("ab", "ba")), "en", "a", 1)]
+    assert got(documents(spark, rows)) == brute_force(rows) == [(1, 1, 1), (2, 1, 2)]
+
+
+def test_an_id_of_minus_one_beside_missing_ids(spark):
+    base = [f"q{k}" for k in range(60)]
+    rows = [(-1, " ".join([*base[:-1], "x"]), "en", "a", 1), (-5, " ".join(base), "en", "a", 1), (None, "apart from all the others here", "en", "a", 1), (None, " ".join([*base[:-1], "y"]), "en", "a", 1)]
+    docs = documents(spark, rows)
+    assert got(docs) == brute_force(rows)
+    assert sorted(map(repr, (r.doc_id for r in jaccard.keep_one_of_each(docs).collect()))) == ["-5", "None"]
+
+
+def test_rows_without_ids_are_reduced_to_one_of_each(spark):
+    base = [f"q{k}" for k in range(60)]
+    rows = [(None, " ".join([*base[:k], "x", *base[k + 1 :]]), "en", "a", 1) for k in range(10, 20)] + [(7, "some other words that stand alone", "en", "a", 1)] * 3 + [(None, None, "en", "a", 1)] * 2
+    kept = jaccard.keep_one_of_each(documents(spark, rows)).collect()
+    assert sorted(repr(r.doc_id) for r in kept) == ["7", "None", "None", "None"]
+
+
+def test_many_rows_without_ids(spark):
+    docs = spark.range(100_000).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat('word', id % 50000, ' and some more of ', id % 50000) AS text")
+    out = jaccard.similarity_components(docs)
+    assert out.count() == 100_000 and out.where("component_id IS NOT NULL").count() == 0
+    assert jaccard.keep_one_of_each(docs).count() == 50_000
+
+
+def test_a_large_group_of_near_copies(spark):
+    # Each has one word of its own in 120, so all are alike, and most shingles are everybody's.
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 120), k -> if(k = 1 + id % 120, concat('own', id), concat('base', k)))) AS text")
+    assert [tuple(r) for r in jaccard.similarity_components(docs).groupBy("component_id").count().collect()] == [(0, 20_000)]
+    assert [r.doc_id for r in jaccard.keep_one_of_each(docs).collect()] == [0]
+
+
+@pytest.mark.parametrize("seed", [6, 7])
+def test_frequent_shingles_and_pivots_in_parts(spark, monkeypatch, seed):
+    monkeypatch.setattr(jaccard, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    rows = corpus(seed)
+    assert got(documents(spark, rows)) == brute_force(rows)
+
+
+@pytest.mark.parametrize("seed", [8, 9])
+def test_without_pivots_all_is_compared(spark, monkeypatch, seed):
+    monkeypatch.setattr(jaccard, "PIVOT_ROUNDS", 0)
+    monkeypatch.setattr(jaccard, "HOT_ROWS", 3)
+    rows = corpus(seed)
+    assert got(documents(spark, rows)) == brute_force(rows)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -18,16 +19,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import hot_keys_of, keep, materialise, scratch, split_join, task, text_slices
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Share of an entity's information from which on a term discloses it, and different contexts that must agree.
 DISCLOSED = 0.8
 SUPPORT = 3
-#: Words of the same line on either side of an entity that tell its contexts apart.
+#: Words of the same line on either side of an entity that tell its contexts apart; None: the whole line.
 NEAR = 8
-#: Characters on either side that are looked at for them, where a line is longer.
-REACH = 400
 #: Bits of a bitmap, and partial counts that a task holds at a time.
 BITS_LOG2 = 24
 COUNTS_AT_ONCE = 200_000
@@ -63,7 +62,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
                 found.append((0, start, m.end()))
                 free = m.end()
     if _DIGIT.search(text):
-        found += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+        found += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(own := p.lstrip("0")) <= 3 and int(own or "0") <= 255 for p in m.group().split("."))]
         for m in _CARD.finditer(text):
             digits = m.group().replace(" ", "").replace("-", "")
             if 13 <= len(digits) <= 19 and luhn(digits):
@@ -98,31 +97,34 @@ def terms_of(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
     return {m.group().lower() for m in _TERM.finditer(text) if apart(m)}
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Per entity: its hash, and the hash of the words near it on its line."""
-    out, apart = [], _outside(spans)
-    for kind, start, end in spans:
+def contexts(text: str, spans: list[tuple[int, int, int]], near: int | None = NEAR) -> list[tuple[int, int]]:
+    """Per entity: its hash, and the hash of the words near it on its line (terms only tell contexts apart here)."""
+    out: list[tuple[int, int]] = []
+    terms, starts, line_ends = None, [], -1
+    for kind, start, end in sorted(spans, key=lambda s: s[1]):
         entity = xxhash.xxh64_intdigest(f"{kind}:{text[start:end].lower()}") >> 1
-        left, right = text.rfind("\n", max(0, start - REACH), start) + 1 or max(0, start - REACH), text.find("\n", end, end + REACH)
-        right = min(len(text), end + REACH) if right < 0 else right
-        words = [m for m in _TERM.finditer(text, left, start)][-NEAR:] + [m for m in _TERM.finditer(text, end, right)][:NEAR]
-        out.append((entity, xxhash.xxh64_intdigest(" ".join(m.group().lower() for m in words if apart(m))) >> 1))
+        if terms is None or start >= line_ends:  # every line is split once
+            left = text.rfind("\n", 0, start) + 1
+            line_ends = text.find("\n", end)
+            line_ends = len(text) if line_ends < 0 else line_ends
+            apart = _outside(spans)
+            terms = [(m.start(), m.group().lower()) for m in _TERM.finditer(text, left, line_ends) if apart(m)]
+            starts = [at for at, _ in terms]
+        k = bisect_right(starts, start)
+        first, last = (0, len(terms)) if near is None else (max(0, k - near), k + near)
+        out.append((entity, xxhash.xxh64_intdigest(" ".join(t for _, t in terms[first:last])) >> 1))
     return out
 
 
-def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (batch.slice(at, 512) for batch in batches for at in range(0, batch.num_rows, 512))
-
-
-def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(near: int | None, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per text with an entity: copies, and its entities with their contexts."""
     pair = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64())]))
-    for part in _parts(batches):
+    for part in text_slices(batches):
         copies, entities = [], []
         for text, n in zip(part.column("text").to_pylist(), part.column("copies").to_pylist(), strict=True):
             if spans := base_spans(text or ""):
                 copies.append(n)
-                entities.append([{"entity": e, "context": c} for e, c in contexts(text, spans)])
+                entities.append([{"entity": e, "context": c} for e, c in contexts(text, spans, near)])
         yield pa.RecordBatch.from_arrays([pa.array(copies, pa.int64()), pa.array(entities, pair)], names=["copies", "entities"])
 
 
@@ -147,7 +149,7 @@ def _among(bits: bytes, value: int) -> int:
     return bits[(value >> 3) & ((1 << (BITS_LOG2 - 3)) - 1)] >> (value & 7) & 1
 
 
-def count_terms(rows: DataFrame, entities: DataFrame) -> DataFrame:
+def count_terms(rows: DataFrame, entities: DataFrame, near: int | None = NEAR) -> DataFrame:
     """Partial counts over whole texts (entity, context, term, n): of texts with the term, where entity is null, else of those with both.
 
     ``rows`` has text and copies, and copies of a text count once together. Only pairs with the
@@ -166,7 +168,7 @@ def count_terms(rows: DataFrame, entities: DataFrame) -> DataFrame:
             alone.clear()
             return out
 
-        for part in _parts(batches):
+        for part in text_slices(batches):
             for text, copies in zip(part.column("text").to_pylist(), part.column("copies").to_pylist(), strict=True):
                 spans = base_spans(text or "")
                 terms = terms_of(text or "", spans)
@@ -174,7 +176,7 @@ def count_terms(rows: DataFrame, entities: DataFrame) -> DataFrame:
                 for term in terms:
                     alone[term] = before(term, 0.0) + share
                 met = set()
-                for entity, context in dict.fromkeys(contexts(text, spans)) if spans else ():
+                for entity, context in dict.fromkeys(contexts(text, spans, near)) if spans else ():
                     if _among(bits, entity):
                         for term in terms:
                             counts[entity, context, term] = counts.get((entity, context, term), 0.0) + (0.0 if entity in met else share)
@@ -186,25 +188,25 @@ def count_terms(rows: DataFrame, entities: DataFrame) -> DataFrame:
         if counts or alone:
             yield flush()
 
-    return rows.select("text", "copies").mapInArrow(count, "entity long, context long, term string, n double")
+    return rows.select("text", "copies").mapInArrow(task("pii", count), "entity long, context long, term string, n double")
 
 
-def disclosing_terms(rows: DataFrame, total: int, disclosed: float = DISCLOSED, support: int = SUPPORT) -> DataFrame:
+def disclosing_terms(rows: DataFrame, total: int, disclosed: float = DISCLOSED, support: int = SUPPORT, near: int | None = NEAR) -> DataFrame:
     """(entity, term) where the term discloses the entity.
 
     All counts are of different whole texts of the corpus, ``total`` in all: those with the entity,
     with the term and with both. Copies of a text count once. Both must also be together where the
-    words near the entity differ, ``support`` times.
+    ``near`` words around the entity differ, ``support`` times; all words of the text count as terms.
     """
     once = F.round(F.sum(F.lit(1.0) / F.col("copies")))
-    met = materialise(rows.select("text", "copies").mapInArrow(_scan, "copies long, entities array<struct<entity:bigint,context:bigint>>"), "pii-entities-met")
+    met = materialise(rows.select("text", "copies").mapInArrow(task("pii", partial(_scan, near)), "copies long, entities array<struct<entity:bigint,context:bigint>>"), "pii-entities-met")
     by_entity = met.select("copies", F.explode(F.array_distinct(F.col("entities.entity"))).alias("entity")).groupBy("entity").agg(once.alias("of_entity"))
     around = met.select(F.explode("entities").alias("e")).select("e.*").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("contexts"))
     # An entity of fewer texts or contexts than ``support`` can't have a term with as many.
     entities = materialise(by_entity.where(F.col("of_entity") >= support).join(around.where(F.col("contexts") >= support).select("entity"), "entity"), "pii-entities")
     if entities.isEmpty():
         return rows.sparkSession.createDataFrame([], "entity long, term string")
-    counts = materialise(count_terms(rows, entities), "pii-counts")
+    counts = materialise(count_terms(rows, entities, near), "pii-counts")
     by_term = counts.where(F.col("entity").isNull()).groupBy("term").agg(F.round(F.sum("n")).alias("of_term"))
     by_context = counts.where(F.col("entity").isNotNull()).groupBy("entity", "term", "context").agg(F.sum("n").alias("n"))
     both = by_context.groupBy("entity", "term").agg(F.round(F.sum("n")).alias("both"), F.count(F.lit(1)).alias("contexts")).where((F.col("both") >= support) & (F.col("contexts") >= support))
@@ -228,7 +230,7 @@ def mark(rows: DataFrame, terms: DataFrame) -> DataFrame:
         bits = sent.value
         some = any(bits)
         clear: set[str] = set()  # words that are no such terms
-        for part in _parts(batches):
+        for part in text_slices(batches):
             spans, words = [], []
             for text in part.column("text").to_pylist():
                 own = base_spans(text or "")
@@ -243,23 +245,35 @@ def mark(rows: DataFrame, terms: DataFrame) -> DataFrame:
                 words.append([{"term": t, "start": m.start(), "end": m.end()} for m in _TERM.finditer(text) if (t := m.group().lower()) in told and apart(m)] if told else [])
             yield pa.RecordBatch.from_arrays([part.column("row_id"), part.column("doc_id"), pa.array(spans, span), pa.array(words, word)], names=["row_id", "doc_id", "spans", "words"])
 
-    return rows.select("row_id", "doc_id", "text").mapInArrow(scan, _MARKED)
+    return rows.select("row_id", "doc_id", "text").mapInArrow(task("pii", scan), _MARKED)
+
 
+def number_rows(docs: DataFrame) -> DataFrame:
+    """The rows as a table of their own: row_id, which tells them apart, and row (their columns)."""
+    return materialise(docs.select(F.monotonically_increasing_id().alias("row_id"), F.struct(*[F.col(c) for c in docs.columns]).alias("row")), "pii-rows")
 
-def find_personal_data(docs: DataFrame) -> DataFrame:
+
+def find_personal_data(docs: DataFrame, disclosed: float = DISCLOSED, support: int = SUPPORT, near: int | None = NEAR) -> DataFrame:
     """Per row of ``docs``: doc_id, spans (kind, start, end; by kind, then start), terms of the method included.
 
     A disclosing term is a span wherever it stands, whether or not its text names the entity. Null
     text is empty; repeated rows are scanned each; other columns take no part; an empty table gives
-    an empty result. Places are code points, ends exclusive.
+    an empty result. Places are code points, ends exclusive. Terms are words of 3 letters or more;
+    entities named in fewer than ``support`` texts or contexts disclose nothing.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    told = materialise(disclosing_terms(*with_copies(rows)).select("term").distinct(), "pii-terms")
+    with scratch(docs.sparkSession):
+        return keep(_find(rows, disclosed, support, near), "personal-data").drop("row_id")
+
+
+def _find(rows: DataFrame, disclosed: float, support: int, near: int | None) -> DataFrame:
+    """Per row of ``rows`` (row_id, doc_id, text): row_id, doc_id, spans."""
+    told = materialise(disclosing_terms(*with_copies(rows), disclosed, support, near).select("term").distinct(), "pii-terms")
     found = materialise(mark(rows, told), "pii-found")
     words = found.where(F.size("words") > 0).select("row_id", F.explode("words").alias("w")).select("row_id", "w.*")
-    terms = words.join(told, "term").groupBy("row_id").agg(F.sort_array(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end"))).alias("terms"))
+    terms = split_join(words, told, ["term"], "row_id", hot_keys_of(words, ["term"])).groupBy("row_id").agg(F.sort_array(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end"))).alias("terms"))
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
-    return found.select("row_id", "doc_id", "spans").join(terms, "row_id", "left").select("doc_id", F.concat("spans", F.coalesce("terms", none)).alias("spans"))
+    return found.select("row_id", "doc_id", "spans").join(terms, "row_id", "left").select("row_id", "doc_id", F.concat("spans", F.coalesce("terms", none)).alias("spans"))
 
 
 def _joined(spans: Column) -> Column:
@@ -276,25 +290,27 @@ def scan_personal_data(docs: DataFrame) -> DataFrame:
     return find_personal_data(docs).select("doc_id", *[count(k) for k in range(4)], F.sha2(_joined(F.filter("spans", lambda s: s["kind"] < 4)), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
+def sanitise(docs: DataFrame, disclosed: float = DISCLOSED, support: int = SUPPORT, near: int | None = NEAR) -> DataFrame:
     """``docs`` with every entity and disclosing term of the text replaced by its kind in brackets.
 
-    The rows are matched by doc_id, which must tell them apart here.
+    The rows are numbered first, so repeated and missing ids are told apart; a null text stays null.
     """
+    staged = number_rows(docs)
+    with scratch(docs.sparkSession):
+        rows = staged.select("row_id", F.lit(None).cast("long").alias("doc_id"), F.col("row.text").alias("text"))
+        spans = keep(_find(rows, disclosed, support, near).select("row_id", "spans"), "personal-data")
 
     def replace(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("pii_spans").to_pylist(), strict=True):
+            row, texts = batch.column("row"), []
+            for text, found in zip(row.field("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 out, at = [], 0
-                for s in sorted(spans or [], key=lambda s: (s["start"], -s["end"])):
+                for s in sorted(found or [], key=lambda s: (s["start"], -s["end"])):
                     if s["start"] >= at:
                         out += [text[at : s["start"]], f"[{KINDS[s['kind']]}]"]
                         at = s["end"]
                 texts.append(None if text is None else "".join([*out, text[at:]]))
-            names = [n for n in batch.schema.names if n != "pii_spans"]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
+            names = [f.name for f in row.type]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else row.field(n) for n in names], names=names)
 
-    spans = find_personal_data(docs).withColumnRenamed("spans", "pii_spans").withColumnRenamed("doc_id", "pii_doc")
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("pii_doc")), "left").drop("pii_doc")
-    return joined.mapInArrow(replace, docs.schema)
+    return staged.join(spans, "row_id").select("row", "spans").mapInArrow(replace, docs.schema)

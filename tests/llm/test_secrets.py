@@ -3,7 +3,7 @@ import re
 
 import duckdb
 
-from terragrain.llm import secrets
+from terragrain.llm import common, secrets
 
 from .cases import AWKWARD, documents
 
@@ -22,6 +22,10 @@ ROWS = [
     (24, f"a bare {LIVE} token", "en", "a", 1),
     (25, f"token={LIVE} and {LIVE}", "en", "a", 1),
     *[(30 + k, "password=CHANGEME1234abcd " + "Copied0Example1Key2Value3", "en", f"s{k}", 1) for k in range(5)],
+    *[(50 + k, f"copied often {k} wQ8rT1yU4iO7pA2sD5fG", "en", "one", 1) for k in range(secrets.EXAMPLE_REPOSITORIES)],
+    *[(80, "kept apart zX9cV6bN3mL1kJ4hG7fD", "en", "one", 1) for k in range(secrets.EXAMPLE_REPOSITORIES)],
+    *[(90 + k, "said by none and '' gH5jK8lZ2xC4vB7nM1qW", "en", (None, "", "c")[k % 3], 1) for k in range(2)],
+    *[(95 + k, "said by none, '' and c pO3iU6yT9rE2wQ5aS8dF", "en", (None, "", "c")[k % 3], 1) for k in range(3)],
     (40, "token=abcdefgh1 " * 2000, "en", "z", 1),
 ]
 
@@ -53,6 +57,21 @@ def test_ownership_tells_examples_from_live_values(spark):
         assert got[30 + k].n_example == 1 and got[30 + k].n_live == 0 and "owned" not in got[30 + k].spans
 
 
+def test_repositories_and_owners_both_decide(spark):
+    got = [r for r in secrets.scan_secrets(documents(spark, ROWS)).collect() if r.doc_id and r.doc_id >= 50]
+    for r in got:
+        if r.doc_id < 80 or r.doc_id >= 95:  # many texts of one owner; three owners, one of them null
+            assert "owned" not in r.spans and r.n_live == 0
+        else:  # copies of one text are one repository; two owners, null and empty
+            assert "owned" in r.spans and r.n_live == 1
+
+
+def test_frequent_values_in_parts(spark, monkeypatch):
+    whole = sorted(secrets.scan_secrets(documents(spark, ROWS)).collect(), key=repr)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    assert sorted(secrets.scan_secrets(documents(spark, ROWS)).collect(), key=repr) == whole
+
+
 def test_equals_sql(spark):
     con = duckdb.connect()
     con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")

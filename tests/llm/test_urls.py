@@ -1,4 +1,6 @@
-from terragrain.llm import urls
+from pyspark.sql import functions as F
+
+from terragrain.llm import common, urls
 
 ROWS = [
     (1, "http://WWW.Example.com/en/1?x#y"), (2, "https://a.example.com/en/"), (3, "https://example.com"), (4, "x://net/es/"), (5, "://a.net/fr/é?q=1&r=2"),
@@ -50,6 +52,36 @@ def test_the_trees_learn_what_rules_label(spark):
     assert (got[300], got[301]) == ("block", "allow")
 
 
+def labelled_pages(spark):
+    rules = (("block", "org", "/a/"), ("allow", "org", "/b/"))
+    rows = [(k, f"http://h{k % 7}.site{k % 20}.org/a/{k * 7919}/{k}?a={k}&b=1") for k in range(600)] + [(1000 + k, f"http://h{k % 7}.site{k % 20}.org/b/about-page-{k}") for k in range(600)]
+    return spark.createDataFrame(rows, "page_id long, url string"), rules
+
+
+def test_held_out_quality(spark):
+    r = urls.held_out_quality(*labelled_pages(spark)).first()
+    assert r.urls > 150 and r.agree / r.urls > 0.95
+
+
+def test_a_label_says_nothing_about_its_own_feature(spark):
+    pages, rules = labelled_pages(spark)
+    featured = urls.materialise(urls.featured_urls(pages, rules), "urls")
+    rows = urls.with_suffix_statistics(featured, F.lit(True)).select("suffix", "fold", "label", "suffix_blocked").collect()
+    by_fold = {}
+    for r in rows:
+        by_fold.setdefault((r.suffix, r.fold), set()).add(r.suffix_blocked)
+        others = [o.label for o in rows if o.suffix == r.suffix and o.fold != r.fold]
+        assert abs(r.suffix_blocked - (sum(others) + urls.PRIOR * 0.5) / (len(others) + urls.PRIOR)) < 1e-9
+    assert all(len(v) == 1 for v in by_fold.values())
+
+
+def test_frequent_suffixes_in_parts(spark, monkeypatch):
+    pages, rules = labelled_pages(spark)
+    whole = sorted(urls.judge_urls(pages, rules).collect())
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    assert sorted(urls.judge_urls(pages, rules).collect()) == whole
+
+
 def test_without_labels_and_without_rows(spark):
     df = spark.createDataFrame([(1, "http://a.org/"), (2, None)], "page_id long, url string")
     assert {r.verdict for r in urls.judge_urls(df).collect()} == {"allow"}

@@ -1,5 +1,7 @@
+import random
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from terragrain.llm import langid
@@ -58,6 +60,47 @@ def test_long_texts_lose_no_ngram(monkeypatch):
         assert sorted(int(h) for g in langid._grams([text]) for h in g[0]) == whole[0]
 
 
+def test_filters_equal_exact_sets(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    labelled = docs.where(~langid.held_out(docs) & F.col("lang").isNotNull())
+    names = sorted(r.lang for r in labelled.select("lang").distinct().collect())
+    bits = spark.createDataFrame([(n, k) for k, n in enumerate(names)], "lang string, bit int")
+    exact = [set() for _ in names]
+    for r in langid.typical_grams(langid.count_grams(labelled.join(bits, "lang").select("text", "bit"))).collect():
+        exact[r.bit].add(r.gram)
+    filters = langid.fit(docs)
+    assert filters.languages == names and (filters.false_positive < 0.01).all()
+    checked = 0
+    for r in docs.collect():
+        grams = [int(g) for part in langid._grams([r.text or ""]) for g in part[0].view(np.int64)]
+        share, total = filters.shares([r.text or ""])
+        assert total[0] == len(grams)
+        if grams:
+            wanted = np.array([sum(g in own for g in grams) / len(grams) for own in exact])
+            error = 0.01 + 5 * np.sqrt(filters.false_positive.max() / len(grams))
+            assert np.abs(share[0] - wanted).max() <= error
+            if np.sort(wanted)[-1] - np.sort(wanted)[-2] > 2 * error:
+                assert share[0].argmax() == wanted.argmax()
+                checked += 1
+    assert checked > 700
+
+
+def test_long_texts_of_no_learnt_language_go_and_short_clean_ones_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    r = random.Random(1)
+    junk = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(800)]
+    odd = [
+        (-1, " ".join(junk), "en", "x", 1),
+        (-2, " ".join("".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(4)) for _ in range(500)), "en", "x", 1),
+        (-3, "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9000)), "en", "x", 1),
+        (-4, " ".join("".join(chr(r.randrange(0x430, 0x450)) for _ in range(7)) for _ in range(300)), "en", "x", 1),
+    ]
+    clean = [(-10 - k, text, "en", "x", 1) for k, text in enumerate(docs.where("lang = 'en' AND length(text) > 300").limit(1).first().text[:n] for n in (12, 20, 40, 80, 200))]
+    kept = {r.doc_id for r in langid.keep_identified(docs.unionByName(documents(spark, odd + clean))).select("doc_id").collect()}
+    assert not kept & {-1, -2, -3, -4}
+    assert {c[0] for c in clean} <= kept
+
+
 def test_pipeline_stage_keeps_columns_and_clean_rows(spark):
     docs = documents(spark, clashing=True)
     kept = langid.keep_identified(docs)

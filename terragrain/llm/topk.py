@@ -15,11 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import keep, materialise, scratch
 
-#: Rows of a shard and queries of a block, on average.
-SHARD_ROWS = 16_384
-BLOCK_QUERIES = 1_024
+#: Weights of a shard's rows and of a block's queries, on average: a task holds one of each. Every row
+#: is sent once per block and every query once per shard, so what is sent falls with both sizes.
+SHARD_WEIGHTS, BLOCK_WEIGHTS = 1 << 22, 1 << 21
+#: Rows that a shard has at least where more shards would only keep more tasks busy.
+LEAST_SHARD_ROWS = 4_096
 #: Rows that are scored between two updates of a query's threshold.
 RANGE_ROWS = 4_096
 #: Terms that are probed at a time.
@@ -121,10 +123,22 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
     vector; a null id takes no part; a shorter vector has zeros beyond its end. Scores are exact where
     they fit in a long.
     """
+    with scratch(vectors.sparkSession):
+        return keep(_search(vectors, queries, k), "top-k")
+
+
+def deal(rows: int, queries: int, dims: int, tasks: int) -> tuple[int, int]:
+    """How many shards and blocks: as large as memory allows, but shards enough to keep ``tasks`` busy."""
+    shards = max(-(-rows * dims // SHARD_WEIGHTS), min(tasks, rows // LEAST_SHARD_ROWS), 1)
+    return shards, max(-(-queries * dims // BLOCK_WEIGHTS), 1)
+
+
+def _search(vectors: DataFrame, queries: Column, k: int) -> DataFrame:
     usable = vectors.where(F.col("weights").isNotNull() & F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min("weights").alias("weights"))
     usable = materialise(usable, "vectors")
     asked = usable.where(queries)
-    shards, blocks = max(1, usable.count() // SHARD_ROWS), max(1, asked.count() // BLOCK_QUERIES)
+    seen = usable.agg(F.count(F.lit(1)).alias("rows"), F.count_if(queries).alias("queries"), F.max(F.size("weights")).alias("dims")).first()
+    shards, blocks = deal(seen["rows"], seen["queries"], seen["dims"] or 1, vectors.sparkSession.sparkContext.defaultParallelism)
 
     def dealt(rows: DataFrame, to: str, n: int, beside: str, m: int) -> DataFrame:
         mine = F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(to)

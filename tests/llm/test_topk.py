@@ -54,12 +54,19 @@ def test_ranges_skip_and_probe_without_loss():
 
 
 def test_several_shards_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SHARD_ROWS", 100)
-    monkeypatch.setattr(topk, "BLOCK_QUERIES", 2)
+    monkeypatch.setattr(topk, "SHARD_WEIGHTS", 600)
+    monkeypatch.setattr(topk, "BLOCK_WEIGHTS", 12)
     rows = vectors(700, 6, 8, 2)
     assert got(spark, rows) == brute_force(rows)
 
 
+def test_cells_are_bounded_and_tasks_busy():
+    assert topk.deal(0, 0, 1, 8) == (1, 1)
+    assert topk.deal(25_000, 250, 64, 8) == (6, 1)
+    shards, blocks = topk.deal(10**9, 10**7, 64, 8000)
+    assert 10**9 * 64 / shards <= topk.SHARD_WEIGHTS and 10**7 * 64 / blocks <= topk.BLOCK_WEIGHTS
+
+
 def test_awkward_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (0, [0.5, 2.0]), (100, [1.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0]), (2, [1.0, 2.0]), (3, None), (4, [None, 1.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, []), (None, [1.0, 1.0]), (200, None), (8, [1e6, -1e6, 3.0]), (300, [1e6, 1e6])]

@@ -11,15 +11,18 @@ source, against which each document is held where it lies: texts are never shuff
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, word_count
+from .common import keep, materialise, scratch, word_count
 
 #: Rows that one running sum covers, on average.
 BLOCK_ROWS = 2_048
+#: Blocks of a source, or ranges of finish time, that one task sums up.
+FAN = 4_096
 
 
 def shuffle_key(doc_id: Column) -> Column:
@@ -57,21 +60,67 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], max_repeats: int)
     return chosen.select("source", "position", "source_size", target.alias("target"), "budget")
 
 
+def block_starts(sums: DataFrame) -> DataFrame:
+    """(source, block, before): the words of a source before each block, from (source, block, words).
+
+    Blocks are summed up by FAN, those sums by FAN again, and so on in a third step, so no task runs
+    over more than FAN rows of a source below FAN ** 3 blocks.
+    """
+    levels = [sums]
+    for _ in range(2):
+        above = levels[-1].groupBy("source", F.floor(F.col("block") / FAN).cast("long").alias("block")).agg(F.sum("words").alias("words"))
+        levels.append(above)
+    before = None
+    for level in reversed(levels):
+        up = F.floor(F.col("block") / FAN).cast("long")
+        earlier = Window.partitionBy("source", up).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        own = level.select("source", "block", up.alias("up"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("before"))
+        if before is not None:
+            own = own.join(before, F.col("source").eqNullSafe(F.col("s")) & (F.col("up") == F.col("b"))).select("source", "block", (F.col("before") + F.col("above")).alias("before"))
+        before = own.select(F.col("source").alias("s"), F.col("block").alias("b"), F.col("before").alias("above"))
+    return before.select(F.col("s").alias("source"), F.col("b").alias("block"), F.col("above").alias("before"))
+
+
+def where_spent(timed: DataFrame, budget: int) -> tuple[float, float, int] | None:
+    """The range [low, high) of finish times that the budget ends in, and the words before it; None if it never ends.
+
+    Finish times are summed in FAN ranges, and the range that the budget ends in is cut again, until
+    it has few rows or can't be cut: what comes to the driver is FAN sums at a time.
+    """
+    low, high = timed.agg(F.min("finish"), F.max("finish")).first()
+    if low is None:
+        return None
+    high, spent = math.nextafter(high, math.inf), 0
+    while True:
+        step = (high - low) / FAN
+        inside = timed.where((F.col("finish") >= low) & (F.col("finish") < high))
+        # Rows lie where low + range * step says, so that the edges used later are the same.
+        cut = F.least(F.floor((F.col("finish") - F.lit(low)) / F.lit(step)), F.lit(FAN - 1)).cast("int") if step > 0 else F.lit(0)
+        sums = inside.groupBy(cut.alias("range")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.min("finish").alias("first"), F.max("finish").alias("last")).orderBy("range").collect()
+        for r in sums:
+            if spent + r["words"] > budget:
+                break
+            spent += r["words"]
+        else:
+            return None
+        if r["n"] <= FAN or r["first"] == r["last"]:
+            return r["first"], math.nextafter(r["last"], math.inf), spent
+        low, high = r["first"], math.nextafter(r["last"], math.inf)
+
+
 def boundaries(sizes: DataFrame, targets: DataFrame, max_repeats: int) -> DataFrame:
     """Per source: where the mix stops in it, as (round, key, doc_id) of the last document taken.
 
-    ``sizes`` has doc_id, source, size, key. Repeated rows of one document count as one unit. A
-    source's order is cut into blocks by key, so no source, however large, meets in one task.
+    ``sizes`` has doc_id, source, size, key. Repeated rows of one document count as one unit, and
+    documents without words have no part in this. A source's order is cut into blocks by key, so no
+    source, however large, meets in one task.
     """
-    units = sizes.groupBy("source", "key", "doc_id").agg(F.sum("size").alias("size"))
+    units = sizes.where(F.col("size") > 0).groupBy("source", "key", "doc_id").agg(F.sum("size").alias("size"))
     units = materialise(units, "mix-units")
-    rows = units.count()
-    blocks = max(1, rows // BLOCK_ROWS)
-    # The key's first 8 digits, in hexadecimal, spread evenly over the blocks.
-    units = units.withColumn("block", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * blocks / F.lit(2**32)).cast("int"))
-    sums = units.groupBy("source", "block").agg(F.sum("size").alias("words"))
-    earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col("source").alias("s"), F.col("block").alias("b"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("before"))
+    blocks = max(1, units.count() // BLOCK_ROWS)
+    # The key's first 12 digits, in hexadecimal, spread evenly over the blocks.
+    units = units.withColumn("block", F.floor(F.conv(F.substring("key", 1, 12), 16, 10).cast("long") / F.lit(float(2**48)) * blocks).cast("long"))
+    starts = block_starts(units.groupBy("source", "block").agg(F.sum("size").alias("words"))).select(F.col("source").alias("s"), F.col("block").alias("b"), "before")
     inside = Window.partitionBy("source", "block").orderBy("key", F.col("doc_id").isNull(), "doc_id")
     placed = (
         units.withColumn("within", F.sum("size").over(inside))
@@ -81,31 +130,29 @@ def boundaries(sizes: DataFrame, targets: DataFrame, max_repeats: int) -> DataFr
     )
     placed = placed.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").where("target > 0")
     rounds = placed.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
-    timed = materialise(
-        rounds.select("source", "position", "round", "key", "doc_id", "size", "budget", F.try_divide((F.col("round") * F.col("source_size") + F.col("ends")).cast("double"), F.col("target")).alias("finish")),
-        "mix-times",
-    )
-    # The global order, in ranges of finish time: whole ranges are summed, and the one that the budget ends in is sorted.
-    ranges = max(16, rows * max_repeats // BLOCK_ROWS)
-    latest = timed.agg(F.max("finish")).first()[0] or 0.0
-    ranged = timed.withColumn("range", F.least(F.floor(F.try_divide(F.col("finish"), F.lit(latest)) * ranges), F.lit(ranges - 1)).cast("int"))
-    totals = ranged.groupBy("range").agg(F.sum("size").alias("words"), F.max("budget").alias("budget")).withColumn("until", F.sum("words").over(Window.orderBy("range")))
-    over = totals.where(F.col("until") > F.col("budget")).orderBy("range").first()
-    cut, spent = (ranges, 0) if over is None else (over["range"], over["until"] - over["words"])
+    finish = F.try_divide((F.col("round") * F.col("source_size") + F.col("ends")).cast("double"), F.col("target"))
+    timed = materialise(rounds.select("source", "position", "round", "key", "doc_id", "size", finish.alias("finish")), "mix-times")
+    # In the global order everything before one range of finish times is taken, and that range is sorted.
+    budget = targets.agg(F.max("budget")).first()[0] or 0
     last = F.max(F.struct("round", "key", F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("last")
-    whole = ranged.where(F.col("range") < cut).groupBy("source").agg(last)
-    order = Window.partitionBy("range").orderBy("finish", "position", "round", "key", F.col("doc_id").isNull(), "doc_id")
-    partial = ranged.where(F.col("range") == cut).withColumn("running", F.sum("size").over(order)).where(F.col("running") + spent <= F.col("budget")).groupBy("source").agg(last)
+    ends = where_spent(timed, budget)
+    if ends is None:
+        return timed.groupBy("source").agg(last)
+    low, high, spent = ends
+    whole = timed.where(F.col("finish") < low).groupBy("source").agg(last)
+    order = Window.orderBy("finish", "position", "round", "key", F.col("doc_id").isNull(), "doc_id")
+    partial = timed.where((F.col("finish") >= low) & (F.col("finish") < high)).withColumn("running", F.sum("size").over(order)).where(F.col("running") + spent <= budget).groupBy("source").agg(last)
     return whole.unionByName(partial).groupBy("source").agg(F.max("last").alias("last"))
 
 
 def plan_mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
     """Per source: source, source_size, target, last (struct: how far the mix takes it; null: nothing)."""
-    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffle_key(F.col("doc_id")).alias("key"))
-    sizes = materialise(sizes, "mix-sizes")
-    targets = materialise(source_targets(sizes, weights, max_repeats), "mix-targets")
-    ends = boundaries(sizes, targets, max_repeats).withColumnRenamed("source", "s")
-    return materialise(targets.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "last"), "mix-plan")
+    with scratch(docs.sparkSession):
+        sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), shuffle_key(F.col("doc_id")).alias("key"))
+        sizes = materialise(sizes, "mix-sizes")
+        targets = materialise(source_targets(sizes, weights, max_repeats), "mix-targets")
+        ends = boundaries(sizes, targets, max_repeats).withColumnRenamed("source", "s")
+        return keep(targets.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "last"), "mix-plan")
 
 
 def with_copies(rows: DataFrame, plan: DataFrame, max_repeats: int = 3) -> DataFrame:
@@ -132,7 +179,11 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_repea
 
 
 def draw_mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), max_repeats: int = 3) -> DataFrame:
-    """The mix itself: the rows of ``docs`` that it takes, each as often as it takes it."""
+    """The mix itself: the rows of ``docs`` that it takes, each as often as it takes it.
+
+    A row with no words goes with its place in the shuffle: it is there as often as a document of its
+    source at that place would be taken.
+    """
     plan = plan_mix(docs, weights, max_repeats)
     keys = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), "doc_id", "source")
     taken = with_copies(keys, plan, max_repeats).where("copies > 0")

@@ -25,6 +25,14 @@ def test_equals_sql(spark, rows):
     assert in_spark(documents(spark, rows, clashing=True)) == in_sql(rows)
 
 
+@pytest.mark.parametrize("fan", [2, 3, 7])
+def test_small_blocks_and_ranges(spark, monkeypatch, fan):
+    monkeypatch.setattr(mixing, "FAN", fan)
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 60)
+    rows = [(i, "w " * (i % 13), "en", "hot" if i % 3 else f"s{i % 5}", 1) for i in range(400)] + [(1000 + i, None, "en", "hot", 1) for i in range(200)]
+    assert in_spark(documents(spark, rows)) == in_sql(rows)
+
+
 def test_targets_caps_and_reruns(spark):
     rows = [(i, "w " * (1 + i % 17), "en", "hot" if i % 3 else f"s{i % 5}", 1) for i in range(2000)]
     docs = spark.createDataFrame(rows, DOCUMENTS)

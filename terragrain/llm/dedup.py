@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialise, min_by_order, settings
+from .common import fresh_path, hot_keys, keep, materialise, min_by_order, scratch, settings, split_join
 
 #: Keyed state on disk; many small stores shouldn't each reserve disk ahead of need.
 STATE = {
@@ -69,16 +69,18 @@ def update_state(spark: SparkSession, staged: str, state: str, doc_id: str = "do
     )
 
 
-def compare_bytes(rows: DataFrame, state: DataFrame, text: str = "text") -> DataFrame:
+def compare_bytes(rows: DataFrame, state: DataFrame, hot: DataFrame | None, text: str = "text") -> DataFrame:
     """The rows whose full text differs from that of the row their digest stands for.
 
-    Only rows of digests with several hits are compared; the hot digests' joins can be split.
+    Only rows of digests with several hits are compared. The texts of a ``hot`` digest are dealt over
+    several tasks, and the row that it stands for goes to each of them.
     """
     hits = state.where("group_size > 1").select("digest", F.col("first.locator").alias("keeper"))
-    full = rows.select("digest", "locator", normalised(F.col(f"row.{text}")).alias("full")).join(hits, "digest")
-    full = materialise(full, "dedup-hits")
+    texts = rows.select("digest", "locator", normalised(F.col(f"row.{text}")).alias("full"))
+    full = materialise(split_join(texts, hits, ["digest"], "locator", hot), "dedup-hits")
     keepers = full.where(F.col("locator") == F.col("keeper")).select("digest", F.col("full").alias("kept_full"))
-    return full.where(F.col("locator") != F.col("keeper")).join(keepers, "digest").where(F.col("full") != F.col("kept_full")).select("digest", "locator", "full")
+    others = full.where(F.col("locator") != F.col("keeper")).drop("keeper")
+    return materialise(split_join(others, keepers, ["digest"], "locator", hot).where(F.col("full") != F.col("kept_full")).select("digest", "locator", "full"), "dedup-differing")
 
 
 def decide(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", digest: Callable[[Column], Column] = sha256_digest) -> DataFrame:
@@ -89,22 +91,25 @@ def decide(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", digest:
     names, are carried inside ``row``. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    staged, state_at = fresh_path(spark, "dedup-staged"), fresh_path(spark, "dedup-state")
+    staged = fresh_path(spark, "dedup-staged")
     stage(docs, staged, text, digest)
     rows = spark.read.parquet(staged)
-    state = update_state(spark, staged, state_at, doc_id)
-    differing = compare_bytes(rows, state, text)
-    if not differing.isEmpty():
-        # Digests that stand for more than one text: their rows are grouped by the text itself.
-        several = differing.select("digest").distinct()
-        full = rows.join(several, "digest").withColumn("full", normalised(F.col(f"row.{text}")))
-        split = full.groupBy("digest", "full").agg(min_by_order(F.col(f"row.{doc_id}"), F.col("locator")).alias("m"), F.count(F.lit(1)).alias("group_size"))
-        split = split.select("digest", "full", F.struct(F.col("m.key_0").alias("doc_id"), F.col("m.key_1").alias("locator")).alias("first"), "group_size")
-        apart = full.select("digest", "full", "locator", "row", "text_sha256").join(split, ["digest", "full"]).drop("full")
-        decided = rows.join(several, "digest", "left_anti").join(state, "digest").unionByName(apart.select("locator", "digest", "text_sha256", "row", "first", "group_size"))
-    else:
-        decided = rows.join(state, "digest")
-    return decided.select(
+    with scratch(spark):
+        state = materialise(update_state(spark, staged, fresh_path(spark, "dedup-state"), doc_id), "dedup-groups")
+        hot = hot_keys(state.select("digest", F.col("group_size").alias("n")), ["digest"])
+        differing = compare_bytes(rows, state, hot, text)
+        places = rows.select("locator", "digest")
+        decided = split_join(places, state, ["digest"], "locator", hot).select("locator", "first", "group_size")
+        if not differing.isEmpty():
+            # Digests that stand for more than one text: their rows are grouped by the text itself.
+            several = differing.select("digest").distinct()
+            full = rows.join(several, "digest").select("digest", "locator", F.col(f"row.{doc_id}").alias("doc_id"), normalised(F.col(f"row.{text}")).alias("full"))
+            split = full.groupBy("digest", "full").agg(min_by_order(F.col("doc_id"), F.col("locator")).alias("m"), F.count(F.lit(1)).alias("group_size"))
+            split = split.select("digest", "full", F.struct(F.col("m.key_0").alias("doc_id"), F.col("m.key_1").alias("locator")).alias("first"), "group_size")
+            apart = full.join(split, ["digest", "full"]).select("locator", "first", "group_size")
+            decided = decided.join(apart.select("locator"), "locator", "left_anti").unionByName(apart)
+        decided = keep(decided, "dedup-decided")
+    return rows.join(decided, "locator").select(
         "row",
         F.col("first.doc_id").alias("keep_id"),
         "group_size",

@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from terragrain.llm import dedup
+from terragrain.llm import common, dedup
 
 from .cases import AWKWARD, DOCUMENTS, documents
 
@@ -34,6 +34,14 @@ def test_colliding_digests_are_told_apart_by_their_bytes(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == expected(rows)
 
 
+def test_large_groups_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rows = [(i % 90 if i % 7 else None, f"text {i % 3 if i % 2 else i}", "en", "a", 1) for i in range(200)]
+    for digest in (dedup.sha256_digest, lambda t: F.substring(F.md5(t), 1, 1)):
+        got = dedup.decide(spark.createDataFrame(rows, DOCUMENTS), digest=digest).select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
+        assert sorted(map(tuple, got.collect()), key=repr) == expected(rows)
+
+
 def test_empty_table_and_columns(spark):
     assert dedup.exact_dedup(documents(spark, [])).count() == 0
     docs = documents(spark, clashing=True)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import task
+
 # The template's control strings, and one that the tokenizer itself takes as such.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<|endoftext|>")
 _REST = "|".join(re.escape(c[1:]) for c in CONTROLS)
@@ -129,7 +131,7 @@ def format_conversations(turns: DataFrame, tokenizer: str) -> DataFrame:
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return rows.mapInArrow(_formatter(tokenizer), FORMATTED)
+    return rows.mapInArrow(task("chat", _formatter(tokenizer)), FORMATTED)
 
 
 def _read_back(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

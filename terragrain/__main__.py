@@ -5,14 +5,16 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from functools import reduce
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import pathquery, predicates
 from .operators import sampling, zones
 from .sources import features, report, shapefile
 from .sources.states import states
+from .streaming import streams
 
 
 def parser() -> argparse.ArgumentParser:
@@ -26,11 +28,14 @@ def parser() -> argparse.ArgumentParser:
         return p
 
     p = command("filter", "keep the lines that path queries match")
+    p.add_argument("--follow", default="", metavar="STATE", help="go on with lines of files that come later, and keep the state in this folder")
+    p.add_argument("--every", default="10 seconds", help="how often to look for them")
     for clause in ("all", "any", "none"):
         p.add_argument(f"--match-{clause}", default="", help="comma-separated path queries")
     p = command("sample", "keep every nth feature of each name")
     p.add_argument("-n", type=int, default=100)
     p.add_argument("--names", default="", help="comma-separated; all where empty")
+    p.add_argument("--aliases", default="", help="CSV of name,alias without a header: names that stand for others")
     p.add_argument("--min-accuracy", type=float, default=100.0, help="strict upper limit; negative: none")
     p.add_argument("--require-activity", action=argparse.BooleanOptionalAction, default=True)
     p.add_argument("--remove-unknown-activity", action=argparse.BooleanOptionalAction, default=True)
@@ -39,6 +44,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--resolutions", type=int, nargs="+", default=[180, 360, 720, 1440, 2880])
     p.add_argument("--shapefile", default="", help="county polygons, state code in the first attribute")
     p.add_argument("--fips-field", default="STATEFP")
+    p.add_argument("--world", default="", help="country polygons, drawn as boundary lines too")
+    p.add_argument("--boundary-factor", type=int, nargs=2, default=[80, 30], metavar=("COUNTY", "WORLD"), help="parts that a line is thinned to")
     p.add_argument("--n-peaks", type=int, default=10)
     p.add_argument("--local-radius", type=float, default=50.0)
     p.add_argument("--local-resolution", type=int, default=200)
@@ -50,28 +57,40 @@ def parser() -> argparse.ArgumentParser:
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.command == "filter":
         clauses = [pathquery.split_queries(getattr(args, f"match_{c}")) for c in ("all", "any", "none")]
-        lines = features.read_lines(spark, args.input)
-        features.write_lines(lines.where(pathquery.rejection(F.col("value"), *clauses).isNull()), args.output)
+        passing = pathquery.rejection(F.col("value"), *clauses).isNull()
+        if args.follow:
+            told = lambda p: print(json.dumps(p), file=sys.stderr, flush=True)
+            streams.follow(spark.readStream.text(args.input).where(passing), args.output, args.follow, args.every, told).awaitTermination()
+        else:
+            features.write_lines(features.read_lines(spark, args.input).where(passing), args.output)
     elif args.command == "sample":
-        rows = features.read_features(spark, args.input)
-        p = rows.select("*", F.coalesce("properties.Name", F.lit("")).alias("_name"), F.coalesce("properties.UnixTime", F.lit(0)).alias("_at"))
+        # Every nth by arrival: the files in order of their paths, and their lines.
+        rows = features.with_arrival(features.read_features(spark, args.input))
+        p = rows.withColumn("_name", F.coalesce("properties.Name", F.lit("")))
+        if args.aliases:
+            p = sampling.with_alias(p, spark.read.schema("name string, alias string").csv(args.aliases), "_name")
+        p = p.withColumn("properties", F.col("properties").withField("Name", F.col("_name")))
         accuracy, activity = F.coalesce("properties.Accuracy", F.lit(0.0)), F.coalesce("properties.Activity", F.lit(""))
         passing = p.where(predicates.passes_accuracy(accuracy, args.min_accuracy) & predicates.valid_activity(activity, args.require_activity, args.remove_unknown_activity) & predicates.passes_name(F.col("_name"), pathquery.split_queries(args.names)))
         features.write_features(sampling.every_nth(passing, args.n, "_at", ["_name"]).drop("_name", "_at"), args.output)
         print(json.dumps({r["_name"]: r["n"] for r in sampling.name_counts(passing, "_name").toLocalIterator()}), file=sys.stderr)
     elif args.command == "flatten":
-        lines = features.read_lines(spark, args.input).withColumn("_seq", F.monotonically_increasing_id())
-        features.write_tsv(features.flatten(features.parse_features(lines), "_seq"), args.output)
+        lines = features.with_arrival(features.read_lines(spark, args.input))
+        features.write_tsv(features.flatten(features.parse_features(lines), "_at"), args.output)
     else:
         points = features.read_tsv(spark, args.input)
         share = 0.1 if args.quick else args.sample_rate
         points = points if share >= 1 else sampling.fraction(points, share)
-        counts = None
+        counts, lines = None, []
+        if args.world:
+            lines.append(zones.boundary_lines(shapefile.read_first(spark, [args.world]), args.boundary_factor[1]).select("line"))
         if args.shapefile:
-            rings = zones.zone_rings(shapefile.read_rings(spark, args.shapefile), args.fips_field, states(spark))
+            counties = shapefile.read_rings(spark, args.shapefile)
+            lines.append(zones.boundary_lines(counties, args.boundary_factor[0], args.fips_field).select("line"))
+            rings = zones.zone_rings(counties, args.fips_field, states(spark))
             numbered = points.select(predicates.lenient_double(F.col("lon")).alias("lon"), predicates.lenient_double(F.col("lat")).alias("lat"))
             counts = zones.with_states(zones.zone_counts(numbered, zones.edges(rings)), states(spark))
-        page = report.page(report.document(points, args.resolutions, args.n_peaks, args.local_radius, args.local_resolution, zones=counts))
+        page = report.page(report.document(points, args.resolutions, args.n_peaks, args.local_radius, args.local_resolution, zones=counts, boundaries=reduce(DataFrame.union, lines) if lines else None))
         with open(args.output, "w") as f:
             f.write(page)
 

@@ -3,7 +3,8 @@
 ``#(path op value)`` (or with square brackets) asks whether a value under ``path`` compares as said. A
 missing path never matches, whatever the operator; strings compare as text, numbers as numbers (a
 right side that is no number counts as 0), booleans with true and false; null, objects and arrays
-match nothing. ``#(path)`` asks for existence. ``%`` and ``!%`` match patterns with ``*`` and ``?``;
+match nothing. In a path, a backslash takes the next character as it is, a number is an array's
+element, and a last ``#`` an array's length. ``#(path)`` asks for existence. ``%`` and ``!%`` match patterns with ``*`` and ``?``;
 ``~true``, ``~false``, ``~null`` and ``~*`` match by truthiness. A line that is an array matches
 where one of its elements does.
 """
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_QUERY = re.compile(r"^#[(\[]\s*(?P<path>[^\s=!<>%]+?)\s*(?:(?P<op>==|!=|<=|>=|!%|=|<|>|%)\s*(?P<value>.*?))?\s*[)\]](?P<all>#?)$", re.DOTALL)
+_QUERY = re.compile(r"^#[(\[]\s*(?P<path>(?:\\.|[^\s=!<>%\\])+?)\s*(?:(?P<op>==|!=|<=|>=|!%|=|<|>|%)\s*(?P<value>.*?))?\s*[)\]](?P<all>#?)$", re.DOTALL)
 
 
 @dataclass(frozen=True)
@@ -43,9 +44,18 @@ def split_queries(text: str) -> list[str]:
     return text.split(",") if text else []
 
 
+def path_parts(path: str) -> list[str]:
+    """The keys of a path: split on dots that no backslash stands before; the backslashes stay."""
+    return re.findall(r"(?:\\.|[^.\\])+", path)
+
+
 def variant_path(path: str) -> str:
     """``a.b.0`` as a VARIANT path."""
-    return "$" + "".join(f"[{p}]" if p.isdigit() else f"['{p}']" for p in path.split("."))
+    out = "$"
+    for p in path_parts(path):
+        key = re.sub(r"\\(.)", r"\1", p)
+        out += f"[{p}]" if p.isdigit() else f'["{key}"]' if "'" in key else f"['{key}']"
+    return out
 
 
 def parse_line(line: Column) -> Column:
@@ -69,11 +79,17 @@ def _compare(left: Column, op: str, right: Column) -> Column:
 
 
 def _on_value(v: Column, q: PathQuery) -> Column:
-    at = variant_path(q.path)
-    kind = F.schema_of_variant(F.try_variant_get(v, at, "variant"))
+    *above, last = path_parts(q.path)
+    if last == "#":
+        length = F.size(F.try_variant_get(v, variant_path(".".join(above)), "array<variant>"))
+        kind = F.when(length >= 0, "BIGINT")
+        text, number, flag = length.cast("string"), length.cast("double"), F.lit(None).cast("boolean")
+    else:
+        at = variant_path(q.path)
+        kind = F.schema_of_variant(F.try_variant_get(v, at, "variant"))
+        text, number, flag = F.try_variant_get(v, at, "string"), F.try_variant_get(v, at, "double"), F.try_variant_get(v, at, "boolean")
     if q.op is None:
         return kind.isNotNull()
-    text, number, flag = F.try_variant_get(v, at, "string"), F.try_variant_get(v, at, "double"), F.try_variant_get(v, at, "boolean")
     is_text, is_flag, is_number = kind == "STRING", kind == "BOOLEAN", kind.rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$")
     value = q.value or ""
     if value.startswith("~") and not q.quoted and q.op in ("=", "!="):

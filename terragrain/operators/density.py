@@ -75,20 +75,23 @@ def point_counts(points: DataFrame) -> DataFrame:
     return points.agg(F.count(F.lit(1)).alias("points"), F.count_if(F.coalesce(in_world(lon, lat), F.lit(False))).alias("valid"))
 
 
-def top_cells(grid: DataFrame, n: int) -> DataFrame:
-    """The ``n`` fullest cells of the finest resolution, with their centres; ties to the larger x, then y."""
-    finest = grid.agg(F.max("res")).first()[0]
+def top_cells(grid: DataFrame, n: int, finest: int | None = None) -> DataFrame:
+    """The ``n`` fullest cells of the finest resolution, with their centres; ties to the larger x, then y.
+
+    Where ``finest`` isn't given, it is looked up in the grid, which should be a table then.
+    """
+    finest = grid.agg(F.max("res")).first()[0] if finest is None else finest
     top = grid.where(F.col("res") == F.lit(finest)).orderBy(F.desc("cnt"), F.desc("x"), F.desc("y")).limit(n)
     lon, lat = centre_of(F.col("x"), F.col("y"), finest or 2)
     return top.select("x", "y", "cnt", lon.alias("lon"), lat.alias("lat"))
 
 
-def peaks(grid: DataFrame, n: int = 10, apart: float = 1.0) -> DataFrame:
+def peaks(grid: DataFrame, n: int = 10, apart: float = 1.0, finest: int | None = None) -> DataFrame:
     """(rank, lat, lon, cnt): the fullest cells, none within ``apart`` degrees, on both axes, of a fuller one.
 
     Only the 3 * n fullest cells are looked at, as one short array, so fewer than n may be found.
     """
-    found = top_cells(grid, 3 * n)
+    found = top_cells(grid, 3 * n, finest)
     ordered = F.sort_array(F.collect_list(F.struct((-F.col("cnt")).alias("o1"), (-F.col("x")).alias("o2"), (-F.col("y")).alias("o3"), "lat", "lon", "cnt")))
     kind = "array<struct<lat:double,lon:double,cnt:bigint>>"
 

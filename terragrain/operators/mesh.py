@@ -12,14 +12,8 @@ from ..functions.display import colour, first_label, human_count, sphere, tile_l
 #: Corners of a column of the mesh: 0 to 3 below, 4 to 7 above; these take the east or north edge of the cell.
 EAST, NORTH = (1, 2), (2, 3)
 DARK, LOCAL_DARK = 0.6, 0.5
-#: Two triangles per face, top and four sides, by corner.
-FACES = (
-    (4, 5, 6), (4, 6, 7),
-    (0, 4, 1), (1, 4, 5),
-    (1, 5, 2), (2, 5, 6),
-    (2, 6, 3), (3, 6, 7),
-    (3, 7, 0), (0, 7, 4),
-)
+#: Two triangles per face, by corner: the top, and each side between a lower corner k, its neighbour and the corners above.
+FACES = ((4, 5, 6), (4, 6, 7), *(t for k in range(4) for n in [(k + 1) % 4] for t in ((k, k + 4, n), (n, k + 4, n + 4))))
 
 
 def _corners(cells: DataFrame) -> tuple[DataFrame, Column, Column, Column]:

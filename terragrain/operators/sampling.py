@@ -34,9 +34,15 @@ def every_nth(rows: DataFrame, n: int, order: str, by: list[str] | None = None,
     return running_number(rows, by or [], order, span).where(F.col("number") % n == 0).drop("number")
 
 
-def fraction(rows: DataFrame, share: float, seed: int = 42) -> DataFrame:
-    """A random share of the rows, without replacement."""
-    return rows.sample(False, share, seed)
+def fraction(rows: DataFrame, share: float, seed: int = 42, key: str | None = None) -> DataFrame:
+    """A random share of the rows, without replacement.
+
+    With a ``key``, a hash of it decides: the same rows on every run, however the rows are dealt.
+    """
+    if key is None:
+        return rows.sample(False, share, seed)
+    number = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
+    return rows.where(number < int(share * 2**32))
 
 
 def by_modulus(rows: DataFrame, key: str, n: int) -> DataFrame:
@@ -46,8 +52,8 @@ def by_modulus(rows: DataFrame, key: str, n: int) -> DataFrame:
 
 def with_alias(rows: DataFrame, aliases: DataFrame, name: str = "name", unwanted: str | None = None) -> DataFrame:
     """Names replaced by their alias (alias table: name, alias) where there is one; ``unwanted`` characters go."""
-    known = aliases.select(F.col("name").alias("_name"), "alias")
-    named = rows.join(known, F.col(name) == F.col("_name"), "left").withColumn(name, F.coalesce("alias", name)).drop("_name", "alias")
+    known = aliases.select(F.col("name").alias("_alias_of"), F.col("alias").alias("_alias"))
+    named = rows.join(known, F.col(name) == F.col("_alias_of"), "left").withColumn(name, F.coalesce("_alias", name)).drop("_alias_of", "_alias")
     return named if unwanted is None else named.withColumn(name, F.regexp_replace(name, unwanted, ""))
 
 

@@ -1,4 +1,4 @@
-"""Points in polygons by the even-odd rule, as an equality join on latitude bands."""
+"""Points in polygons by the even-odd rule, as an equality join on narrow latitude bands."""
 
 from __future__ import annotations
 
@@ -18,18 +18,27 @@ def edges(rings: DataFrame) -> DataFrame:
     return rings.select("zone", F.explode(pairs).alias("e")).select("zone", "e.*").where("y1 <> y2")
 
 
-def points_in_zones(points: DataFrame, zone_edges: DataFrame) -> DataFrame:
+#: Bands to a degree of latitude: a position is only held against the edges of its band.
+BANDS = 8
+
+
+def points_in_zones(points: DataFrame, zone_edges: DataFrame, parts: int | None = None) -> DataFrame:
     """(lon, lat, zone, n): every distinct position in every zone that holds it, and how many points are there.
 
     A ray to the east meets an edge only in the edge's latitude bands, so position and edge are joined
-    by band. The edges' bounding box is a plain filter, which reaches the scan.
+    by band. The positions of a band are dealt in ``parts``, so that many tasks share a busy band, and
+    its edges, which are few, go to each of them. The edges' bounding box is a plain filter, which
+    reaches the scan.
     """
+    if parts is None:
+        parts = 1 + int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 100
     west, east, south, north = zone_edges.agg(F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2")), F.min(F.least("y1", "y2")), F.max(F.greatest("y1", "y2"))).first()
     near = F.col("lon").between(west, east) & F.col("lat").between(south, north)
-    places = points.where(near).groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("n")).select("lon", "lat", "n", F.floor("lat").cast("int").alias("band"))
-    bands = zone_edges.withColumn("band", F.explode(F.sequence(F.floor(F.least("y1", "y2")).cast("int"), F.floor(F.greatest("y1", "y2")).cast("int"))))
+    places = points.where(near).groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("n")).select("lon", "lat", "n", F.floor(F.col("lat") * BANDS).cast("int").alias("band"), F.pmod(F.xxhash64("lon", "lat"), F.lit(parts)).cast("int").alias("part"))
+    bands = zone_edges.withColumn("band", F.explode(F.sequence(F.floor(F.least("y1", "y2") * BANDS).cast("int"), F.floor(F.greatest("y1", "y2") * BANDS).cast("int"))))
+    bands = bands.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     crosses = ((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (F.col("lon") < (F.col("x2") - F.col("x1")) * F.try_divide(F.col("lat") - F.col("y1"), F.col("y2") - F.col("y1")) + F.col("x1"))
-    met = places.join(bands, "band").where(crosses)
+    met = places.join(bands, ["band", "part"]).where(crosses)
     return met.groupBy("lon", "lat", "zone").agg(F.count(F.lit(1)).alias("crossings"), F.first("n").alias("n")).where("crossings % 2 = 1").select("lon", "lat", "zone", "n")
 
 

@@ -5,6 +5,7 @@ The tables carry no coordinates, so every query starts from one derived view ``p
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -124,9 +125,9 @@ def name_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.name_counts(points(spark, sf_dir).where(predicates.passes_accuracy(F.col("accuracy"), 50)))
 
 
-@query("alias_lookup", f"WITH {POINTS} SELECT seq, CASE name WHEN 'user_1' THEN 'rye' WHEN 'user_2' THEN 'ia' ELSE replace(name, '_', '') END AS name FROM points")
+@query("alias_lookup", f"WITH {POINTS} SELECT seq, CASE name WHEN 'user_1' THEN 'juniper' WHEN 'user_2' THEN 'mo' ELSE replace(name, '_', '') END AS name FROM points")
 def alias_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aliases = spark.createDataFrame([("user_1", "rye"), ("user_2", "ia")], "name string, alias string")
+    aliases = spark.createDataFrame([("user_1", "juniper"), ("user_2", "mo")], "name string, alias string")
     return sampling.with_alias(points(spark, sf_dir), aliases, unwanted="_").select("seq", "name")
 
 
@@ -183,7 +184,7 @@ def histogram_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("top_cells", f"WITH {GRID} SELECT x, y, cnt, {CENTRE} FROM grid WHERE res = {FINEST} ORDER BY cnt DESC, x DESC, y DESC LIMIT 30")
 def top_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return density.top_cells(grid(spark, sf_dir), 30)
+    return density.top_cells(density.histogram(points(spark, sf_dir), [FINEST]), 30, FINEST)
 
 
 PEAKS = f""",
@@ -205,7 +206,7 @@ boxes AS (SELECT rank, lat AS centre_lat, lon AS centre_lon,
 
 @query("peak_locations", f"WITH RECURSIVE {GRID}{PEAKS} SELECT rank, lat, lon, cnt FROM peaks")
 def peak_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return density.peaks(grid(spark, sf_dir))
+    return density.peaks(density.histogram(points(spark, sf_dir), [FINEST]), finest=FINEST)
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,9 +302,9 @@ def modulus_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.by_modulus(points(spark, sf_dir), "seq", 10).select("seq", "lon", "lat")
 
 
-@query("fraction_sample")
+@query("fraction_sample", f"WITH {POINTS} SELECT seq, lon, lat FROM points WHERE CAST('0x' || substr(md5('42:' || seq), 1, 8) AS BIGINT) < {int(0.1 * 2**32)}")
 def fraction_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.fraction(points(spark, sf_dir), 0.1).select("seq", "lon", "lat")
+    return sampling.fraction(points(spark, sf_dir), 0.1, key="seq").select("seq", "lon", "lat")
 
 
 # Features
@@ -312,22 +313,21 @@ def fraction_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _feature_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
     feature = F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.array("lon", "lat").alias("coordinates")).alias("geometry"), F.struct(F.col("name").alias("Name"), F.col("activity").alias("Activity"), F.when(F.col("seq") % 3 == 0, F.col("accuracy").cast("int")).alias("Accuracy")).alias("properties")))
-    broken = F.when(F.col("seq") % 11 == 0, F.lit('{"type":"Feature","geometry":null,"properties":{}}')).when(F.col("seq") % 13 == 0, F.lit("[1]")).otherwise(feature)
+    bare = F.to_json(F.struct(F.struct(F.array("lon", "lat").alias("coordinates")).alias("geometry")))
+    broken = F.when(F.col("seq") % 11 == 0, F.lit('{"type":"Feature","geometry":null,"properties":{}}')).when(F.col("seq") % 13 == 0, F.lit("[1]")).when(F.col("seq") % 17 == 0, bare).otherwise(feature)
     return p.select("seq", broken.alias("value"))
 
 
 _KEPT = "seq % 11 <> 0 AND seq % 13 <> 0"
+_FULL = _KEPT + " AND seq % 17 <> 0"
 
 
-@query("property_keys", f"WITH {POINTS} SELECT 'Name' AS name, min(seq) AS seq, 0 AS pos FROM points WHERE {_KEPT} UNION ALL SELECT 'Activity', min(seq), 1 FROM points WHERE {_KEPT} UNION ALL SELECT 'Accuracy', min(seq), 2 FROM points WHERE {_KEPT} AND seq % 3 = 0")
+@query("property_keys", f"WITH {POINTS} SELECT 'Name' AS name, min(seq) AS seq, 0 AS pos FROM points WHERE {_FULL} UNION ALL SELECT 'Activity', min(seq), 1 FROM points WHERE {_FULL} UNION ALL SELECT 'Accuracy', min(seq), 2 FROM points WHERE {_FULL} AND seq % 3 = 0")
 def property_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # VARIANT orders an object's keys by name; the position is that of the text.
-    lines = _feature_lines(spark, sf_dir)
-    parsed = features.parse_features(lines).withColumn("props", F.get_json_object("value", "$.properties"))
-    return features.property_keys(parsed, "seq")
+    return features.property_keys(features.parse_features(_feature_lines(spark, sf_dir)), "seq")
 
 
-@query("flatten_features", f"WITH {POINTS} SELECT lat, lon, name AS \"Name\", activity AS \"Activity\", CASE WHEN seq % 3 = 0 THEN CAST(CAST(accuracy AS INTEGER) AS VARCHAR) END AS \"Accuracy\" FROM points WHERE {_KEPT}")
+@query("flatten_features", f"WITH {POINTS} SELECT lat, lon, CASE WHEN seq % 17 <> 0 THEN name END AS \"Name\", CASE WHEN seq % 17 <> 0 THEN activity END AS \"Activity\", CASE WHEN seq % 3 = 0 AND seq % 17 <> 0 THEN CAST(CAST(accuracy AS INTEGER) AS VARCHAR) END AS \"Accuracy\" FROM points WHERE {_KEPT}")
 def flatten_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.flatten(features.parse_features(_feature_lines(spark, sf_dir)), "seq")
 
@@ -457,14 +457,27 @@ def bar_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mesh.bar_labels(zone_top(spark, sf_dir)).select("fip", "points", "label")
 
 
-@query("peak_panel")
+@query("peak_panel", f"WITH RECURSIVE {GRID}{PEAKS} SELECT rank, printf('%.2f', lat) AS lat, printf('%.2f', lon) AS lon, printf('%,d', cnt) AS cnt, CASE WHEN cnt >= 1000000 THEN printf('%.1fM', cnt / 1e6) WHEN cnt >= 1000 THEN printf('%.1fk', cnt / 1e3) ELSE CAST(cnt AS VARCHAR) END AS label FROM peaks")
 def peak_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mesh.peak_rows(peak_locations(spark, sf_dir))
 
 
-@query("peak_tiles")
+_TILE_Y = "CAST(floor((1 - ln(tan(radians({0})) + 1 / cos(radians({0}))) / pi()) / 2 * 4096) AS BIGINT)"
+_TILE_X = "CAST(floor(({} + 180) / 360 * 4096) AS BIGINT)"
+_TILE_LAT = "degrees(atan(sinh(pi() * (1 - 2 * CAST({} AS DOUBLE) / 4096))))"
+TILES = f""",
+wide AS (SELECT *, unnest(range({_TILE_X.format("lon_min")}, {_TILE_X.format("lon_max")} + 1)) AS tile_x FROM boxes),
+tiled AS (SELECT *, unnest(range({_TILE_Y.format("lat_max")}, {_TILE_Y.format("lat_min")} + 1)) AS tile_y FROM wide),
+edged AS (SELECT *, CAST(tile_x AS DOUBLE) / 4096 * 360 - 180 AS west, CAST(tile_x + 1 AS DOUBLE) / 4096 * 360 - 180 AS east, {_TILE_LAT.format("tile_y")} AS north, {_TILE_LAT.format("tile_y + 1")} AS south FROM tiled)"""
+
+
+@query(
+    "peak_tiles",
+    f"WITH RECURSIVE {GRID}{PEAKS}{BOXES}{TILES} SELECT rank, 12 AS zoom, tile_x, tile_y, round((west - lon_min) / (lon_max - lon_min), 6) + 0 AS left, round((lat_max - north) / (lat_max - lat_min), 6) + 0 AS top, round((east - west) / (lon_max - lon_min), 6) AS width, round((north - south) / (lat_max - lat_min), 6) AS height FROM edged",
+)
 def peak_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mesh.tiles(_boxes(spark, sf_dir), F.lit(12)).select("rank", "zoom", "tile_x", "tile_y", "left", "top", "width", "height")
+    placed = [(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("left", "top", "width", "height")]
+    return mesh.tiles(_boxes(spark, sf_dir), F.lit(12)).select("rank", "zoom", F.col("tile_x").cast("long").alias("tile_x"), F.col("tile_y").cast("long").alias("tile_y"), *placed)
 
 
 @query("boundary_decimate", "WITH r AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey % 50 ORDER BY l_orderkey, l_linenumber) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey % 50) AS n, l_orderkey % 50 AS ring FROM lineitem), k AS (SELECT ring, n, i FROM r WHERE i % greatest(1, n // 80) = 0 AND n >= 4) SELECT CAST(ring AS BIGINT) AS ring, count(*) AS kept, CAST(max(i) AS BIGINT) AS last FROM k GROUP BY ring HAVING count(*) >= 3")
@@ -485,6 +498,41 @@ def boundary_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return world.unionByName(own).select("source", "ring", F.size("line").cast("long").alias("kept"))
 
 
+# Shapes as a shapefile has them: rings with a kind and attributes
+
+
+def _shape_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One ring per supplier around a place of its own, as many corners as its key says, of several kinds and states."""
+    key = F.col("s_suppkey").cast("int")
+    step = F.lit(2 * math.pi) / (F.lit(3) + key % 200)
+    around = F.transform(F.sequence(F.lit(0), F.lit(2) + key % 200), lambda k: F.array((key % 60 - F.lit(130)).cast("double") + F.cos(step * k), (F.lit(25) + key % 20).cast("double") + F.sin(step * k)))
+    kind = F.when(key % 7 == 0, 3).when(key % 2 == 0, 5).otherwise(15)
+    code = F.when(key % 11 == 0, "2").when(key % 3 == 0, "1").otherwise("48")
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(key.alias("record"), F.lit(0).alias("ring"), kind.alias("kind"), around.alias("points"), F.create_map(F.lit("STATEFP"), code).alias("attributes"))
+
+
+_SHAPES = """shapes AS (SELECT CAST(s_suppkey AS INTEGER) AS record, CASE WHEN s_suppkey % 7 = 0 THEN 3 WHEN s_suppkey % 2 = 0 THEN 5 ELSE 15 END AS kind,
+  CASE WHEN s_suppkey % 11 = 0 THEN '02' WHEN s_suppkey % 3 = 0 THEN '01' ELSE '48' END AS code, CAST(3 + s_suppkey % 200 AS INTEGER) AS n, s_suppkey AS k FROM supplier),
+corners AS (SELECT *, k % 60 - 130 + cos(2 * pi() / n * i) AS x, 25 + k % 20 + sin(2 * pi() / n * i) AS y FROM (SELECT *, CAST(unnest(range(n)) AS INTEGER) AS i FROM shapes))"""
+
+
+@query(
+    "boundary_on_sphere",
+    f"WITH {_SHAPES}, f AS (SELECT *, CAST(CAST(x AS FLOAT) AS DOUBLE) AS lon, CAST(CAST(y AS FLOAT) AS DOUBLE) AS lat FROM corners WHERE kind IN (5, 15) AND code <> '02' AND n >= 4 AND i % greatest(1, n // 80) = 0) "
+    "SELECT record, count(*) AS corners, round(sum(1.5 * cos(radians(lat)) * cos(radians(-lon))), 4) AS px, round(sum(1.5 * sin(radians(lat))), 4) AS py, round(sum(1.5 * cos(radians(lat)) * sin(radians(-lon))), 4) AS pz FROM f GROUP BY record".replace("1.5", "CAST(1.5 AS DOUBLE)"),
+)
+def boundary_on_sphere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = mesh.ring_on_sphere(zones.boundary_lines(_shape_rings(spark, sf_dir), 80, "STATEFP"), 1.5)
+    each = lines.select("record", F.explode("positions").alias("p")).select("record", "p.*")
+    return each.groupBy("record").agg(F.count(F.lit(1)).alias("corners"), *[F.round(F.sum(c), 4).alias(c) for c in ("px", "py", "pz")])
+
+
+@query("zone_rings", f"WITH {_SHAPES} SELECT code AS zone, CAST(count(DISTINCT record) AS BIGINT) AS rings, count(*) AS corners FROM corners WHERE kind IN (5, 15) AND code <> '02' GROUP BY code")
+def zone_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rings = zones.zone_rings(_shape_rings(spark, sf_dir), "STATEFP", states(spark))
+    return rings.groupBy("zone").agg(F.count(F.lit(1)).alias("rings"), F.sum(F.size("points")).alias("corners"))
+
+
 # Streams and the report
 
 
@@ -511,6 +559,20 @@ def stream_every_nth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.every_nth_per_key(passing, 5, "name", "seq", span=1024)
 
 
-@query("report_document")
+@query(
+    "report_document",
+    f"WITH RECURSIVE {GRID}{PEAKS}{BOXES}{ZONES}, views AS (SELECT rank, count(p.lat) AS n FROM boxes LEFT JOIN points p ON p.lat BETWEEN lat_min AND lat_max AND p.lon BETWEEN lon_min AND lon_max GROUP BY rank) "
+    "SELECT (SELECT count(*) FILTER (lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90) FROM points) AS total_points, (SELECT string_agg(cnt, ',' ORDER BY rank) FROM peaks) AS peaks, (SELECT string_agg(n, ',' ORDER BY rank) FROM views) AS views, "
+    "coalesce((SELECT string_agg(points, ',' ORDER BY points DESC) FROM counts), '') AS states, (SELECT string_agg(n, ',' ORDER BY res) FROM (SELECT res, count(*) AS n FROM grid GROUP BY res)) AS cells, (SELECT string_agg(s, ',' ORDER BY res) FROM (SELECT res, CAST(sum(cnt) AS BIGINT) AS s FROM grid GROUP BY res)) AS sums",
+)
 def report_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.document(points(spark, sf_dir), list(RESOLUTIONS), zones=zone_top(spark, sf_dir))
+    """What the report's one document says, read back from its JSON text."""
+    text = report.document(points(spark, sf_dir), list(RESOLUTIONS), zones=zone_top(spark, sf_dir))
+    kind = "total_points long, peaks array<struct<rank:int,cnt:long>>, local_views array<struct<rank:int,total_points:long>>, state_counts array<struct<points:long>>, histograms map<string,struct<values:array<double>,sum:double>>"
+    doc = text.select(F.from_json("document", kind).alias("d")).select("d.*")
+    joined = lambda c: F.array_join(F.transform(c, lambda v: v.cast("long").cast("string")), ",")
+    by_res = F.array(*[F.col("histograms")[str(r)] for r in RESOLUTIONS])
+    return doc.select(
+        "total_points", joined(F.col("peaks.cnt")).alias("peaks"), joined(F.col("local_views.total_points")).alias("views"), joined(F.col("state_counts.points")).alias("states"),
+        joined(F.transform(by_res, lambda h: F.size(h["values"]))).alias("cells"), joined(F.transform(by_res, lambda h: h["sum"])).alias("sums"),
+    )

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.predicates import lenient_double
+
 FEATURE = (
     "type string, id int, geometry struct<type:string, coordinates:array<double>>, "
     "properties struct<Accuracy:double, Activity:string, Elevation:double, Heading:double, Name:string, Notes:string, "
@@ -35,44 +37,57 @@ def write_lines(lines: DataFrame, path: str, compression: str = "none") -> None:
     lines.select("value").write.option("compression", compression).text(path)
 
 
+#: What flattening reads of a line: texts as they stand there, properties in their order.
+_LINE = "geometry struct<coordinates: array<string>>, properties map<string, string>, _bad string"
+
+
 def parse_features(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Adds lat, lon and props (JSON text of the properties); lines without a usable position are dropped.
+    """Adds lat, lon and props (a map of property texts, in the line's order); lines without a usable position are dropped.
 
-    ``lines`` keeps its other columns. Blank lines, bad JSON, null geometry and null properties are all skipped.
+    ``lines`` keeps its other columns, and a line is parsed once. A feature without ``properties``
+    has none, and is kept. Blank lines, bad JSON, null geometry and null properties are skipped.
     """
-    v = F.try_parse_json(F.col(line))
-    parsed = lines.withColumn("_v", v)
-    at = lambda i: F.try_variant_get(F.col("_v"), f"$.geometry.coordinates[{i}]", "double")
-    props = F.to_json(F.try_variant_get(F.col("_v"), "$.properties", "variant"))
-    out = parsed.withColumn("lon", at(0)).withColumn("lat", at(1)).withColumn("props", props).drop("_v")
-    return out.where(F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("props").startswith("{"))
+    read = F.from_json(line, _LINE, {"columnNameOfCorruptRecord": "_bad"})
+    parsed = lines.where(F.ltrim(line).startswith("{")).withColumn("_line", read)
+    at = lambda i: lenient_double(F.get("_line.geometry.coordinates", F.lit(i)))
+    # Properties that are null, or no object, are there by name.
+    none = F.array_contains(F.json_object_keys(line), "properties")
+    props = F.coalesce("_line.properties", F.when(~F.coalesce(none, F.lit(True)), F.create_map().cast("map<string,string>")))
+    out = parsed.where(F.col("_line._bad").isNull()).withColumn("lon", at(0)).withColumn("lat", at(1)).withColumn("props", props).drop("_line")
+    return out.where(F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("props").isNotNull())
 
 
 def line_counts(lines: DataFrame, line: str = "value") -> DataFrame:
     """One row: lines, and those that parse to a feature."""
-    v = F.try_parse_json(F.col(line))
-    usable = F.try_variant_get(v, "$.geometry.coordinates[0]", "double").isNotNull() & F.try_variant_get(v, "$.geometry.coordinates[1]", "double").isNotNull() & F.schema_of_variant(F.try_variant_get(v, "$.properties", "variant")).startswith("OBJECT")
-    return lines.agg(F.count(F.lit(1)).alias("lines"), F.count_if(F.coalesce(usable, F.lit(False))).alias("features"))
+    found = parse_features(lines.select(line), line).agg(F.count(F.lit(1)).alias("features"))
+    return lines.agg(F.count(F.lit(1)).alias("lines")).crossJoin(F.broadcast(found))  # of one row each
 
 
 def property_keys(parsed: DataFrame, order: str) -> DataFrame:
     """(name, seq, pos) of every property key, where it is first seen by the column ``order``."""
-    keys = parsed.select(F.col(order).alias("seq"), F.posexplode(F.json_object_keys("props")).alias("pos", "name"))
+    keys = parsed.select(F.col(order).alias("seq"), F.posexplode(F.map_keys("props")).alias("pos", "name"))
     return keys.groupBy("name").agg(F.min(F.struct("seq", "pos")).alias("at")).select("name", F.col("at.seq").alias("seq"), F.col("at.pos").alias("pos"))
 
 
-def property_text(props: Column, key: str) -> Column:
-    """A property as text: JSON text where it is nested, null where it is absent."""
-    return F.try_variant_get(F.try_parse_json(props), f"$['{key}']", "string")
-
-
 def flatten(parsed: DataFrame, order: str) -> DataFrame:
     """lat, lon and one text column per property, in first-seen order; properties called lat or lon give way.
 
-    The keys are the schema, so their list, as short as a row is wide, comes to the driver.
+    Nested properties are JSON text. The keys are the schema, so their list, as short as a row is
+    wide, comes to the driver.
     """
     names = [r["name"] for r in property_keys(parsed, order).orderBy("seq", "pos").collect() if r["name"] not in ("lat", "lon")]
-    return parsed.select("lat", "lon", *[property_text(F.col("props"), n).alias(n) for n in names])
+    return parsed.select("lat", "lon", *[F.col("props")[n].alias(n) for n in names])
+
+
+def with_arrival(lines: DataFrame) -> DataFrame:
+    """Adds ``_at``, a whole number that grows with a line's place in its file, and with the files' paths.
+
+    ``lines`` come straight from files. Blocks of files are numbered, one row a block; within its
+    block a line has the place that its task counts.
+    """
+    at = lines.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_row"))
+    blocks = at.select("_file", "_start").distinct().withColumn("_block", F.row_number().over(Window.orderBy("_file", "_start")).cast("long"))
+    return at.join(blocks, ["_file", "_start"]).withColumn("_at", F.shiftleft(F.col("_block"), 33) + F.col("_row")).drop("_file", "_start", "_block", "_row")
 
 
 def write_tsv(rows: DataFrame, path: str) -> None:

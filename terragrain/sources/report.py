@@ -13,12 +13,28 @@ from ..operators import density
 
 PAGE = """<!doctype html>
 <meta charset="utf-8"><title>Point density</title>
+<h1>Point density</h1>
+<canvas id="map" width="1440" height="720"></canvas>
 <pre id="summary"></pre>
 <script id="payload" type="application/gzip+base64">{payload}</script>
 <script>
 const packed = Uint8Array.from(atob(document.getElementById("payload").textContent), c => c.charCodeAt(0));
 new Response(new Blob([packed]).stream().pipeThrough(new DecompressionStream("gzip"))).json().then(report => {{
-  document.getElementById("summary").textContent = JSON.stringify(report.peaks, null, 1);
+  const canvas = document.getElementById("map"), pen = canvas.getContext("2d");
+  const place = ([lon, lat]) => [(lon + 180) * 4, (90 - lat) * 4];
+  pen.strokeStyle = "#888";
+  for (const line of report.boundaries) {{
+    pen.beginPath();
+    line.forEach((p, k) => k ? pen.lineTo(...place(p)) : pen.moveTo(...place(p)));
+    pen.stroke();
+  }}
+  const finest = report.histograms[Math.max(...Object.keys(report.histograms).map(Number))];
+  const step = 1440 / finest.shape[0];
+  finest.indices.forEach(([x, y], k) => {{
+    pen.fillStyle = `rgba(200, 30, 0, ${{Math.log1p(finest.values[k]) / Math.log1p(finest.max)}})`;
+    pen.fillRect(x * step, 720 - (y + 1) * step, step, step);
+  }});
+  document.getElementById("summary").textContent = JSON.stringify({{points: report.total_points, peaks: report.peaks, views: report.local_views.map(v => v.total_points), states: report.state_counts}}, null, 1);
 }});
 </script>
 """
@@ -30,8 +46,9 @@ def document(points: DataFrame, resolutions: list[int], n_peaks: int = 10, radiu
     Every part is bounded by its resolution, the number of peaks or the length of the boundary lists.
     """
     spark = points.sparkSession
+    # The grid is far smaller than the points; it is kept, on disk where memory is short, until the document is made.
     grid = density.histogram(points, resolutions).persist()
-    found = density.peaks(grid, n_peaks)
+    found = density.peaks(grid, n_peaks, finest=max(resolutions)).persist()
     boxes = density.local_boxes(found, radius_km)
     local = density.local_histograms(points, boxes, local_resolution).groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("x", "y", "cnt"))).alias("cells"))
     views = density.local_summaries(points, boxes).join(local, "rank", "left")

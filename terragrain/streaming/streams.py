@@ -4,22 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators import density, sampling
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a fresh one only where none is set."""
+    """The cluster's shared folder; on a local master, where none is set, a fresh one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    master = spark.sparkContext.master
+    if not found and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (found or tempfile.mkdtemp(prefix="streams-")).rstrip("/")
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a streaming query over what its source holds now, and reads back what it wrote."""
+    """Runs a streaming query over what its source holds now, and reads back what it wrote: no rows where there were none."""
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
@@ -27,7 +31,33 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     else:
         writer = stream.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/out")).outputMode(mode)
     writer.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    return spark.read.schema(stream.schema).parquet(f"{base}/out") if _exists(spark, f"{base}/out") else spark.createDataFrame([], stream.schema)
+
+
+def follow(lines: DataFrame, path: str, state: str, every: str = "10 seconds", progress: Callable[[dict], None] | None = None) -> StreamingQuery:
+    """Starts a query that writes the column ``value`` of a stream to text files as lines come, until it is stopped.
+
+    ``state`` keeps how far it came, so a restart goes on there. ``progress`` is told of every
+    micro-batch: its number, its rows, and rows a second.
+    """
+    if progress is not None:
+        lines.sparkSession.streams.addListener(_Progress(progress))
+    return lines.select("value").writeStream.format("text").option("path", path).option("checkpointLocation", state).trigger(processingTime=every).start()
+
+
+class _Progress(StreamingQueryListener):
+    def __init__(self, tell: Callable[[dict], None]):
+        self.tell = tell
+
+    def onQueryStarted(self, event) -> None: ...
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.tell({"batch": p.batchId, "rows": p.numInputRows, "rows_per_second": p.processedRowsPerSecond})
+
+    def onQueryIdle(self, event) -> None: ...
+
+    def onQueryTerminated(self, event) -> None: ...
 
 
 def stream_histogram(points: DataFrame, resolutions: Iterable[int]) -> DataFrame:

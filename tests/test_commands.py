@@ -26,6 +26,11 @@ def test_filter_sample_flatten_and_report(spark, tmp_path):
     run(spark, parser().parse_args(["sample", "-i", at("in.json"), "-o", at("sampled"), "-n", "5", "--min-accuracy", "50"]))
     a, b = [k for k in range(45) if k % 2 == 0], [k for k in range(45) if k % 2 and k % 10 != 9]
     assert sorted(json.loads(x)["id"] for x in text(tmp_path / "sampled")) == sorted(a[4::5] + b[4::5])
+    (tmp_path / "aliases.csv").write_text("b,a\n")
+    run(spark, parser().parse_args(["sample", "-i", at("in.json"), "-o", at("aliased"), "-n", "5", "--min-accuracy", "50", "--aliases", at("aliases.csv")]))
+    both = [json.loads(x) for x in text(tmp_path / "aliased")]
+    assert sorted(x["id"] for x in both) == [k for k in range(45) if k % 10 != 9][4::5]
+    assert {x["properties"]["Name"] for x in both} == {"a"}
     run(spark, parser().parse_args(["flatten", "-i", at("in.json"), "-o", at("table")]))
     assert text(tmp_path / "table")[0].split("\t")[:2] == ["lat", "lon"]
     run(spark, parser().parse_args(["report", "-i", at("table"), "-o", at("page.html"), "--resolutions", "180", "360", "--n-peaks", "2"]))

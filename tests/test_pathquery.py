@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 from terragrain.functions import pathquery, predicates
 
 LINES = [
-    '{"type":"Feature","id":1,"geometry":{"type":"Point","coordinates":[-93.255,44.989]},"properties":{"Accuracy":16.586,"Activity":"Stationary","Name":"Rye13","Speed":0,"On":true,"No":null,"Text":"9"}}',
-    '{"type":"Feature","id":1,"geometry":{"type":"Point","coordinates":[-93.257,44.986]},"properties":{"Accuracy":101.785,"Activity":"Running","Name":"Rye13","Speed":0}',
+    '{"type":"Feature","id":7,"geometry":{"type":"Point","coordinates":[12.5,-33.25]},"properties":{"Accuracy":8.25,"Activity":"Resting","Name":"otter4","Speed":0,"On":true,"No":null,"Text":"9"}}',
+    '{"type":"Feature","id":8,"geometry":{"type":"Point","coordinates":[13.5,-34.75]},"properties":{"Accuracy":240.5,"Activity":"Rowing","Name":"otter4","Speed":3}',
     '[{"properties":{"Accuracy":500}},{"properties":{"Accuracy":5}}]',
     "not json",
 ]
@@ -20,20 +20,20 @@ def which(spark, column):
     ("query", "lines"),
     [
         ("#[properties.Accuracy<100]", [0, 2]),
-        ('#[properties.Activity="Running"]', [1]),
+        ('#[properties.Activity="Rowing"]', [1]),
         ("#(properties.Accuracy<100)", [0, 2]),
-        ('#(properties.Activity="Running")', [1]),
-        ('#(properties.Activity!="Running")', [0]),
+        ('#(properties.Activity="Rowing")', [1]),
+        ('#(properties.Activity!="Rowing")', [0]),
         ("#(properties.Missing!=1)", []),
         ("#(properties.Name)", [0, 1]),
-        ('#(properties.Name%"Ry*")', [0, 1]),
-        ('#(properties.Name!%"Ry?13")', []),
+        ('#(properties.Name%"ot*")', [0, 1]),
+        ('#(properties.Name!%"ot?er4")', []),
         ('#(properties.Text<"10")', []),
         ('#(properties.Text>"10")', [0]),
         ("#(properties.On=true)", [0]),
         ("#(properties.On!=true)", []),
         ("#(properties.No=null)", []),
-        ("#(properties.Accuracy>=101.785)", [1, 2]),
+        ("#(properties.Accuracy>=240.5)", [1, 2]),
         ("#(properties.On=~true)", [0]),
         ("#(nothing)#", [0, 1, 2, 3]),
     ],
@@ -42,8 +42,17 @@ def test_path_queries(spark, query, lines):
     assert which(spark, lambda v: pathquery.matches(v, query)) == lines
 
 
+def test_escapes_elements_and_lengths(spark):
+    line = '{"a.b":{"it\'s":[5,"x",{"y":true}]},"c d":0,"e<f":2}'
+    df = spark.createDataFrame([(line,)], "value string")
+    yes = ['#(a\\.b.it\'s.0=5)', '#(a\\.b.it\'s.2.y=true)', "#(a\\.b.it's.#=3)", "#(a\\.b.it's.#>2)", "#(c\\ d=0)", "#(e\\<f=2)", "#(a\\.b.it's.#)"]
+    no = ["#(a.b=5)", "#(a\\.b.it's.#<3)", "#(a\\.b.#)", "#(a\\.b.it's.9)", "#(nothing.#)"]
+    for query in yes + no:
+        assert df.where(pathquery.matches(F.col("value"), query)).count() == (query in yes), query
+
+
 def test_clauses(spark):
-    under, running = "#(properties.Accuracy<100)", '#(properties.Activity="Running")'
+    under, running = "#(properties.Accuracy<100)", '#(properties.Activity="Rowing")'
     assert which(spark, lambda v: pathquery.match_all(v, [under])) == [0, 2]
     assert which(spark, lambda v: pathquery.match_all(v, [])) == [0, 1, 2, 3]
     assert which(spark, lambda v: pathquery.match_any(v, [under, running])) == [0, 1, 2]

@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def con():
     con = duckdb.connect()
-    for name in ("nation", "lineitem", "events"):
+    for name in ("nation", "supplier", "lineitem", "events"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
 

@@ -86,7 +86,7 @@ def test_features_flatten_and_survive_the_table(spark, tmp_path):
     df = spark.createDataFrame([(k, v) for k, v in enumerate(lines)], "seq long, value string")
     parsed = features.parse_features(df)
     flat = features.flatten(parsed, "seq")
-    assert set(flat.columns) == {"lat", "lon", "a", "b", "c", "q"} and flat.columns[:2] == ["lat", "lon"]
+    assert flat.columns == ["lat", "lon", "b", "a", "c", "q"]
     assert tuple(features.line_counts(df).first()) == (7, 2)
     features.write_tsv(flat.coalesce(1), str(tmp_path / "t"))
     back = spark.read.option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(str(tmp_path / "t"))
@@ -94,8 +94,31 @@ def test_features_flatten_and_survive_the_table(spark, tmp_path):
     assert sorted(r.lat for r in features.read_tsv(spark, str(tmp_path / "t")).collect()) == ["2.0", "4.0"]
 
 
+def test_columns_come_as_first_seen_whatever_their_names(spark):
+    at = '"geometry":{"coordinates":[1,2]}'
+    lines = [
+        f'{{{at},"properties":{{"zeta":1,"alpha":true,"mid":null}}}}', f'{{{at}}}', f'{{{at},"properties":{{}}}}', f'{{{at},"properties":{{"it\'s":1.50,"a.b":"x","$[0]":[1, 2]}}}}',
+        f'{{{at},"properties":[1]}}', f'{{{at},"properties":{{"alpha":1}}', f'[{{{at},"properties":{{"late":1}}}}]', '{"geometry":{"coordinates":[1]},"properties":{"late":1}}', '{"geometry":{"coordinates":[1,"north"]},"properties":{"late":1}}',
+    ]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(lines)], "seq long, value string")
+    flat = features.flatten(features.parse_features(df), "seq")
+    assert flat.columns == ["lat", "lon", "zeta", "alpha", "mid", "it's", "a.b", "$[0]"]
+    assert sorted(tuple(r) for r in flat.fillna("-").collect()) == sorted([(2.0, 1.0, "1", "true", "-", "-", "-", "-"), (2.0, 1.0, *["-"] * 6), (2.0, 1.0, *["-"] * 6), (2.0, 1.0, "-", "-", "-", "1.5", "x", "[1,2]")])
+    assert tuple(features.line_counts(df).first()) == (9, 4)
+
+
+def test_arrival_follows_files_and_lines(spark, tmp_path):
+    for name in ("b", "a"):
+        (tmp_path / f"{name}.txt").write_text("\n".join(f"{name}{k:04d}" for k in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    got = [r.value for r in features.with_arrival(features.read_lines(spark, str(tmp_path))).orderBy("_at").collect()]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == sorted(got) and len(got) == 6000
+
+
 def test_strict_and_lenient_reading(spark, tmp_path):
-    good = '{"type":"Feature","id":1,"geometry":{"type":"Point","coordinates":[1.0,2.0]},"properties":{"Accuracy":3.5,"Time":"2023-12-08T10:04:09.017Z"}}'
+    good = '{"type":"Feature","id":1,"geometry":{"type":"Point","coordinates":[1.0,2.0]},"properties":{"Accuracy":3.5,"Time":"2019-03-02T07:30:00.250Z"}}'
     (tmp_path / "in.json").write_text(good + "\n" + '{"id": "x"}' + "\n")
     assert features.read_features(spark, str(tmp_path / "in.json"), strict=False).where("id = 1").first().properties.Accuracy == 3.5
     with pytest.raises(Exception):
@@ -120,6 +143,38 @@ def test_shapefile(spark, tmp_path):
     assert [(r.record, r.ring, r.kind, r.attributes["FIPS"], tuple(map(tuple, r.points))) for r in got] == [(0, 0, 5, "01", tuple(rings[0])), (1, 0, 5, "48", tuple(rings[1]))]
 
 
+def write_shapes(folder, rings, codes):
+    """A shapefile of one ring a record, with the attribute FIPS."""
+    records = b"".join(struct.pack(">ii", k + 1, len(_shape(r, kind)) // 2) + _shape(r, kind) for k, (kind, r) in enumerate(rings))
+    (folder / "b.shp").write_bytes(b"\0" * 100 + records)
+    head = struct.pack("<BBBBIHH", 3, 0, 0, 0, len(codes), 65, 3).ljust(32, b"\0") + b"FIPS".ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([2, 0]) + b"\0" * 14 + b"\r"
+    (folder / "b.dbf").write_bytes(head + b"".join(b" " + c.encode().rjust(2) for c in codes))
+    return str(folder / "b.shp")
+
+
+def test_boundaries_and_zones_from_a_shapefile(spark, tmp_path):
+    square = lambda a, b, c, d: [(a, b), (a, d), (c, d), (c, b), (a, b)]
+    path = write_shapes(tmp_path, [(5, square(-90.0, 40.0, -88.0, 42.0)), (5, square(-88.0, 40.0, -87.0, 42.0)), (5, square(-150.0, 60.0, -140.0, 65.0)), (3, square(0.0, 0.0, 1.0, 1.0)), (5, square(-80.0, 30.0, -79.0, 31.0))], ["1", "1", "2", "1", "48"])
+    rings = shapefile.read_rings(spark, path)
+    lines = zones.boundary_lines(rings, 80, "FIPS").collect()
+    assert sorted(r.record for r in lines) == [0, 1, 2, 4]  # a code that isn't padded is no skipped one
+    assert sorted(r.record for r in zones.boundary_lines(shapefile.read_first(spark, ["/nowhere.shp", path]), 80).collect()) == [0, 1, 2, 4]
+    own = zones.zone_rings(rings, "FIPS", states(spark))
+    assert sorted(r.zone for r in own.collect()) == ["01", "01", "48"]
+    points = spark.createDataFrame([(-89.0, 41.0), (-88.0, 41.0), (-87.5, 41.5), (-79.5, 30.5), (-145.0, 61.0)], "lon double, lat double")
+    assert {r.zone: r.points for r in zones.zone_counts(points, zones.edges(own)).collect()} == {"01": 3, "48": 1}
+    assert {r.zone: r.n for r in zones.points_in_zones(points, zones.edges(own), parts=5).groupBy("zone").agg(F.sum("n").alias("n")).collect()} == {"01": 3, "48": 1}
+    on_sphere = mesh.ring_on_sphere(zones.boundary_lines(rings, 80), 2.0).select(F.explode("positions").alias("p")).select("p.*").collect()
+    assert len(on_sphere) == 20 and all(math.isclose(math.dist((0, 0, 0), (p.px, p.py, p.pz)), 2.0) for p in on_sphere)
+
+
+def test_a_sample_by_key_is_the_same_however_rows_are_dealt(spark):
+    rows = spark.range(20_000).withColumnRenamed("id", "seq")
+    kept = sampling.fraction(rows, 0.1, key="seq")
+    assert abs(kept.count() - 2000) < 200
+    assert sorted(kept.collect()) == sorted(sampling.fraction(rows.repartition(5), 0.1, key="seq").collect())
+
+
 def test_report_round_trip(spark):
     points = spark.createDataFrame([(10.0, 50.0)] * 5 + [(11.5, 51.0)] * 3 + [(999.0, 0.0)], "lon double, lat double")
     doc = report.load_page(report.page(report.document(points, [180, 360], n_peaks=2, radius_km=100.0, local_resolution=10)))

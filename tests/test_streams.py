@@ -1,3 +1,7 @@
+import time
+
+import pytest
+
 from terragrain.plans import catalogue
 from terragrain.streaming import streams
 
@@ -17,3 +21,40 @@ def test_registered_query_equals_the_batch_one(spark):
     sf = "/root/testdata/sf0.001"
     got = catalogue.QUERIES["stream_every_nth"](spark, sf).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, catalogue.QUERIES["every_nth_per_name"](spark, sf).collect()))
+
+
+def test_an_empty_source_gives_no_rows(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("seq long, name string").parquet(str(tmp_path / "in"))
+    assert streams.drain(stream).count() == 0 and streams.drain(stream).columns == ["seq", "name"]
+    assert streams.every_nth_per_key(stream, 5, "name", "seq").count() == 0
+
+
+def test_following_a_folder(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a").write_text("one\ntwo\nthree\n")
+    told = []
+    query = streams.follow(spark.readStream.text(str(tmp_path / "in")).where("value <> 'two'"), str(tmp_path / "out"), str(tmp_path / "state"), "1 second", told.append)
+    query.processAllAvailable()
+    (tmp_path / "in" / "b").write_text("four\n")
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ["four", "one", "three"]
+    for _ in range(100):
+        if sum(p["rows"] for p in told) == 4:
+            break
+        time.sleep(0.1)
+    assert sum(p["rows"] for p in told) == 4
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Session:
+        class sparkContext:
+            master = "spark://somewhere:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        streams.shared_dir(Session())

@@ -55,7 +55,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into token sequences: one row per piece, with its token ids.
+    """Packs what is left into token sequences: one row per piece, with its place and its token ids' checksum.
 
     A null text is empty and leaves its end id; repeated rows and rows without doc_id are packed each;
     other columns take no part; an empty table gives no sequences.

@@ -46,6 +46,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--fips-field", default="STATEFP")
     p.add_argument("--world", default="", help="country polygons, drawn as boundary lines too")
     p.add_argument("--boundary-factor", type=int, nargs=2, default=[80, 30], metavar=("COUNTY", "WORLD"), help="parts that a line is thinned to")
+    p.add_argument("--sigma", type=float, default=0.0, help="blur of the drawn grid")
+    p.add_argument("--power", type=float, default=2.0, help="exponent of the drawn grid's scale")
     p.add_argument("--n-peaks", type=int, default=10)
     p.add_argument("--local-radius", type=float, default=50.0)
     p.add_argument("--local-resolution", type=int, default=200)
@@ -90,7 +92,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             rings = zones.zone_rings(counties, args.fips_field, states(spark))
             numbered = points.select(predicates.lenient_double(F.col("lon")).alias("lon"), predicates.lenient_double(F.col("lat")).alias("lat"))
             counts = zones.with_states(zones.zone_counts(numbered, zones.edges(rings)), states(spark))
-        page = report.page(report.document(points, args.resolutions, args.n_peaks, args.local_radius, args.local_resolution, zones=counts, boundaries=reduce(DataFrame.union, lines) if lines else None))
+        page = report.page(report.document(points, args.resolutions, args.n_peaks, args.local_radius, args.local_resolution, zones=counts, boundaries=reduce(DataFrame.union, lines) if lines else None, sigma=args.sigma, power=args.power))
         with open(args.output, "w") as f:
             f.write(page)
 

@@ -9,7 +9,10 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import density
+from ..operators import density, smooth
+
+#: Scaled values from here on are drawn.
+SHOWN = 0.02
 
 PAGE = """<!doctype html>
 <meta charset="utf-8"><title>Point density</title>
@@ -28,22 +31,21 @@ new Response(new Blob([packed]).stream().pipeThrough(new DecompressionStream("gz
     line.forEach((p, k) => k ? pen.lineTo(...place(p)) : pen.moveTo(...place(p)));
     pen.stroke();
   }}
-  const finest = report.histograms[Math.max(...Object.keys(report.histograms).map(Number))];
-  const step = 1440 / finest.shape[0];
-  finest.indices.forEach(([x, y], k) => {{
-    pen.fillStyle = `rgba(200, 30, 0, ${{Math.log1p(finest.values[k]) / Math.log1p(finest.max)}})`;
-    pen.fillRect(x * step, 720 - (y + 1) * step, step, step);
-  }});
+  const step = 1440 / report.shown_resolution;
+  for (const c of report.shown) {{
+    pen.fillStyle = `rgba(200, 30, 0, ${{c.z}})`;
+    pen.fillRect(c.x * step, 720 - (c.y + 1) * step, step, step);
+  }}
   document.getElementById("summary").textContent = JSON.stringify({{points: report.total_points, peaks: report.peaks, views: report.local_views.map(v => v.total_points), states: report.state_counts}}, null, 1);
 }});
 </script>
 """
 
 
-def document(points: DataFrame, resolutions: list[int], n_peaks: int = 10, radius_km: float = 50.0, local_resolution: int = 200, zones: DataFrame | None = None, boundaries: DataFrame | None = None) -> DataFrame:
+def document(points: DataFrame, resolutions: list[int], n_peaks: int = 10, radius_km: float = 50.0, local_resolution: int = 200, zones: DataFrame | None = None, boundaries: DataFrame | None = None, sigma: float = 0.0, power: float = 2.0) -> DataFrame:
     """One row, ``document``: the report as JSON text.
 
-    Every part is bounded by its resolution, the number of peaks or the length of the boundary lists.
+    The page draws the coarsest grid, blurred by ``sigma`` and scaled by ``power``. Every part is bounded by its resolution, the number of peaks or the length of the boundary lists.
     """
     spark = points.sparkSession
     # The grid is far smaller than the points; it is kept, on disk where memory is short, until the document is made.
@@ -53,10 +55,13 @@ def document(points: DataFrame, resolutions: list[int], n_peaks: int = 10, radiu
     local = density.local_histograms(points, boxes, local_resolution).groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("x", "y", "cnt"))).alias("cells"))
     views = density.local_summaries(points, boxes).join(local, "rank", "left")
     none = F.array().cast("array<string>")
+    drawn = min(resolutions)
+    scaled = smooth.above(smooth.normalise(smooth.blur(grid.where(F.col("res") == drawn), sigma, drawn, drawn // 2), power), SHOWN)
     parts = [
         density.sparse_payload(grid).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("res").cast("string"), F.struct("shape", "indices", "values", "max", "sum"))))).alias("histograms")),
         found.agg(F.sort_array(F.collect_list(F.struct("rank", "lat", "lon", "cnt"))).alias("peaks")),
         views.agg(F.sort_array(F.collect_list(F.struct("rank", "lat_min", "lat_max", "lon_min", "lon_max", "total_points", "cells"))).alias("local_views")),
+        scaled.agg(F.lit(drawn).alias("shown_resolution"), F.sort_array(F.collect_list(F.struct("x", "y", F.round("z", 4).alias("z")))).alias("shown")),
         density.point_counts(points).select(F.col("valid").alias("total_points")),
         spark.range(1).select(none.alias("state_counts")) if zones is None else zones.agg(F.collect_list(F.struct(*zones.columns)).alias("state_counts")),
         spark.range(1).select(none.alias("boundaries")) if boundaries is None else boundaries.agg(F.collect_list("line").alias("boundaries")),

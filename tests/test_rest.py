@@ -181,6 +181,13 @@ def test_report_round_trip(spark):
     assert doc["total_points"] == 8 and [p["cnt"] for p in doc["peaks"]] == [5, 3]
     assert doc["histograms"]["180"]["sum"] == 8.0 and doc["histograms"]["360"]["shape"] == [360, 180]
     assert [v["total_points"] for v in doc["local_views"]] == [8, 3]  # the first box holds both places
+    assert doc["shown_resolution"] == 180 and [c["z"] for c in doc["shown"]] == [1.0]
+    line = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]],)], "line array<array<float>>")
+    doc = report.load_page(report.page(report.document(points, [360], boundaries=line)))
+    assert doc["boundaries"] == [[[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]]]
+    assert [c["z"] for c in doc["shown"]] == [1.0, round((math.log(4) / math.log(6)) ** 2, 4)]
+    doc = report.load_page(report.page(report.document(points, [360], sigma=0.1, power=1.0)))
+    assert len(doc["shown"]) > 2 and max(c["z"] for c in doc["shown"]) == 1.0
 
 
 def test_states(spark):

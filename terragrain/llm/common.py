@@ -166,7 +166,7 @@ def task(operator: str, work: Callable[[Iterable], Iterator]) -> Callable[[Itera
     return run
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], rows: int = 256, size: int = 2 << 20, text: Callable = lambda batch: batch.column("text")) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterable[pa.RecordBatch], rows: int = 256, size: int = 1 << 20, text: Callable = lambda batch: batch.column("text")) -> Iterator[pa.RecordBatch]:
     """The batches in slices of few rows, and of few bytes of text unless one row has more."""
     for batch in batches:
         so_far = np.cumsum(np.r_[0, pc.fill_null(pc.binary_length(text(batch)), 0).to_numpy(zero_copy_only=False)].astype(np.int64))
@@ -207,6 +207,9 @@ class Recent:
         self.held += self.ENTRY * len(added) + sum(map(len, added)) + sum(map(len, added.values()))
         return self.newer
 
+    def clear(self) -> None:
+        self.newer, self.older, self.held = {}, {}, 0
+
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once per application."""

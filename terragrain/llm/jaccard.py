@@ -191,6 +191,7 @@ def _send(buckets: int):
                 docs, held = [], 0
         if docs:
             yield from rows_of(docs)
+        _digests().clear()
 
     return task("jaccard", send)
 
@@ -255,6 +256,7 @@ def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in text_slices(batches):
         tokens = [own.view(np.int64) for own, _, _ in shingle_sets(part.column("text").to_pylist())]
         yield pa.RecordBatch.from_arrays([part.column("set_id"), pa.array(tokens, pa.list_(pa.int64())), part.column("text")], names=["set_id", "tokens", "text"])
+    _digests().clear()
 
 
 def distinct_sets(staged: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:

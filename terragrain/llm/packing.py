@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -19,7 +20,6 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,18 +35,18 @@ FULL_ENOUGH = 0.995
 #: White space on which Python and the tokenizer may not agree.
 UNUSUAL_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u3000]")
 SPACE = re.compile(r"\s")
-#: Characters whose lower case and composition need no context: printable ASCII and Latin-1 letters.
-PLAIN = re.compile("[\\x21-\\x7e\\xc0-\\xff]+")
+#: Texts whose lower case and composition need no context: printable ASCII, Latin-1 letters and usual white space.
+PLAIN = re.compile("[\\x09-\\x0d\\x20-\\x7e\\xc0-\\xff]*")
 
 PIECES = "row_id long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordEncoder:
-    """Token ids of whole texts, by white-space separated chunks that are encoded once while they are in use.
+    """Token ids of whole texts, by words that are encoded once while they are in use.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its chunks' ids
-    in a row. A chunk of plain characters is split by the tokenizer's own pattern, and its words go
-    to the tokenizer's model; everything else goes through the whole tokenizer.
+    The tokenizer drops white space and never joins across it. A text of plain characters is split by
+    the tokenizer's own pattern, and its words go to the tokenizer's model. Of any other text, the
+    white-space separated chunks that aren't plain go through the whole tokenizer.
     """
 
     #: Characters of a long text that are looked at together.
@@ -59,52 +59,55 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         rules = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"]
-        self.words = regex.compile(rules[0]["pattern"]["Regex"])
+        # Over plain characters the pattern's classes are short lists.
+        plain = [chr(c) for c in range(256) if PLAIN.fullmatch(chr(c))]
+        letters, numbers = ("".join(c for c in plain if unicodedata.category(c)[0] == kind) for kind in "LN")
+        self.pattern = re.compile(rules[0]["pattern"]["Regex"].replace(r"\p{L}", letters).replace(r"\p{N}", numbers))
         # Byte-level models name a byte by a printable character: its own if it has one, else the next from 256 on.
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.byte_names = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in own)}
-        self.chunks = Recent(self._encode_chunks)
-        self.known = Recent(self._encode_words)
+        self.known = Recent(self._encode_all, 40 << 20)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
+    def _encode_all(self, words: list[str]) -> Iterator[bytes]:
         tokenize, names = self.model.tokenize, self.byte_names
-        named = (w if w.isascii() else "".join([names[b] for b in w.encode()]) for w in words)
-        return [b"".join([t.id.to_bytes(4, "little") for t in tokenize(w)]) for w in named]
-
-    def _split(self, chunk: str) -> list[str] | None:
-        """The words of a plain chunk; None for any other."""
-        if chunk.isascii() and chunk.isalpha():
-            return [chunk.lower()]
-        return self.words.findall(chunk.lower()) if PLAIN.fullmatch(chunk) and "<|" not in chunk else None
-
-    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        split = [self._split(c) for c in chunks]
-        known = self.known.holding(set().union(*(w for w in split if w)))
-        return [self._whole(c) if w is None else known[w[0]] if len(w) == 1 else b"".join([known[x] for x in w]) for c, w in zip(chunks, split, strict=True)]
+        for w in words:
+            if PLAIN.fullmatch(w) and "<|" not in w:
+                yield b"".join([t.id.to_bytes(4, "little") for t in tokenize(w if w.isascii() else "".join([names[b] for b in w.encode()]))])
+            else:
+                yield self._whole(w)
+
+    def _split(self, text: str) -> list[str]:
+        """The words of a text, and its chunks that aren't plain."""
+        if "<|" not in text and PLAIN.fullmatch(text):
+            return self.pattern.findall(text.lower())
+        out: list[str] = []
+        for chunk in text.split():
+            out += self.pattern.findall(chunk.lower()) if "<|" not in chunk and PLAIN.fullmatch(chunk) else [chunk]
+        return out
 
     def _in_parts(self, text: str) -> Iterator[bytes]:
-        """The ids of a long text's parts, which end at white space, so that few of its chunks are held at a time."""
+        """The ids of a long text's parts, which end at white space, so that few of its words are held at a time."""
         at = 0
         while at < len(text):
             gap = SPACE.search(text, at + self.PART)
             end = gap.start() if gap else len(text)
-            chunks = text[at:end].split()
-            yield b"".join(map(self.chunks.holding(set(chunks)).__getitem__, chunks))
+            words = self._split(text[at:end])
+            yield b"".join(map(self.known.holding(set(words)).__getitem__, words))
             at = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [self._whole(t) if UNUSUAL_SPACE.search(t) else b"".join(self._in_parts(t)) if len(t) > self.PART else None for t in texts]
-        split = [t.split() if found is None else () for t, found in zip(texts, out, strict=True)]
-        known = self.chunks.holding(set().union(*split))
-        return [b"".join(map(known.__getitem__, c)) if found is None else found for c, found in zip(split, out, strict=True)]
+        split = [self._split(t) if found is None else () for t, found in zip(texts, out, strict=True)]
+        known = self.known.holding(set().union(*split))
+        return [b"".join(map(known.__getitem__, words)) if found is None else found for words, found in zip(split, out, strict=True)]
 
 
 @lru_cache(maxsize=2)
 def encoder_for(path: str) -> WordEncoder:
-    """The encoder of a Python worker; what it remembers outlives a task, until another operator's task starts."""
+    """The encoder of a Python worker, until another operator's task starts."""
     remember("packing", encoder_for.cache_clear)
     return WordEncoder(path)
 
@@ -131,6 +134,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 2
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.binary()] if keep_ids else [])]
             names = ["row_id", "doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        encoder.known.clear()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(task("packing", cut), PIECES + (", ids binary" if keep_ids else ""))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, dedup, jaccard, langid, mixing, packing, pii, secrets, topk, urls
+from . import chat, clusters, dedup, jaccard, langid, mixing, packing, pii, secrets, topk, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,7 @@ QUERIES: dict[str, Query] = {
     "op8_chat_format": _over("conversations", lambda turns: chat.summarise(chat.format_conversations(chat.with_control_case(turns), tokenizer_path("byte_bpe_50k.json")))),
     "op9_personal_data": _over("documents", pii.scan_personal_data),
     "op10_url_filter": _over("pages", urls.judge_urls),
+    "op11_cluster_embeddings": _over("embeddings", clusters.cluster_embeddings),
 }
 
 SQL: dict[str, str] = {
@@ -42,4 +43,5 @@ SQL: dict[str, str] = {
     "op5_exact_dedup": dedup.SQL,
     "op7_secret_scan": secrets.SQL,
     "op8_chat_format": chat.SQL,
+    "op11_cluster_embeddings": clusters.SQL,
 }

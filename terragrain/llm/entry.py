@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, clusters, dedup, jaccard, langid, mixing, packing, pii, secrets, topk, urls
+from . import chat, clusters, dedup, jaccard, langid, mixing, packing, pii, secrets, spelling, topk, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,7 @@ QUERIES: dict[str, Query] = {
     "op9_personal_data": _over("documents", pii.scan_personal_data),
     "op10_url_filter": _over("pages", urls.judge_urls),
     "op11_cluster_embeddings": _over("embeddings", clusters.cluster_embeddings),
+    "op12_spelling_variants": _over("documents", spelling.group_spellings),
 }
 
 SQL: dict[str, str] = {
@@ -44,4 +45,5 @@ SQL: dict[str, str] = {
     "op7_secret_scan": secrets.SQL,
     "op8_chat_format": chat.SQL,
     "op11_cluster_embeddings": clusters.SQL,
+    "op12_spelling_variants": spelling.SQL,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, clusters, dedup, jaccard, langid, mixing, packing, pii, secrets, spelling, topk, urls
+from . import chat, clusters, dedup, jaccard, langid, leaks, mixing, packing, pii, secrets, spelling, topk, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,7 @@ QUERIES: dict[str, Query] = {
     "op10_url_filter": _over("pages", urls.judge_urls),
     "op11_cluster_embeddings": _over("embeddings", clusters.cluster_embeddings),
     "op12_spelling_variants": _over("documents", spelling.group_spellings),
+    "op13_benchmark_leaks": lambda spark, sf_dir: leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
 }
 
 SQL: dict[str, str] = {
@@ -46,4 +47,5 @@ SQL: dict[str, str] = {
     "op8_chat_format": chat.SQL,
     "op11_cluster_embeddings": clusters.SQL,
     "op12_spelling_variants": spelling.SQL,
+    "op13_benchmark_leaks": leaks.SQL,
 }

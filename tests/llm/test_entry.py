@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def con():
     con = duckdb.connect()
-    for name in ("documents", "embeddings", "conversations", "pages"):
+    for name in ("documents", "embeddings", "conversations", "pages", "benchmark"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -12,9 +12,25 @@ SKIPPED_FIPS = ("02", "15", "60", "66", "69", "72", "78")
 
 
 def lenient_double(text: Column) -> Column:
-    """A number that stands alone in a text, or null."""
+    """A number that stands alone in a text, or null.
+
+    Most texts end with a digit, and then the cast knows a number as well as the pattern does, but
+    for hexadecimal ones; only the others are held against it.
+    """
     text = text.cast("string")
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    plain = F.right(text, F.lit(1)).between("0", "9") & ~text.contains("x") & ~text.contains("X")
+    return F.when(plain | text.rlike(NUMBER), text.try_cast("double"))
+
+
+def computed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with these columns, worked out once a row.
+
+    A filter on a plain computed column would be moved before it, with a copy of all that the column
+    is made of. Nothing is moved through the unfolding of a list, here of one element.
+    """
+    kept = [c for c in rows.columns if c not in columns]
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_made")
+    return rows.select(*[F.col(f"`{c}`") for c in kept], made).select(*[F.col(f"`{c}`") for c in kept], "_made.*")
 
 
 def in_box(lon: Column, lat: Column, box: tuple[float, float, float, float]) -> Column:

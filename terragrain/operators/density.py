@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binning import bin_index, cell_of, centre_of, contains_grid
-from ..functions.predicates import in_world, lenient_double
+from ..functions.predicates import computed, in_world, lenient_double
 
 KM_PER_DEGREE = 111.0
 
@@ -16,8 +16,9 @@ KM_PER_DEGREE = 111.0
 def valid_points(points: DataFrame) -> DataFrame:
     """Points whose lon and lat are numbers, or texts that are, within the world."""
     kinds = dict(points.dtypes)
-    cast = {c: F.col(c) if kinds[c] == "double" else lenient_double(F.col(c)) for c in ("lon", "lat")}
-    return points.withColumns(cast).where(in_world(F.col("lon"), F.col("lat")))
+    if any(kinds[c] != "double" for c in ("lon", "lat")):
+        points = computed(points, **{c: lenient_double(F.col(c)) for c in ("lon", "lat")}).select(*points.columns)
+    return points.where(in_world(F.col("lon"), F.col("lat")))
 
 
 def _cells(resolutions: Iterable[int]) -> Column:

@@ -507,18 +507,18 @@ def _shape_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = F.lit(2 * math.pi) / (F.lit(3) + key % 200)
     around = F.transform(F.sequence(F.lit(0), F.lit(2) + key % 200), lambda k: F.array((key % 60 - F.lit(130)).cast("double") + F.cos(step * k), (F.lit(25) + key % 20).cast("double") + F.sin(step * k)))
     kind = F.when(key % 7 == 0, 3).when(key % 2 == 0, 5).otherwise(15)
-    code = F.when(key % 11 == 0, "2").when(key % 3 == 0, "1").otherwise("48")
+    code = F.when(key % 13 == 0, "02").when(key % 11 == 0, "2").when(key % 3 == 0, "1").otherwise("48")
     return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(key.alias("record"), F.lit(0).alias("ring"), kind.alias("kind"), around.alias("points"), F.create_map(F.lit("STATEFP"), code).alias("attributes"))
 
 
 _SHAPES = """shapes AS (SELECT CAST(s_suppkey AS INTEGER) AS record, CASE WHEN s_suppkey % 7 = 0 THEN 3 WHEN s_suppkey % 2 = 0 THEN 5 ELSE 15 END AS kind,
-  CASE WHEN s_suppkey % 11 = 0 THEN '02' WHEN s_suppkey % 3 = 0 THEN '01' ELSE '48' END AS code, CAST(3 + s_suppkey % 200 AS INTEGER) AS n, s_suppkey AS k FROM supplier),
+  CASE WHEN s_suppkey % 13 = 0 THEN '02' WHEN s_suppkey % 11 = 0 THEN '2' WHEN s_suppkey % 3 = 0 THEN '1' ELSE '48' END AS raw, CAST(3 + s_suppkey % 200 AS INTEGER) AS n, s_suppkey AS k FROM supplier),
 corners AS (SELECT *, k % 60 - 130 + cos(2 * pi() / n * i) AS x, 25 + k % 20 + sin(2 * pi() / n * i) AS y FROM (SELECT *, CAST(unnest(range(n)) AS INTEGER) AS i FROM shapes))"""
 
 
 @query(
     "boundary_on_sphere",
-    f"WITH {_SHAPES}, f AS (SELECT *, CAST(CAST(x AS FLOAT) AS DOUBLE) AS lon, CAST(CAST(y AS FLOAT) AS DOUBLE) AS lat FROM corners WHERE kind IN (5, 15) AND code <> '02' AND n >= 4 AND i % greatest(1, n // 80) = 0) "
+    f"WITH {_SHAPES}, f AS (SELECT *, CAST(CAST(x AS FLOAT) AS DOUBLE) AS lon, CAST(CAST(y AS FLOAT) AS DOUBLE) AS lat FROM corners WHERE kind IN (5, 15) AND raw <> '02' AND n >= 4 AND i % greatest(1, n // 80) = 0) "
     "SELECT record, count(*) AS corners, round(sum(1.5 * cos(radians(lat)) * cos(radians(-lon))), 4) AS px, round(sum(1.5 * sin(radians(lat))), 4) AS py, round(sum(1.5 * cos(radians(lat)) * sin(radians(-lon))), 4) AS pz FROM f GROUP BY record".replace("1.5", "CAST(1.5 AS DOUBLE)"),
 )
 def boundary_on_sphere(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -527,7 +527,7 @@ def boundary_on_sphere(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("record").agg(F.count(F.lit(1)).alias("corners"), *[F.round(F.sum(c), 4).alias(c) for c in ("px", "py", "pz")])
 
 
-@query("zone_rings", f"WITH {_SHAPES} SELECT code AS zone, CAST(count(DISTINCT record) AS BIGINT) AS rings, count(*) AS corners FROM corners WHERE kind IN (5, 15) AND code <> '02' GROUP BY code")
+@query("zone_rings", f"WITH {_SHAPES} SELECT CASE WHEN length(raw) < 2 THEN '0' || raw ELSE raw END AS zone, CAST(count(DISTINCT record) AS BIGINT) AS rings, count(*) AS corners FROM corners WHERE kind IN (5, 15) AND raw NOT IN ('2', '02') GROUP BY 1")
 def zone_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rings = zones.zone_rings(_shape_rings(spark, sf_dir), "STATEFP", states(spark))
     return rings.groupBy("zone").agg(F.count(F.lit(1)).alias("rings"), F.sum(F.size("points")).alias("corners"))

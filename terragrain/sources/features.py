@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.predicates import lenient_double
+from ..functions.predicates import computed, lenient_double
 
 FEATURE = (
     "type string, id int, geometry struct<type:string, coordinates:array<double>>, "
@@ -48,12 +48,12 @@ def parse_features(lines: DataFrame, line: str = "value") -> DataFrame:
     has none, and is kept. Blank lines, bad JSON, null geometry and null properties are skipped.
     """
     read = F.from_json(line, _LINE, {"columnNameOfCorruptRecord": "_bad"})
-    parsed = lines.where(F.ltrim(line).startswith("{")).withColumn("_line", read)
+    parsed = computed(lines.where(F.ltrim(line).startswith("{")), _line=read).where(F.col("_line._bad").isNull())
     at = lambda i: lenient_double(F.get("_line.geometry.coordinates", F.lit(i)))
     # Properties that are null, or no object, are there by name.
     none = F.array_contains(F.json_object_keys(line), "properties")
     props = F.coalesce("_line.properties", F.when(~F.coalesce(none, F.lit(True)), F.create_map().cast("map<string,string>")))
-    out = parsed.where(F.col("_line._bad").isNull()).withColumn("lon", at(0)).withColumn("lat", at(1)).withColumn("props", props).drop("_line")
+    out = computed(parsed, lon=at(0), lat=at(1), props=props).drop("_line")
     return out.where(F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("props").isNotNull())
 
 

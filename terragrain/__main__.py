@@ -27,12 +27,18 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("-o", "--output", required=True)
         return p
 
+    def following(p: argparse.ArgumentParser) -> None:
+        p.add_argument("--follow", default="", metavar="STATE", help="go on with lines of files that come later, and keep the state in this folder")
+        p.add_argument("--every", default="10 seconds", help="how often to look for them; once: end with what is there now")
+        p.add_argument("--at-once", type=int, default=1 << 30, help="bytes of files that are taken on together")
+
     p = command("filter", "keep the lines that path queries match")
-    p.add_argument("--follow", default="", metavar="STATE", help="go on with lines of files that come later, and keep the state in this folder")
-    p.add_argument("--every", default="10 seconds", help="how often to look for them")
+    following(p)
     for clause in ("all", "any", "none"):
         p.add_argument(f"--match-{clause}", default="", help="comma-separated path queries")
     p = command("sample", "keep every nth feature of each name")
+    following(p)
+    p.add_argument("--report", type=int, default=100_000, help="features written between two reports of all names' counts, when following")
     p.add_argument("-n", type=int, default=100)
     p.add_argument("--names", default="", help="comma-separated; all where empty")
     p.add_argument("--aliases", default="", help="CSV of name,alias without a header: names that stand for others")
@@ -56,26 +62,41 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def tell(what: dict) -> None:
+    print(json.dumps(what), file=sys.stderr, flush=True)
+
+
+def passing(spark: SparkSession, rows: DataFrame, args: argparse.Namespace) -> DataFrame:
+    """The features that a sample is drawn from, with their names made plain, and ``_name``."""
+    p = rows.withColumn("_name", F.coalesce("properties.Name", F.lit("")))
+    if args.aliases:
+        p = sampling.with_alias(p, spark.read.schema("name string, alias string").csv(args.aliases), "_name")
+    p = p.withColumn("properties", F.col("properties").withField("Name", F.col("_name")))
+    accuracy, activity = F.coalesce("properties.Accuracy", F.lit(0.0)), F.coalesce("properties.Activity", F.lit(""))
+    return p.where(predicates.passes_accuracy(accuracy, args.min_accuracy) & predicates.valid_activity(activity, args.require_activity, args.remove_unknown_activity) & predicates.passes_name(F.col("_name"), pathquery.split_queries(args.names)))
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
+    often = None if getattr(args, "every", None) == "once" else getattr(args, "every", None)
     if args.command == "filter":
         clauses = [pathquery.split_queries(getattr(args, f"match_{c}")) for c in ("all", "any", "none")]
-        passing = pathquery.rejection(F.col("value"), *clauses).isNull()
+        kept = pathquery.rejection(F.col("value"), *clauses).isNull()
         if args.follow:
-            told = lambda p: print(json.dumps(p), file=sys.stderr, flush=True)
-            streams.follow(spark.readStream.text(args.input).where(passing), args.output, args.follow, args.every, told).awaitTermination()
+            lines = spark.readStream.option("maxBytesPerTrigger", args.at_once).text(args.input)
+            streams.follow(lines.where(kept), args.output, args.follow, often, tell).awaitTermination()
         else:
-            features.write_lines(features.read_lines(spark, args.input).where(passing), args.output)
+            features.write_lines(features.read_lines(spark, args.input).where(kept), args.output)
+    elif args.command == "sample" and args.follow:
+        lines = streams.with_arrival(spark.readStream.option("maxBytesPerTrigger", args.at_once).text(args.input))
+        kept = passing(spark, features.typed(lines), args)
+        whole = F.to_json(F.struct("type", "id", "geometry", "properties"), {"ignoreNullFields": "false"})
+        sample = streams.sample_lines(kept.select("_name", *streams.ARRIVAL, whole.alias("value")), args.n, "_name", streams.ARRIVAL)
+        streams.report_counts(spark, streams.follow(sample, args.output, args.follow, often), args.follow, args.report, tell)
     elif args.command == "sample":
         # Every nth by arrival: the files in order of their paths, and their lines.
-        rows = features.with_arrival(features.read_features(spark, args.input))
-        p = rows.withColumn("_name", F.coalesce("properties.Name", F.lit("")))
-        if args.aliases:
-            p = sampling.with_alias(p, spark.read.schema("name string, alias string").csv(args.aliases), "_name")
-        p = p.withColumn("properties", F.col("properties").withField("Name", F.col("_name")))
-        accuracy, activity = F.coalesce("properties.Accuracy", F.lit(0.0)), F.coalesce("properties.Activity", F.lit(""))
-        passing = p.where(predicates.passes_accuracy(accuracy, args.min_accuracy) & predicates.valid_activity(activity, args.require_activity, args.remove_unknown_activity) & predicates.passes_name(F.col("_name"), pathquery.split_queries(args.names)))
-        features.write_features(sampling.every_nth(passing, args.n, "_at", ["_name"]).drop("_name", "_at"), args.output)
-        print(json.dumps({r["_name"]: r["n"] for r in sampling.name_counts(passing, "_name").toLocalIterator()}), file=sys.stderr)
+        kept = passing(spark, features.with_arrival(features.read_features(spark, args.input)), args)
+        features.write_features(sampling.every_nth(kept, args.n, "_at", ["_name"]).drop("_name", "_at"), args.output)
+        tell({r["_name"]: r["n"] for r in sampling.name_counts(kept, "_name").toLocalIterator()})
     elif args.command == "flatten":
         lines = features.with_arrival(features.read_lines(spark, args.input))
         features.write_tsv(features.flatten(features.parse_features(lines), "_at"), args.output)

@@ -556,7 +556,7 @@ def stream_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_every_nth", SQL["every_nth_per_name"])
 def stream_every_nth(spark: SparkSession, sf_dir: str) -> DataFrame:
     passing = _as_points(_event_stream(spark, sf_dir)).where(predicates.passes_accuracy(F.col("accuracy"), 90)).select("seq", "name")
-    return streams.every_nth_per_key(passing, 5, "name", "seq", span=1024)
+    return streams.every_nth_per_key(passing, 5, "name", "seq")
 
 
 @query(

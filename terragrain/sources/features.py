@@ -19,6 +19,13 @@ def read_features(spark: SparkSession, path: str, strict: bool = True) -> DataFr
     return spark.read.schema(FEATURE).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
 
 
+def typed(lines: DataFrame, strict: bool = True) -> DataFrame:
+    """Lines, or values, with their fields typed in columns beside the others; a bad one fails the job, or is null where not strict."""
+    read = F.from_json("value", FEATURE, {"mode": "FAILFAST" if strict else "PERMISSIVE"})
+    kept = [c for c in lines.columns if c != "value"]
+    return computed(lines, _read=read).select("_read.*", *kept)
+
+
 def stream_features(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(FEATURE).json(path)
 

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
-from ..operators import density, sampling
+from ..operators import density
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,6 +25,17 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or tempfile.mkdtemp(prefix="streams-")).rstrip("/")
 
 
+@contextmanager
+def state_on_disk(spark: SparkSession):
+    """Streaming queries that are started meanwhile keep their state in RocksDB, beyond the executors' memory."""
+    name, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a streaming query over what its source holds now, and reads back what it wrote: no rows where there were none."""
     spark = stream.sparkSession
@@ -30,19 +44,24 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
         writer = stream.writeStream.format("parquet").option("path", f"{base}/out").outputMode("append")
     else:
         writer = stream.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/out")).outputMode(mode)
-    writer.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    with state_on_disk(spark):
+        writer.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out") if _exists(spark, f"{base}/out") else spark.createDataFrame([], stream.schema)
 
 
-def follow(lines: DataFrame, path: str, state: str, every: str = "10 seconds", progress: Callable[[dict], None] | None = None) -> StreamingQuery:
+def follow(lines: DataFrame, path: str, state: str, every: str | None = "10 seconds", progress: Callable[[dict], None] | None = None) -> StreamingQuery:
     """Starts a query that writes the column ``value`` of a stream to text files as lines come, until it is stopped.
 
-    ``state`` keeps how far it came, so a restart goes on there. ``progress`` is told of every
-    micro-batch: its number, its rows, and rows a second.
+    ``state`` keeps how far it came, so a restart goes on there; without ``every`` it ends with what is
+    there now. ``progress`` is told of every micro-batch: its number, its rows, rows a second, and the
+    rows that were written.
     """
     if progress is not None:
         lines.sparkSession.streams.addListener(_Progress(progress))
-    return lines.select("value").writeStream.format("text").option("path", path).option("checkpointLocation", state).trigger(processingTime=every).start()
+    counted = lines.select("value").observe("written", F.count(F.lit(1)).alias("rows"))
+    when = {"availableNow": True} if every is None else {"processingTime": every}
+    with state_on_disk(lines.sparkSession):
+        return counted.writeStream.format("text").option("path", path).option("checkpointLocation", state).trigger(**when).start()
 
 
 class _Progress(StreamingQueryListener):
@@ -53,7 +72,7 @@ class _Progress(StreamingQueryListener):
 
     def onQueryProgress(self, event) -> None:
         p = event.progress
-        self.tell({"batch": p.batchId, "rows": p.numInputRows, "rows_per_second": p.processedRowsPerSecond})
+        self.tell({"batch": p.batchId, "rows": p.numInputRows, "rows_per_second": p.processedRowsPerSecond, "written": p.observedMetrics["written"].rows if "written" in p.observedMetrics else None})
 
     def onQueryIdle(self, event) -> None: ...
 
@@ -65,30 +84,89 @@ def stream_histogram(points: DataFrame, resolutions: Iterable[int]) -> DataFrame
     return density.histogram(points, resolutions)
 
 
-def every_nth_per_key(rows: DataFrame, n: int, key: str, order: str, span: int = sampling.SPAN) -> DataFrame:
-    """Every nth row of each key over what the stream holds now; a micro-batch's rows go by the whole number ``order``.
+class _EveryNth(StatefulProcessor):
+    """Counts the rows of a key for good, and lets every nth pass; the rows of a micro-batch go by ``order``."""
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.count = handle.getValueState("count", "n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows))
+        batch = batch.sort_values([c for c in batch.columns if c.startswith("order")], kind="stable")
+        before = self.count.get()[0] if self.count.exists() else 0
+        self.count.update((before + len(batch),))
+        yield batch.iloc[(self.n - 1 - before) % self.n :: self.n][["value"]]
+
+    def close(self) -> None: ...
 
-    Micro-batches are numbered in spans of ``order``, so a frequent key isn't in one task. The rows,
-    the counts per key and the result of a micro-batch are kept by its id, so a retry replaces them.
+
+def sample_lines(rows: DataFrame, n: int, key: str, order: list[str]) -> DataFrame:
+    """Every nth row of each key of a stream (key, order, value), as its ``value``: a text that stands for the row.
+
+    The count of a key is kept in the state store without end, so a micro-batch reads nothing of
+    earlier ones. The rows that one key has in one micro-batch are ordered in one task: the source's
+    ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` bounds them.
     """
     if n < 1:
         raise ValueError("n must be 1 or more")
-    spark, base = rows.sparkSession, f"{shared_dir(rows.sparkSession)}/stream-{uuid.uuid4().hex}"
-    schema = rows.schema
-
-    def pick(batch: DataFrame, at: int) -> None:
-        own = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{base}/rows/batch={at}")
-        held = own.read.schema(schema).parquet(f"{base}/rows/batch={at}")
-        held.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).write.mode("overwrite").parquet(f"{base}/counts/batch={at}")
-        seen = own.read.parquet(f"{base}/counts").where(F.col("batch") < at).groupBy("_key").agg(F.sum("_n").alias("_seen"))
-        numbered = sampling.running_number(held, [key], order, span).join(seen, F.col(key).eqNullSafe(F.col("_key")), "left")
-        picked = numbered.where((F.col("number") + F.coalesce("_seen", F.lit(0))) % n == 0)
-        picked.select(*schema.names).write.mode("overwrite").parquet(f"{base}/out/batch={at}")
-
-    rows.writeStream.foreachBatch(pick).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    done = spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{base}/out") if _exists(spark, f"{base}/out") else done
+    plain = rows.select(F.col(key).alias("key"), *[F.col(c).alias(f"order{k}") for k, c in enumerate(order)], "value")  # in Python, names with a leading _ are lost
+    return plain.groupBy("key").transformWithStateInPandas(_EveryNth(n), "value string", "Append", "None")
+
+
+#: Times as text that keep their microseconds.
+_EXACT_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def every_nth_per_key(rows: DataFrame, n: int, key: str, order: str) -> DataFrame:
+    """Every nth row of each key over what the stream holds now; a micro-batch's rows go by the column ``order``."""
+    whole = F.to_json(F.struct(*rows.columns), _EXACT_TIMES)
+    picked = drain(sample_lines(rows.select(F.col(key), F.col(order), whole.alias("value")), n, key, [order]))
+    return picked.select(F.from_json("value", rows.schema.simpleString(), _EXACT_TIMES).alias("r")).select("r.*")
+
+
+def key_counts(spark: SparkSession, state: str) -> DataFrame:
+    """(key, n) of a ``sample_lines``, as of the last micro-batch that is done, from the state that it keeps in the folder ``state``."""
+    counts = spark.read.format("statestore").option("stateVarName", "count").load(state)
+    return counts.select("key.key", "value.n")
+
+
+def with_arrival(lines: DataFrame) -> DataFrame:
+    """Adds _time, _file, _start and _row to lines of a stream of files: the order in which the files came, and the lines stand in them."""
+    placed = lines.select("value", F.col("_metadata.file_modification_time").alias("_time"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"))
+    return placed.mapInArrow(_numbered, "value string, _time timestamp, _file string, _start long, _row long")
+
+
+ARRIVAL = ["_time", "_file", "_start", "_row"]
+
+
+def _numbered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    so_far = 0
+    for batch in batches:
+        row = pa.array(range(so_far, so_far + batch.num_rows), pa.int64())
+        so_far += batch.num_rows
+        yield pa.RecordBatch.from_arrays([*batch.columns, row], names=[*batch.schema.names, "_row"])
+
+
+def report_counts(spark: SparkSession, query: StreamingQuery, state: str, every: int, tell: Callable[[dict], None]) -> None:
+    """While a sample runs, tells all keys' counts each time that ``every`` more rows have been written, and once when it ends.
+
+    How many were written, the sink's metrics say; the counts come from the state store, key by key.
+    """
+    written, told, seen = 0, 0, -1
+    while True:
+        ended = query.awaitTermination(1)
+        for p in query.recentProgress:
+            if p["batchId"] > seen and p["numInputRows"]:
+                seen = p["batchId"]
+                written += p["observedMetrics"]["written"]["rows"]
+        if ended or written // every > told:
+            told = written // every
+            tell({r["key"]: r["n"] for r in key_counts(spark, state).toLocalIterator()} if seen >= 0 else {})
+        if ended:
+            return
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

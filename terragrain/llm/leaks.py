@@ -26,7 +26,7 @@ from .common import SMALL_BATCHES, keep, materialise, scratch, settings, task, t
 #: Consecutive words of an item that are looked for together.
 WINDOW = 10
 #: Words and documents of a shard, unless one document has more words.
-SHARD_WORDS, SHARD_DOCS = 1 << 20, 1 << 15
+SHARD_WORDS, SHARD_DOCS = 1 << 21, 1 << 15
 #: Buckets that a shard's terms are dealt to.
 BUCKETS = 64
 #: Bytes of a long text that are split together.
@@ -35,16 +35,17 @@ PART_BYTES = 1 << 20
 #: Digits, letters and all that isn't ASCII stay, A-Z become small, all else ends a word.
 _WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-INDEX = "shard long, bucket int, terms array<binary>, counts binary, postings binary, docs array<struct<doc_id:long,start:long,n_words:long>>"
-LISTS = "shard long, term binary, n long, postings binary, led array<struct<words:array<binary>,items:array<long>>>, docs array<struct<doc_id:long,start:long,n_words:long>>"
+#: Lists of words are one text, with a space between them, where they are stored or sent.
+INDEX = "shard long, bucket int, terms binary, counts binary, postings binary, docs array<struct<doc_id:long,start:long,n_words:long>>"
+LISTS = "shard long, term binary, n long, postings binary, led array<struct<words:binary,items:array<long>>>, docs array<struct<doc_id:long,start:long,n_words:long>>"
 _DOCS = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("n_words", pa.int64())]))
-_LED = pa.list_(pa.struct([("words", pa.list_(pa.binary())), ("items", pa.list_(pa.int64()))]))
-_INDEX = pa.schema([("shard", pa.int64()), ("bucket", pa.int32()), ("terms", pa.list_(pa.binary())), ("counts", pa.binary()), ("postings", pa.binary()), ("docs", _DOCS)])
+_LED = pa.list_(pa.struct([("words", pa.binary()), ("items", pa.list_(pa.int64()))]))
+_INDEX = pa.schema([("shard", pa.int64()), ("bucket", pa.int32()), ("terms", pa.binary()), ("counts", pa.binary()), ("postings", pa.binary()), ("docs", _DOCS)])
 
 
-def words(text: str | None) -> Iterator[list[bytes]]:
-    """The lower-cased words of a text, a long one in parts that end between words."""
-    data = (text or "").encode("utf-8", "surrogatepass").translate(_WORDS)
+def words(text: bytes | None) -> Iterator[list[bytes]]:
+    """The lower-cased words of a text in UTF-8, a long one in parts that end between words."""
+    data = (text or b"").translate(_WORDS)
     at = 0
     while at < len(data):
         end = data.find(b" ", at + PART_BYTES) if len(data) > at + PART_BYTES else -1
@@ -64,7 +65,7 @@ class _Shard:
         self.places: list[np.ndarray] = []
         self.end = 0
 
-    def add(self, doc: int | None, text: str | None) -> None:
+    def add(self, doc: int | None, text: bytes | None) -> None:
         start, n = self.end, 0
         for part in words(text):
             self.terms.append(np.fromiter(map(self.numbers.__getitem__, part), np.int32, len(part)))
@@ -83,20 +84,22 @@ class _Shard:
         by_bucket = np.argsort(bucket, kind="stable")
         rank = np.empty(len(names), np.int64)
         rank[by_bucket] = np.arange(len(names))
-        term = rank[np.concatenate(self.terms)]
-        order = np.argsort(term, kind="stable")
-        place = np.concatenate(self.places)[order]
+        term, place = rank[np.concatenate(self.terms)], np.concatenate(self.places)
+        wide = self.end >= 1 << 31
+        if wide:
+            place = place[np.argsort(term, kind="stable")]
+        else:  # both in one number, which sorts faster
+            place = np.sort((term << 32) | place) & 0xFFFFFFFF
         counts = np.bincount(term, minlength=len(names))
         steps = np.diff(place, prepend=0)
         first = np.cumsum(counts) - counts
         steps[first] = place[first]
+        steps = steps.astype("<i8" if wide else "<i4")
         ends = np.searchsorted(bucket[by_bucket], np.arange(BUCKETS + 1))
         at = np.r_[first, len(place)]
-        wide = self.end >= 1 << 31
         for b in np.flatnonzero(np.diff(ends)).tolist():
             a, z = int(ends[b]), int(ends[b + 1])
-            own = steps[at[a] : at[z]]
-            row = {"shard": number, "bucket": b, "terms": [names[k] for k in by_bucket[a:z].tolist()], "counts": counts[a:z].astype("<i8").tobytes(), "postings": own.astype("<i8" if wide else "<i4").tobytes()}
+            row = {"shard": number, "bucket": b, "terms": b" ".join([names[k] for k in by_bucket[a:z].tolist()]), "counts": counts[a:z].astype("<i8").tobytes(), "postings": steps[at[a] : at[z]].tobytes()}
             yield pa.RecordBatch.from_pylist([row], schema=_INDEX)
 
 
@@ -104,7 +107,7 @@ def _gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 32
     shard = _Shard()
     for part in text_slices(batches):
-        for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+        for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
             shard.add(doc, text)
             if shard.end >= SHARD_WORDS or len(shard.docs) >= SHARD_DOCS:
                 yield from shard.rows(number)
@@ -124,7 +127,7 @@ def build_index(docs: DataFrame) -> DataFrame:
 
 def _items(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in text_slices(batches):
-        found = [[w for ws in words(t) for w in ws] for t in part.column("text").to_pylist()]
+        found = [[w for ws in words(t) for w in ws] for t in part.column("text").cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([part.column("item_id"), pa.array(found, pa.list_(pa.binary()))], names=["item_id", "words"])
 
 
@@ -150,7 +153,7 @@ def _frequencies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             asked, counts = {a["term"] for a in row["asked"]}, np.frombuffer(row["counts"], "<i8")
-            found = [(t, int(counts[k])) for k, t in enumerate(row["terms"]) if t in asked]
+            found = [(t, int(counts[k])) for k, t in enumerate(row["terms"].split(b" ")) if t in asked]
             yield pa.RecordBatch.from_pylist([{"term": t, "n": n} for t, n in found], schema=schema)
 
 
@@ -162,8 +165,8 @@ def _pick(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             asked, counts = {a["term"]: a["led"] for a in row["asked"]}, np.frombuffer(row["counts"], "<i8")
             ends = np.cumsum(counts)
             width = len(row["postings"]) // int(ends[-1])
-            found = [k for k, t in enumerate(row["terms"]) if t in asked]
-            out = [{"shard": row["shard"], "term": (t := row["terms"][k]), "postings": row["postings"][int(ends[k] - counts[k]) * width : int(ends[k]) * width], "n": int(counts[k]), "led": asked[t]} for k in found]
+            found = [(k, t) for k, t in enumerate(row["terms"].split(b" ")) if t in asked]
+            out = [{"shard": row["shard"], "term": t, "n": int(counts[k]), "postings": row["postings"][int(ends[k] - counts[k]) * width : int(ends[k]) * width], "led": asked[t]} for k, t in found]
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
 
@@ -234,12 +237,13 @@ def _search(reach: int | None):
         close: dict[int, set[int]] = defaultdict(set)
         for led in rows.column("led").to_pylist():
             for window in led or []:
-                run, items = window["words"], window["items"]
+                run, items = window["words"].split(b" "), window["items"]
                 at = phrase(lists, run)
-                change[at] += 1
-                change[at + len(run)] -= 1
-                for d in np.unique(np.searchsorted(starts, at, side="right") - 1).tolist():
-                    exact[d].update(items)
+                if len(at):
+                    change[at] += 1
+                    change[at + len(run)] -= 1
+                    for d in np.unique(np.searchsorted(starts, at, side="right") - 1).tolist():
+                        exact[d].update(items)
                 if reach is not None:
                     for d in np.unique(np.searchsorted(starts, near(lists, run, reach, starts), side="right") - 1).tolist():
                         close[d].update(items)
@@ -273,10 +277,10 @@ def find(index: DataFrame, runs: DataFrame, reach: int | None = None) -> DataFra
         often = materialise(counted.groupBy("term").agg(F.sum("n").alias("n")), "frequencies")
         # A window is led by its rarest term; one with a term that no document has can't occur.
         leader = each.join(often, "term", "left").groupBy("window").agg(F.min(F.struct("n", "k", "term")).alias("lead"), F.count_if(F.col("n").isNull()).alias("absent"))
-        led = leader.where("absent = 0").select("window", F.col("lead.term").alias("term")).join(runs, "window").groupBy("term").agg(F.collect_list(F.struct("words", "items")).alias("led"))
+        led = leader.where("absent = 0").select("window", F.col("lead.term").alias("term")).join(runs, "window").groupBy("term").agg(F.collect_list(F.struct(F.expr("concat_ws(' ', transform(words, w -> cast(w AS string)))").cast("binary").alias("words"), "items")).alias("led"))
         asked = _by_bucket(often.join(led, "term", "left"), "led")
         picked = lookup.select("shard", "bucket", "terms", "counts", "postings").join(asked, "bucket").mapInArrow(task("leaks", _pick), LISTS)
-        shards = index.where("bucket IS NULL").select("shard", F.lit(None).cast("binary").alias("term"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("postings"), F.lit(None).cast("array<struct<words:array<binary>,items:array<long>>>").alias("led"), "docs")
+        shards = index.where("bucket IS NULL").select("shard", F.lit(None).cast("binary").alias("term"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("postings"), F.lit(None).cast("array<struct<words:binary,items:array<long>>>").alias("led"), "docs")
         return materialise(picked.unionByName(shards).groupBy("shard").applyInArrow(_search(reach), FOUND), "found")
 
 

@@ -38,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument(f"--match-{clause}", default="", help="comma-separated path queries")
     p = command("sample", "keep every nth feature of each name")
     following(p)
+    p.add_argument("--lines", action="store_true", help="there is one value a line (always so when following), which is read in one pass")
     p.add_argument("--report", type=int, default=100_000, help="features written between two reports of all names' counts, when following")
     p.add_argument("-n", type=int, default=100)
     p.add_argument("--names", default="", help="comma-separated; all where empty")
@@ -93,8 +94,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         sample = streams.sample_lines(kept.select("_name", *streams.ARRIVAL, whole.alias("value")), args.n, "_name", streams.ARRIVAL)
         streams.report_counts(spark, streams.follow(sample, args.output, args.follow, often), args.follow, args.report, tell)
     elif args.command == "sample":
-        # Every nth by arrival: the files in order of their paths, and their lines.
-        kept = passing(spark, features.with_arrival(features.read_features(spark, args.input)), args)
+        # Every nth by arrival: the files in order of their paths, and their values.
+        rows = features.with_arrival(features.read_features(spark, args.input)) if args.lines else features.read_features(spark, args.input, anywhere=True)
+        kept = passing(spark, rows, args)
         features.write_features(sampling.every_nth(kept, args.n, "_at", ["_name"]).drop("_name", "_at"), args.output)
         tell({r["_name"]: r["n"] for r in sampling.name_counts(kept, "_name").toLocalIterator()})
     elif args.command == "flatten":

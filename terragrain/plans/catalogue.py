@@ -6,6 +6,7 @@ The tables carry no coordinates, so every query starts from one derived view ``p
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -337,6 +338,20 @@ def feature_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.line_counts(_feature_lines(spark, sf_dir))
 
 
+@query("feature_values", f"WITH {POINTS} SELECT seq AS id, lon, lat, name, round(accuracy, 3) AS accuracy, CASE WHEN seq % 2 = 0 THEN 'a }}\"{{ b' || chr(10) || '[ c' ELSE 'x\\' END AS notes FROM points")
+def feature_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features that are written with line ends inside, or after each other, and read back."""
+    p = points(spark, sf_dir)
+    notes = F.when(F.col("seq") % 2 == 0, 'a }"{ b\n[ c').otherwise("x\\")
+    value = F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("seq").cast("int").alias("id"), F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"), F.struct(F.col("accuracy").alias("Accuracy"), F.col("name").alias("Name"), notes.alias("Notes")).alias("properties")))
+    spread = F.when(F.col("seq") % 3 == 0, F.regexp_replace(value, r'([\[{,])"', '$1\n "')).otherwise(value)
+    folder = f"{streams.shared_dir(spark)}/values-{uuid.uuid4().hex}"
+    p.select(spread).write.option("lineSep", " ").text(folder)
+    found = features.read_features(spark, folder, anywhere=True)
+    at = F.col("geometry.coordinates")
+    return found.select(F.col("id").cast("long").alias("id"), at[0].alias("lon"), at[1].alias("lat"), F.col("properties.Name").alias("name"), F.round("properties.Accuracy", 3).alias("accuracy"), F.col("properties.Notes").alias("notes"))
+
+
 # Blur and scaling
 
 SIGMA, POWER, THRESHOLD = 0.3, 2.0, 0.02

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import computed, lenient_double
+from .values import read_values
 
 FEATURE = (
     "type string, id int, geometry struct<type:string, coordinates:array<double>>, "
@@ -14,8 +15,14 @@ FEATURE = (
 )
 
 
-def read_features(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Typed features, one JSON value a line; a bad value fails the job, or is null where not strict."""
+def read_features(spark: SparkSession, path: str, strict: bool = True, anywhere: bool = False) -> DataFrame:
+    """Typed features; a bad value fails the job, or is null where not strict.
+
+    There is one JSON value a line, or, ``anywhere``, values stand as they like: this takes a second
+    pass over the files, and gives their order in ``_at``.
+    """
+    if anywhere:
+        return typed(read_values(spark, path), strict)
     return spark.read.schema(FEATURE).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
 
 

@@ -112,10 +112,29 @@ def local_boxes(centres: DataFrame, radius_km: float = 50.0) -> DataFrame:
     )
 
 
+#: Cells that cover a box, on each axis, at least; at most twice as many and one.
+COVER = 2
+#: Cell sizes that are used: from 128 degrees down to some 2 metres, by halves.
+COARSEST, FINEST = -7, 16
+
+
 def points_in_boxes(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Points with every box that they lie in. The boxes are those of some peaks (n at most), so they are broadcast."""
+    """Points with every box (rank, lat_min, lat_max, lon_min, lon_max, ...) that they lie in.
+
+    A box is covered by a few cells of a size that fits it, and points meet the boxes of their own
+    cells, then their exact bounds. So many boxes cost no more comparisons than those of one place.
+    """
+    side = F.greatest(F.col("lon_max") - F.col("lon_min"), F.col("lat_max") - F.col("lat_min"))
+    fits = F.floor(F.log2(F.lit(float(COVER)) / F.greatest(side, F.lit(1e-9)))).cast("int")
+    sized = boxes.withColumn("_level", F.least(F.greatest(fits, F.lit(COARSEST)), F.lit(FINEST)))
+    cell = lambda c, level: F.floor(F.col(c) * F.pow(F.lit(2.0), level)).cast("long")
+    span = lambda c: F.explode(F.sequence(cell(f"{c}_min", F.col("_level")), cell(f"{c}_max", F.col("_level"))))
+    covers = sized.where("lon_min <= lon_max AND lat_min <= lat_max").withColumn("_cx", span("lon")).withColumn("_cy", span("lat"))
+    levels = sorted(r["_level"] for r in sized.select("_level").distinct().collect() if r["_level"] is not None)  # FINEST - COARSEST + 1 at most
+    each = valid_points(points).select("lat", "lon", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>")).alias("_level"))
+    placed = each.withColumn("_cx", cell("lon", F.col("_level"))).withColumn("_cy", cell("lat", F.col("_level")))
     inside = F.col("lat").between(F.col("lat_min"), F.col("lat_max")) & F.col("lon").between(F.col("lon_min"), F.col("lon_max"))
-    return valid_points(points).select("lat", "lon").join(F.broadcast(boxes), inside)
+    return placed.join(covers, ["_level", "_cx", "_cy"]).where(inside).drop("_level", "_cx", "_cy")
 
 
 def local_histograms(points: DataFrame, boxes: DataFrame, resolution: int = 200) -> DataFrame:

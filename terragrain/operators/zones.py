@@ -1,4 +1,4 @@
-"""Points in polygons by the even-odd rule, as an equality join on narrow latitude bands."""
+"""Points in polygons by the even-odd rule, as an equality join on cells; boundary lines; zones of states."""
 
 from __future__ import annotations
 
@@ -6,42 +6,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import SKIPPED_FIPS, pad_fips
+from .zone_cells import cell_index, locate
 
 
 def edges(rings: DataFrame) -> DataFrame:
-    """(zone, x1, y1, x2, y2) of every edge that isn't level, from (zone, ring, points: array of [lon, lat]).
+    """(zone, x1, y1, x2, y2) of every edge, from (zone, ring, points: array of [lon, lat]).
 
     Rings are closed where they aren't. Holes are rings too. Edges that two areas of a zone share
     cancel, so a zone made of several areas needs no union first.
     """
     pairs = F.transform("points", lambda p, i: F.struct(p[0].alias("x1"), p[1].alias("y1"), F.get(F.get("points", (i + 1) % F.size("points")), F.lit(0)).alias("x2"), F.get(F.get("points", (i + 1) % F.size("points")), F.lit(1)).alias("y2")))
-    return rings.select("zone", F.explode(pairs).alias("e")).select("zone", "e.*").where("y1 <> y2")
+    return rings.select("zone", F.explode(pairs).alias("e")).select("zone", "e.*").where("x1 <> x2 OR y1 <> y2")
 
 
-#: Bands to a degree of latitude: a position is only held against the edges of its band.
+#: Bands to a degree of latitude: where cells don't tell, a position is held against the edges of its band.
 BANDS = 8
 
 
-def points_in_zones(points: DataFrame, zone_edges: DataFrame, parts: int | None = None) -> DataFrame:
-    """(lon, lat, zone, n): every distinct position in every zone that holds it, and how many points are there.
+def by_bands(places: DataFrame, zone_edges: DataFrame) -> DataFrame:
+    """(lon, lat, zone, n): those of the distinct ``places`` (lon, lat, n) that are in a zone, by all edges of their latitude.
 
     A ray to the east meets an edge only in the edge's latitude bands, so position and edge are joined
-    by band. The positions of a band are dealt in ``parts``, so that many tasks share a busy band, and
-    its edges, which are few, go to each of them. The edges' bounding box is a plain filter, which
-    reaches the scan.
+    by band. The positions of a band are dealt in parts, so that many tasks share a busy band, and its
+    edges, which are few, go to each of them.
     """
-    if parts is None:
-        parts = 1 + int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 100
-    west, east, south, north = zone_edges.agg(F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2")), F.min(F.least("y1", "y2")), F.max(F.greatest("y1", "y2"))).first()
-    near = F.col("lon").between(west, east) & F.col("lat").between(south, north)
-    places = points.where(near).groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("n")).select("lon", "lat", "n", F.floor(F.col("lat") * BANDS).cast("int").alias("band"), F.pmod(F.xxhash64("lon", "lat"), F.lit(parts)).cast("int").alias("part"))
-    bands = zone_edges.withColumn("band", F.explode(F.sequence(F.floor(F.least("y1", "y2") * BANDS).cast("int"), F.floor(F.greatest("y1", "y2") * BANDS).cast("int"))))
+    parts = 1 + int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 100
+    banded = places.select("lon", "lat", "n", F.floor(F.col("lat") * BANDS).cast("int").alias("band"), F.pmod(F.xxhash64("lon", "lat"), F.lit(parts)).cast("int").alias("part"))
+    bands = zone_edges.where("y1 <> y2").withColumn("band", F.explode(F.sequence(F.floor(F.least("y1", "y2") * BANDS).cast("int"), F.floor(F.greatest("y1", "y2") * BANDS).cast("int"))))
     bands = bands.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     crosses = ((F.col("y1") > F.col("lat")) != (F.col("y2") > F.col("lat"))) & (F.col("lon") < (F.col("x2") - F.col("x1")) * F.try_divide(F.col("lat") - F.col("y1"), F.col("y2") - F.col("y1")) + F.col("x1"))
-    met = places.join(bands, ["band", "part"]).where(crosses)
+    met = banded.join(bands, ["band", "part"]).where(crosses)
     return met.groupBy("lon", "lat", "zone").agg(F.count(F.lit(1)).alias("crossings"), F.first("n").alias("n")).where("crossings % 2 = 1").select("lon", "lat", "zone", "n")
 
 
+def points_in_zones(points: DataFrame, zone_edges: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """(lon, lat, zone, n): every distinct position in every zone that holds it, and how many points are there.
+
+    Equal positions are counted first, then located by the zones' cells (``index``, which is made of
+    the edges where it isn't given). The edges' bounding box is a plain filter, which reaches the scan.
+    """
+    index = cell_index(zone_edges) if index is None else index
+    west, east, south, north = zone_edges.agg(F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2")), F.min(F.least("y1", "y2")), F.max(F.greatest("y1", "y2"))).first()
+    near = F.col("lon").between(west, east) & F.col("lat").between(south, north)
+    located = locate(points.where(near).groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("n")), index)
+    unsure = located.where("NOT sure").select("lon", "lat", "n", "zone")
+    settled = by_bands(unsure.select("lon", "lat", "n").distinct(), zone_edges).join(unsure.select("lon", "lat", "zone"), ["lon", "lat", "zone"], "left_semi")
+    return located.where("sure").select("lon", "lat", "zone", "n").unionByName(settled.select("lon", "lat", "zone", "n"))
+
+
 def zone_counts(points: DataFrame, zone_edges: DataFrame) -> DataFrame:
     """(zone, points) of every zone that holds a point."""
     return points_in_zones(points, zone_edges).groupBy("zone").agg(F.sum("n").alias("points"))

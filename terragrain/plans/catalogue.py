@@ -6,7 +6,6 @@ The tables carry no coordinates, so every query starts from one derived view ``p
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +15,7 @@ from ..functions import display, pathquery, predicates
 from ..functions.binning import bin_sql
 from ..operators import density, mesh, sampling, smooth, zones
 from ..sources import features, report
+from ..sources.folders import fresh_path
 from ..sources.states import state_rows, states
 from ..streaming import streams
 
@@ -345,7 +345,7 @@ def feature_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = F.when(F.col("seq") % 2 == 0, 'a }"{ b\n[ c').otherwise("x\\")
     value = F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("seq").cast("int").alias("id"), F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")).alias("geometry"), F.struct(F.col("accuracy").alias("Accuracy"), F.col("name").alias("Name"), notes.alias("Notes")).alias("properties")))
     spread = F.when(F.col("seq") % 3 == 0, F.regexp_replace(value, r'([\[{,])"', '$1\n "')).otherwise(value)
-    folder = f"{streams.shared_dir(spark)}/values-{uuid.uuid4().hex}"
+    folder = fresh_path(spark, "values")
     p.select(spread).write.option("lineSep", " ").text(folder)
     found = features.read_features(spark, folder, anywhere=True)
     at = F.col("geometry.coordinates")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
@@ -14,15 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from ..operators import density
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; on a local master, where none is set, a fresh one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    master = spark.sparkContext.master
-    if not found and master != "local" and not master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return (found or tempfile.mkdtemp(prefix="streams-")).rstrip("/")
+from ..sources.folders import exists, fresh_path
 
 
 @contextmanager
@@ -39,14 +29,14 @@ def state_on_disk(spark: SparkSession):
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a streaming query over what its source holds now, and reads back what it wrote: no rows where there were none."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = fresh_path(spark, "stream")
     if mode == "append":
         writer = stream.writeStream.format("parquet").option("path", f"{base}/out").outputMode("append")
     else:
         writer = stream.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/out")).outputMode(mode)
     with state_on_disk(spark):
         writer.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out") if _exists(spark, f"{base}/out") else spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{base}/out") if exists(spark, f"{base}/out") else spark.createDataFrame([], stream.schema)
 
 
 def follow(lines: DataFrame, path: str, state: str, every: str | None = "10 seconds", progress: Callable[[dict], None] | None = None) -> StreamingQuery:
@@ -167,9 +157,3 @@ def report_counts(spark: SparkSession, query: StreamingQuery, state: str, every:
             tell({r["key"]: r["n"] for r in key_counts(spark, state).toLocalIterator()} if seen >= 0 else {})
         if ended:
             return
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether the path is there, on whichever store."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)

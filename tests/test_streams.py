@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from terragrain.__main__ import parser, run
 from terragrain.plans import catalogue
+from terragrain.sources import folders
 from terragrain.streaming import streams
 
 
@@ -102,4 +103,4 @@ def test_a_cluster_without_a_shared_folder_is_refused():
             get = staticmethod(lambda key, default: default)
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        streams.shared_dir(Session())
+        folders.shared_dir(Session())

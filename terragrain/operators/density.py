@@ -36,34 +36,50 @@ def _coarser(base: int, others: list[int]) -> Column:
     return F.array(*own)
 
 
-def histogram(points: DataFrame, resolutions: Iterable[int]) -> DataFrame:
-    """(res, x, y, cnt) of every non-empty cell at every resolution, in one scan; repeated resolutions count once.
-
-    Points are put into cells only at resolutions that no finer one contains; where all edges of a
-    coarser grid are edges of a finer one, its counts are summed from the finer cells. All counts are
-    partial before their shuffle. Streams, where sums of counts can't be kept up to date, put every
-    point into a cell of every resolution.
-    """
-    wanted = sorted(set(resolutions), reverse=True)
+def bases(resolutions: Iterable[int]) -> dict[int, list[int]]:
+    """The resolutions that no finer one contains, each with the coarser ones whose cells are made of its own."""
     within: dict[int, list[int]] = {}
-    for r in wanted:
-        finer = next((b for b in within if not points.isStreaming and contains_grid(b, r)), None)
-        within[r] = []
-        if finer is not None:
-            within.pop(r)
+    for r in sorted(set(resolutions), reverse=True):
+        finer = next((b for b in within if contains_grid(b, r)), None)
+        if finer is None:
+            within[r] = []
+        else:
             within[finer].append(r)
-    each = valid_points(points).select(F.explode(_cells(within)).alias("c"))
-    counted = each.groupBy(F.col("c.res").alias("res"), F.col("c.x").alias("x"), F.col("c.y").alias("y")).agg(F.count(F.lit(1)).alias("cnt"))
-    if len(within) == len(wanted):
-        return counted
+    return within
+
+
+def cell_counts(points: DataFrame, resolutions: Iterable[int]) -> DataFrame:
+    """(res, x, y, cnt) of every non-empty cell, with every point put into a cell of every resolution."""
+    each = valid_points(points).select(F.explode(_cells(resolutions)).alias("c"))
+    return each.groupBy(F.col("c.res").alias("res"), F.col("c.x").alias("x"), F.col("c.y").alias("y")).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def with_coarser(counts: DataFrame, within: dict[int, list[int]]) -> DataFrame:
+    """Counts of the ``bases`` with those of the coarser grids that they contain."""
+    if not any(within.values()):
+        return counts
     around = None
     for base, others in within.items():
         cells = _coarser(base, others)
         around = F.when(F.col("res") == base, cells) if around is None else around.when(F.col("res") == base, cells)
-    spread = counted.select(F.explode(around).alias("c"), "cnt")
+    spread = counts.select(F.explode(around).alias("c"), "cnt")
     return spread.groupBy(F.col("c.res").alias("res"), F.col("c.x").alias("x"), F.col("c.y").alias("y")).agg(F.sum("cnt").alias("cnt"))
 
 
+def histogram(points: DataFrame, resolutions: Iterable[int]) -> DataFrame:
+    """(res, x, y, cnt) of every non-empty cell at every resolution, in one scan; repeated resolutions count once.
+
+    Points are put into cells only at resolutions that no finer one contains; where all edges of a
+    coarser grid are edges of a finer one, its counts are summed from the finer cells. All counts are
+    partial before their shuffle. Streams, where sums of counts can't be kept up to date, put every
+    point into a cell of every resolution (but see ``streaming.grids``).
+    """
+    if points.isStreaming:
+        return cell_counts(points, sorted(set(resolutions), reverse=True))
+    within = bases(resolutions)
+    return with_coarser(cell_counts(points, within), within)
+
+
 def summary(grid: DataFrame) -> DataFrame:
     """Per resolution: cells, max_cnt, sum_cnt."""
     return grid.groupBy("res").agg(F.count(F.lit(1)).alias("cells"), F.coalesce(F.max("cnt"), F.lit(0)).alias("max_cnt"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("sum_cnt"))

@@ -17,7 +17,7 @@ from ..operators import density, mesh, sampling, smooth, zones
 from ..sources import features, report
 from ..sources.folders import fresh_path
 from ..sources.states import state_rows, states
-from ..streaming import streams
+from ..streaming import grids, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -565,9 +565,26 @@ def stream_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_histogram", SQL["multi_resolution_histogram"])
 def stream_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = grids.Grid(spark, fresh_path(spark, "grid"), RESOLUTIONS)
+    grid.follow(_as_points(_event_stream(spark, sf_dir)), fresh_path(spark, "grid-state"), None).awaitTermination()
+    return grid.counts()
+
+
+@query("stream_histogram_complete", SQL["multi_resolution_histogram"])
+def stream_histogram_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.drain(streams.stream_histogram(_as_points(_event_stream(spark, sf_dir)), RESOLUTIONS), "complete")
 
 
+@query("grid_of_days", SQL["multi_resolution_histogram"])
+def grid_of_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same grids, from increments of 17 parts of the events, each of which is handed over twice."""
+    grid = grids.Grid(spark, fresh_path(spark, "grid"), RESOLUTIONS)
+    for k in range(17):
+        for _ in range(2):
+            grid.add(points(spark, sf_dir).where(F.col("seq") % 17 == k), k)
+    return grid.counts()
+
+
 @query("stream_every_nth", SQL["every_nth_per_name"])
 def stream_every_nth(spark: SparkSession, sf_dir: str) -> DataFrame:
     passing = _as_points(_event_stream(spark, sf_dir)).where(predicates.passes_accuracy(F.col("accuracy"), 90)).select("seq", "name")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import display, pathquery, predicates
 from ..functions.binning import bin_sql
-from ..operators import density, mesh, sampling, smooth, zones
+from ..operators import density, dissolve, mesh, sampling, smooth, zones
 from ..sources import features, report
 from ..sources.folders import fresh_path
 from ..sources.states import state_rows, states
@@ -308,6 +308,16 @@ def fraction_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.fraction(points(spark, sf_dir), 0.1, key="seq").select("seq", "lon", "lat")
 
 
+@query("exact_sample", f"WITH {POINTS} SELECT seq, activity FROM (SELECT *, row_number() OVER (PARTITION BY activity ORDER BY substr(md5('42:' || seq), 1, 15)) AS rn, count(*) OVER (PARTITION BY activity) AS n FROM points) WHERE rn <= floor(n * CAST(0.13 AS DOUBLE))")
+def exact_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.exact_fraction(points(spark, sf_dir), 0.13, "seq", ["activity"]).select("seq", "activity")
+
+
+@query("exact_sample_of_chunks", f"WITH {POINTS}, c AS (SELECT *, (row_number() OVER (ORDER BY seq) - 1) // 300 AS chunk FROM points) SELECT seq, chunk FROM (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY substr(md5('42:' || seq), 1, 15)) AS rn, count(*) OVER (PARTITION BY chunk) AS n FROM c) WHERE rn <= floor(n * CAST(0.1 AS DOUBLE))")
+def exact_sample_of_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.exact_fraction(sampling.chunks(points(spark, sf_dir), "seq", 300, span=1024), 0.1, "seq", ["chunk"]).select("seq", "chunk")
+
+
 # Features
 
 
@@ -548,6 +558,28 @@ def zone_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rings.groupBy("zone").agg(F.count(F.lit(1)).alias("rings"), F.sum(F.size("points")).alias("corners"))
 
 
+def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A square of a degree per supplier, in a field of ten columns, with a hole in some; the zones are the suppliers' nations."""
+    k = F.col("s_suppkey")
+    x, y = (k % 10).cast("double"), F.floor(k / 10).cast("double")
+    corner = lambda a, b: F.array(x + F.lit(a), y + F.lit(b))
+    outer = F.array(corner(0.0, 0.0), corner(0.0, 1.0), corner(1.0, 1.0), corner(1.0, 0.0))
+    hole = F.array(corner(0.25, 0.25), corner(0.75, 0.25), corner(0.75, 0.75), corner(0.25, 0.75))
+    rings = F.when(k % 7 == 0, F.array(outer, hole)).otherwise(F.array(outer))
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("n"), (F.col("s_nationkey") % 4).cast("string")).alias("zone"), F.posexplode(rings).alias("ring", "points"))
+
+
+@query(
+    "dissolved_zones",
+    "WITH t AS (SELECT 'n' || s_nationkey % 4 AS zone, s_suppkey % 10 AS x, s_suppkey // 10 AS y, s_suppkey % 7 = 0 AS hole FROM supplier), "
+    "n AS (SELECT a.zone, count(*) AS n FROM t a JOIN t b ON a.zone = b.zone AND ((b.x = a.x + 1 AND b.y = a.y) OR (b.x = a.x AND b.y = a.y + 1)) GROUP BY a.zone) "
+    "SELECT zone, round(count(*) - CAST(0.25 AS DOUBLE) * count(*) FILTER (hole), 6) AS area, round(CAST(4 * count(*) + 2 * count(*) FILTER (hole) - 2 * coalesce(any_value(n.n), 0) AS DOUBLE), 6) AS outline FROM t LEFT JOIN n USING (zone) GROUP BY zone",
+)
+def dissolved_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = dissolve.areas(dissolve.dissolve(_tiles(spark, sf_dir)))
+    return whole.select("zone", F.round("area", 6).alias("area"), F.round("outline", 6).alias("outline"))
+
+
 # Streams and the report
 
 

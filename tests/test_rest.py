@@ -192,3 +192,22 @@ def test_report_round_trip(spark):
 
 def test_states(spark):
     assert states(spark).count() == 49
+
+
+def test_exact_samples(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "RANGE_ROWS", 20)
+    monkeypatch.setattr(sampling, "RANGE_BITS", 4)
+    rows = [(k if k % 50 else None, ["a", "b", None][k % 7 % 3], k // 2) for k in range(3000)] + [(k, f"few{k % 3}", 0) for k in range(20)]
+    df = spark.createDataFrame(rows, "key long, kind string, other long")
+    for share in (0.0, 0.1, 0.333, 1.0):
+        sizes = {}
+        for _, kind, _ in rows:
+            sizes[kind] = sizes.get(kind, 0) + 1
+        found = [sampling.exact_fraction(df.repartition(n), share, "key", ["kind"]).collect() for n in (1, 5)]
+        assert sorted(found[0], key=repr) == sorted(found[1], key=repr)
+        taken = {}
+        for r in found[0]:
+            taken[r["kind"]] = taken.get(r["kind"], 0) + 1
+        assert taken == {k: math.floor(n * share) for k, n in sizes.items() if math.floor(n * share)}
+        assert sampling.exact_fraction(df, share, "key").count() == math.floor(len(rows) * share)
+    assert sampling.exact_fraction(df.limit(0), 0.5, "key").count() == 0 and sampling.exact_fraction(df.limit(0), 0.5, "key", ["kind"]).count() == 0

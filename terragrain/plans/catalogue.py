@@ -138,6 +138,7 @@ _LINES = {
     "match_all": (["#(k<50)", "#(k>=10)"], [], [], "k < 50 AND k >= 10"),
     "match_any": ([], ["#(k==3)", '#[k="x"]', "#(k>90)"], [], "k = 3 OR k = 0 OR k > 90"),
     "match_none": ([], [], ["#(k<50)", "#(missing!=1)"], "NOT k < 50"),
+    "match_patterns": (["#(?<70)", "#(*<60)"], ["#(k*>40)", "#(q?=1)"], ["#(k.#(>1))"], "k < 60 AND k > 40"),
     "match_combined": (["#(k)"], ["#(k<20)", "#(k>80)"], ["#(k=15)"], "(k < 20 OR k > 80) AND k <> 15"),
 }
 

@@ -51,6 +51,19 @@ def test_escapes_elements_and_lengths(spark):
         assert df.where(pathquery.matches(F.col("value"), query)).count() == (query in yes), query
 
 
+def test_patterns_of_keys_and_queries_inside_queries(spark):
+    line = '{"zeta":{"n":1},"zebra":{"n":2},"*":9,"friends":[{"first":"Ada","age":44,"nets":["x","y"]},{"first":"Bo","age":68,"nets":["y","z)"]},{"first":"Cy","age":47,"nets":[]}],"deep":{"b1":{"c":[{"k":[1,2]},{"k":[3]}]}},"tags":["p",5,true]}'
+    df = spark.createDataFrame([(line,), (f"[{line}]",), (line[:-1],)], "value string")
+    yes = [
+        "#(z*.n=1)", "#(ze?ra.n=2)", "#(fri*.#=3)", "#(z*)", "#(\\*=9)", "#(*.n=1)", "#(de*.b?.c.1.k.0=3)", "#(f*.1.f*t=\"Bo\")", "#(?)",
+        '#(friends.#(first="Bo").age=68)', '#(friends.#(age>45).first="Bo")', "#(friends.#(age>45)#.#=2)", '#(friends.#(nets.#(="z)")).age=68)', "#(friends.#(nets.#=0).age==47)", "#(deep.*.c.#(k.#(=3)).k.#=1)",
+        '#(tags.#(="p"))', '#(tags.#(>4)="p")', "#(tags.#(=5)=5)", "#[friends.#[age<45].first%A*]", "#(friends.#(age>99)#.#=0)", "#(friends.#(age>99)#)",
+    ]
+    no = ["#(z*.n=2)", "#(q*)", "#(friends.#(age>99))", '#(friends.#(first="Bo").age=44)', "#(zeta.#(n=1))", "#(friends.#(nets.#(=\"w\")).age>0)", "#(??)", "#(tags.#(=7))"]
+    for query in yes + no:
+        assert df.where(pathquery.matches(F.col("value"), query)).count() == 3 * (query in yes), query
+
+
 def test_clauses(spark):
     under, running = "#(properties.Accuracy<100)", '#(properties.Activity="Rowing")'
     assert which(spark, lambda v: pathquery.match_all(v, [under])) == [0, 2]

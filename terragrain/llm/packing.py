@@ -34,7 +34,8 @@ FULL_ENOUGH = 0.995
 
 #: White space on which Python and the tokenizer may not agree.
 UNUSUAL_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u3000]")
-SPACE = re.compile(r"\s")
+#: White space on which they do.
+SPACE = re.compile("[\\x09-\\x0d\\x20]+")
 #: Texts whose lower case and composition need no context: printable ASCII, Latin-1 letters and usual white space.
 PLAIN = re.compile("[\\x09-\\x0d\\x20-\\x7e\\xc0-\\xff]*")
 
@@ -46,7 +47,8 @@ class WordEncoder:
 
     The tokenizer drops white space and never joins across it. A text of plain characters is split by
     the tokenizer's own pattern, and its words go to the tokenizer's model. Of any other text, the
-    white-space separated chunks that aren't plain go through the whole tokenizer.
+    white-space separated chunks that aren't plain go through the whole tokenizer, with what is white
+    space to one of the two only inside them.
     """
 
     #: Characters of a long text that are looked at together.
@@ -84,7 +86,7 @@ class WordEncoder:
         if "<|" not in text and PLAIN.fullmatch(text):
             return self.pattern.findall(text.lower())
         out: list[str] = []
-        for chunk in text.split():
+        for chunk in SPACE.split(text) if UNUSUAL_SPACE.search(text) else text.split():
             out += self.pattern.findall(chunk.lower()) if "<|" not in chunk and PLAIN.fullmatch(chunk) else [chunk]
         return out
 
@@ -99,7 +101,7 @@ class WordEncoder:
             at = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [self._whole(t) if UNUSUAL_SPACE.search(t) else b"".join(self._in_parts(t)) if len(t) > self.PART else None for t in texts]
+        out: list[bytes | None] = [b"".join(self._in_parts(t)) if len(t) > self.PART else None for t in texts]
         split = [self._split(t) if found is None else () for t, found in zip(texts, out, strict=True)]
         known = self.known.holding(set().union(*split))
         return [b"".join(map(known.__getitem__, words)) if found is None else found for words, found in zip(split, out, strict=True)]

@@ -1,4 +1,7 @@
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -26,6 +29,32 @@ def test_encoder_equals_tokenizer(texts):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [ids_of(t)[:-1] for t in texts]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([" ", "\n ", "\xa0", "\u3000", "\x1c", "\x85 ", "\u2028", "it's", "Stra\xdfe", "e\u0301", "\u0301", "\u03a3", "A\u03a3", "12", "<|endoftext|>", "\u65e5\u672c", ".", "!?"]), max_size=60).map("".join))
+def test_parts_of_long_texts_with_unusual_spaces(text):
+    encoder = packing.WordEncoder(PATH)
+    encoder.PART = 7
+    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == ids_of(text)[:-1]
+
+
+MEASURED = """
+import resource, sys
+from terragrain.llm import packing
+text = "some words of a page that isn't short,\\xa0na\\xefve as it is. " * 360_000
+encoder = packing.encoder_for(sys.argv[1])
+encoder.encode([text[:1000]])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+ids = encoder.encode([text])[0]
+print(len(ids) // 4, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+
+
+def test_memory_of_a_long_text_with_unusual_spaces():
+    """20 million characters with a no-break space in every sentence take less than 200 MB."""
+    n, megabytes = map(int, subprocess.run([sys.executable, "-c", MEASURED, PATH], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2]).stdout.split())
+    assert n > 4_000_000 and megabytes < 200
+
+
 def check(rows, packed, length):
     wanted = sorted((len(ids_of(r[1])), r[0] is None, r[0] or 0) for r in rows)
     by_doc, by_sequence = {}, {}

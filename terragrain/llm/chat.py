@@ -16,25 +16,28 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import task
+from .common import task, text_slices
 
 # The template's control strings, and one that the tokenizer itself takes as such.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<|endoftext|>")
 _REST = "|".join(re.escape(c[1:]) for c in CONTROLS)
 _PLAIN = re.compile(rf"([<\[])(?=\\*(?:{_REST}))")
 _ESCAPED = re.compile(rf"([<\[])\\(?=\\*(?:{_REST}))")
-_TURN = re.compile(r"\[INST\](.*?)\[/INST\](.*?)</s>", re.DOTALL)
+_MARKS = re.compile(r"<s>|\[INST\]|\[/INST\]|</s>")
 
-#: Characters of one conversation that are encoded together; longer ones go on in a further part, cut between turns.
-PART_CHARS = 1 << 20
+#: Characters that are encoded together: of one conversation, which goes on in a further part, or of several.
+PART_CHARS = 1 << 18
 #: Parts that are encoded in one call.
 TOGETHER = 64
+#: Where a long text may be cut: a space between letters begins a token, whatever stands around it, and no control string has one.
+_CUT = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
 
 FORMATTED = "conv_id long, part int, formatted string, ids array<int>, loss array<boolean>, loss_spans array<int>"
 
@@ -47,16 +50,19 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
-def render(turns: list[tuple[str, str]], first: bool = True) -> tuple[str, list[int]]:
-    """The formatted turns (role, text), and where the assistant texts start and end in them."""
-    pieces, spans, at = ["<s>"] if first else [], [], 3 if first else 0
+def render(turns: Iterable[tuple[str, str]]) -> Iterator[tuple[str, bool]]:
+    """The formatted turns (role, text) in pieces, and whether each is assistant text; long texts in several."""
+    yield "<s>", False
     for role, text in turns:
-        head, body = f"[INST]{escape(role)}[/INST]", escape(text)
-        if role == "assistant" and body:
-            spans += [at + len(head), at + len(head) + len(body)]
-        pieces += [head, body, "</s>"]
-        at += len(head) + len(body) + 4
-    return "".join(pieces), spans
+        yield f"[INST]{escape(role)}[/INST]", False
+        body = escape(text)
+        at = 0
+        while at < len(body):
+            cut = _CUT.search(body, at + PART_CHARS) if len(body) > at + PART_CHARS else None
+            end = cut.start() if cut else len(body)
+            yield body[at:end], role == "assistant"
+            at = end
+        yield "</s>", False
 
 
 def loss_mask(starts: np.ndarray, ends: np.ndarray, spans: list[int]) -> np.ndarray:
@@ -86,37 +92,51 @@ def chat_tokenizer(path: str):
     return tokenizer
 
 
+def _turns(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, str, str]]:
+    for batch in text_slices(batches):
+        for c, role, text in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "role", "text")), strict=True):
+            yield c, role or "", text or ""
+
+
+def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int | None, int, str, list[int]]]:
+    """(conversation, part, formatted text, where assistant texts start and end in it): parts end after a control string, or inside a long text where it may be cut."""
+    for conv, own in groupby(_turns(batches), key=lambda t: t[0]):
+        part, pieces, held, spans = 0, [], 0, []
+        for piece, spoken in render((role, text) for _, role, text in own):
+            if held and held + len(piece) > PART_CHARS:
+                yield conv, part, "".join(pieces), spans
+                part, pieces, held, spans = part + 1, [], 0, []
+            if spoken and piece:
+                spans += [held, held + len(piece)]
+            pieces.append(piece)
+            held += len(piece)
+        yield conv, part, "".join(pieces), spans
+
+
 def _formatter(tokenizer: str):
-    def encoded(parts: list[tuple[int | None, int, list[tuple[str, str]]]]) -> pa.RecordBatch:
-        texts = [render(turns, part == 0) for _, part, turns in parts]
+    def encoded(parts: list[tuple[int | None, int, str, list[int]]]) -> pa.RecordBatch:
         ids, losses, spans = [], [], []
-        for (_, own), e in zip(texts, chat_tokenizer(tokenizer).encode_batch([t for t, _ in texts], add_special_tokens=False), strict=True):
+        for (_, _, _, own), e in zip(parts, chat_tokenizer(tokenizer).encode_batch([t for _, _, t, _ in parts], add_special_tokens=False), strict=True):
             offsets = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)
             mask = loss_mask(offsets[:, 0], offsets[:, 1], own)
             ids.append(np.array(e.ids, dtype=np.int32))
             losses.append(mask)
             spans.append(masked_spans(offsets[:, 0], offsets[:, 1], mask).astype(np.int32))
         kinds = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int32())]
-        columns = [[c for c, _, _ in parts], [p for _, p, _ in parts], [t for t, _ in texts], ids, losses, spans]
+        columns = [[c for c, _, _, _ in parts], [p for _, p, _, _ in parts], [t for _, _, t, _ in parts], ids, losses, spans]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["conv_id", "part", "formatted", "ids", "loss", "loss_spans"])
 
     def form(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready: list[tuple[int | None, int, list[tuple[str, str]]]] = []
-        turns: list[tuple[str, str]] = []
-        conv, part, held, begun = None, 0, 0, False
-        for batch in batches:
-            for c, role, text in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "role", "text")), strict=True):
-                if begun and (c != conv or held > PART_CHARS):
-                    ready.append((conv, part, turns))
-                    part, turns, held = (part + 1 if c == conv else 0), [], 0
-                    if len(ready) >= TOGETHER:
-                        yield encoded(ready)
-                        ready = []
-                conv, begun = c, True
-                turns.append((role or "", text or ""))
-                held += len(turns[-1][1]) + len(turns[-1][0])
-        if begun:
-            yield encoded([*ready, (conv, part, turns)])
+        ready: list[tuple[int | None, int, str, list[int]]] = []
+        held = 0
+        for part in _parts(batches):
+            if ready and (held + len(part[2]) > PART_CHARS or len(ready) >= TOGETHER):
+                yield encoded(ready)
+                ready, held = [], 0
+            ready.append(part)
+            held += len(part[2])
+        if ready:
+            yield encoded(ready)
 
     return form
 
@@ -125,9 +145,9 @@ def format_conversations(turns: DataFrame, tokenizer: str) -> DataFrame:
     """Per part of a conversation, in order: conv_id, part, formatted, ids, loss (per token), loss_spans.
 
     A conversation's parts together are what one encoding of the whole gives, as parts end with a
-    control token. Its rows go by turn, then role and text; null role and text are empty; repeated rows
+    control token, or in a long text before a space between letters. Its rows go by turn, then role and text; null role and text are empty; repeated rows
     are turns of their own; rows without conv_id are one conversation. Rows are streamed, so a
-    conversation of any length takes the memory of one part.
+    conversation of any length takes the memory of one part; a text without such a space is in one part.
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
@@ -146,9 +166,14 @@ def _read_back(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     done.append((conv, n, whole.hexdigest(), loss_chars, loss.hexdigest(), chars))
                 conv, n, chars, loss_chars, whole, loss = c, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
             chars += len(formatted)
-            for role, text in _TURN.findall(formatted):
-                n += 1
-                whole.update(f"{unescape(role)}\n{unescape(text)}\n".encode("utf-8", "surrogatepass"))
+            at = 0
+            for mark in [*_MARKS.finditer(formatted), None]:
+                said = formatted[at : mark.start() if mark else None]
+                whole.update(unescape(said).encode("utf-8", "surrogatepass"))
+                if mark and mark[0] in ("[/INST]", "</s>"):
+                    whole.update(b"\n")
+                    n += mark[0] == "</s>"
+                at = mark.end() if mark else 0
             for start, end in zip(spans[::2], spans[1::2], strict=True):
                 text = unescape(formatted[start:end])
                 loss_chars += len(text)

@@ -1,6 +1,11 @@
 import hashlib
+import subprocess
+import sys
+from pathlib import Path
 
 import public_tokenizers
+import pyarrow as pa
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -43,17 +48,42 @@ def test_awkward_rows_and_the_control_case(spark):
     assert read(df) == wanted([*ROWS, (-7, 0, "user", SAID), (-7, 1, "assistant", SAID)])
 
 
-def test_parts_of_a_long_conversation_are_one_encoding(spark, monkeypatch):
-    whole = chat.format_conversations(frame(spark, ROWS), PATH).where("conv_id = 5").collect()
-    monkeypatch.setattr(chat, "PART_CHARS", 1_000)
-    form = chat._formatter(PATH)
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_pylist([{"conv_id": r[0], "role": r[2], "text": r[3]} for r in ROWS if r[0] == 5])
-    parts = [p for b in form(iter([batch])) for p in b.to_pylist()]
-    assert len(whole) == 1 and len(parts) > 5
-    assert [i for p in parts for i in p["ids"]] == whole[0].ids
-    assert [m for p in parts for m in p["loss"]] == whole[0].loss
+@pytest.mark.parametrize("conv", [5, 6, 7])
+def test_parts_of_a_long_conversation_are_one_encoding(monkeypatch, conv):
+    """Turns that are many, and texts that are long: tokens, masks and texts are those of one encoding."""
+    rows = [*ROWS, (7, 0, "user", "It's a <s>long</s> tale,  told by 3 men\n in don't-care words naïve\u00a0é " * 300), (7, 1, "assistant", "oh  no [INST]ok[/INST] it's 5 o'clock now " * 300)]
+    batch = pa.RecordBatch.from_pylist([{"conv_id": r[0], "role": r[2], "text": r[3]} for r in rows if r[0] == conv])
+    parts = {}
+    for size in (1 << 30, 1_000):
+        monkeypatch.setattr(chat, "PART_CHARS", size)
+        parts[size] = [p for b in chat._formatter(PATH)(iter([batch])) for p in b.to_pylist()]
+    whole, cut = parts.values()
+    assert len(whole) == 1 and len(cut) > 5 and [p["part"] for p in cut] == list(range(len(cut)))
+    assert max(len(p["formatted"]) for p in cut) < 2_500
+    for column in ("ids", "loss"):
+        assert [i for p in cut for i in p[column]] == whole[0][column]
+    assert "".join(p["formatted"] for p in cut) == whole[0]["formatted"]
+
+
+MEASURED = """
+import resource, sys
+import pyarrow as pa
+from terragrain.llm import chat
+text = "some words of a turn that isn't short, naïve as it is. " * 19_000
+form = chat._formatter(sys.argv[1])
+batch = lambda rows: pa.RecordBatch.from_pylist(rows)
+list(form(iter([batch([{"conv_id": 0, "role": "user", "text": text[:1000]}])])))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n = sum(b.num_rows for b in form(batch([{"conv_id": k, "role": "assistant", "text": text}]) for k in range(64)))
+long = sum(b.num_rows for b in form(iter([batch([{"conv_id": 1, "role": "assistant", "text": text * 8}])])))
+print(n, long, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+
+
+def test_memory_is_that_of_a_part():
+    """64 conversations of a million characters each, and one of eight million in one turn, together take less than 300 MB."""
+    n, long, megabytes = map(int, subprocess.run([sys.executable, "-c", MEASURED, PATH], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2]).stdout.split())
+    assert n >= 64 * 3 and long >= 30 and megabytes < 300
 
 
 def test_control_strings_are_only_where_the_template_puts_them(spark):

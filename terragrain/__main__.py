@@ -115,9 +115,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             rings = zones.zone_rings(counties, args.fips_field, states(spark))
             numbered = points.select(predicates.lenient_double(F.col("lon")).alias("lon"), predicates.lenient_double(F.col("lat")).alias("lat"))
             counts = zones.with_states(zones.zone_counts(numbered, zones.edges(rings)), states(spark))
-        page = report.page(report.document(points, args.resolutions, args.n_peaks, args.local_radius, args.local_resolution, zones=counts, boundaries=reduce(DataFrame.union, lines) if lines else None, sigma=args.sigma, power=args.power))
+        found = report.document(points, args.resolutions, args.n_peaks, args.local_radius, args.local_resolution, zones=counts, boundaries=reduce(DataFrame.union, lines) if lines else None, sigma=args.sigma, power=args.power)
         with open(args.output, "w") as f:
-            f.write(page)
+            report.write_page(found, f)
 
 
 if __name__ == "__main__":

@@ -180,6 +180,26 @@ def sparse_payload(grid: DataFrame) -> DataFrame:
     )
 
 
+#: Cells of a tile on each axis.
+TILE = 256
+
+
+def payload_tiles(grid: DataFrame, side: int | None = None) -> DataFrame:
+    """(res, tx, ty, steps, values): the grids in tiles of ``side`` cells on each axis, one row a tile that isn't empty.
+
+    A tile's cells are numbered column by column, (x - tx * side) * side + (y - ty * side); ``steps`` are
+    the differences between the numbers of cells that aren't empty, the first one from 0, and
+    ``values`` their counts. So a row is as large as a tile, whatever the resolution.
+    """
+    side = TILE if side is None else side
+    tile = lambda c: F.floor(F.col(c) / side).cast("int")
+    place = (F.col("x") - F.col("tx") * side) * side + F.col("y") - F.col("ty") * side
+    placed = grid.where("cnt > 0").withColumns({"tx": tile("x"), "ty": tile("y")}).select("res", "tx", "ty", F.struct(place.cast("int").alias("place"), "cnt").alias("c"))
+    cells = placed.groupBy("res", "tx", "ty").agg(F.sort_array(F.collect_list("c")).alias("cells"))
+    steps = F.transform("cells", lambda c, k: c["place"] - F.when(k == 0, 0).otherwise(F.get("cells.place", k - 1)))
+    return cells.select("res", "tx", "ty", steps.alias("steps"), F.col("cells.cnt").alias("values"))
+
+
 def nearest_resolution(grid: DataFrame, wanted: int) -> DataFrame:
     """The resolution at hand that is nearest to the wanted one, the lower of two."""
     return grid.select("res").distinct().orderBy(F.abs(F.col("res") - wanted), "res").limit(1)

@@ -238,6 +238,15 @@ def sparse_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("res", F.to_json("shape").alias("shape"), F.to_json("indices").alias("indices"), F.array_join(F.transform("values", lambda v: v.cast("long").cast("string")), ",").alias("counts"), "max", "sum")
 
 
+@query(
+    "payload_tiles",
+    f"WITH {GRID}, p AS (SELECT res, x // 16 AS tx, y // 16 AS ty, (x % 16) * 16 + y % 16 AS place, cnt FROM grid), s AS (SELECT *, place - coalesce(lag(place) OVER (PARTITION BY res, tx, ty ORDER BY place), 0) AS step FROM p) "
+    "SELECT res, tx, ty, string_agg(step, ',' ORDER BY place) AS steps, string_agg(cnt, ',' ORDER BY place) AS counts FROM s GROUP BY res, tx, ty",
+)
+def payload_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return density.payload_tiles(grid(spark, sf_dir), 16).select("res", "tx", "ty", *[F.array_join(F.transform(c, lambda v: v.cast("string")), ",").alias(n) for c, n in (("steps", "steps"), ("values", "counts"))])
+
+
 @query("nearest_resolution", f"WITH {GRID} SELECT res FROM (SELECT DISTINCT res FROM grid) ORDER BY abs(res - 540), res LIMIT 1")
 def nearest_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.nearest_resolution(grid(spark, sf_dir), 540)
@@ -280,9 +289,11 @@ def zone_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zone_counts(spark, sf_dir).agg(F.sum("points").alias("total"))
 
 
-@query("state_dimension", f"SELECT fip, name, abbrev, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon FROM (VALUES {_STATES}) s(fip, name, abbrev, lat, lon)")
+@query("state_dimension", f"SELECT fip, name, abbrev, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon, n FROM (SELECT lpad(CAST(s_suppkey % 60 AS VARCHAR), 2, '0') AS fip, count(*) AS n FROM supplier GROUP BY 1) JOIN (VALUES {_STATES}) s(fip, name, abbrev, lat, lon) USING (fip)")
 def state_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return states(spark)
+    """The states of the suppliers, if their keys' remainders are state codes."""
+    codes = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(predicates.pad_fips((F.col("s_suppkey") % 60).cast("string")).alias("fip"))
+    return codes.groupBy("fip").agg(F.count(F.lit(1)).alias("n")).join(states(spark), "fip").select("fip", "name", "abbrev", "lat", "lon", "n")
 
 
 # Samples
@@ -417,6 +428,11 @@ def _ramp_sql(channel: int) -> str:
     return f"CASE {cases} END"
 
 
+def _shades_sql() -> str:
+    """The colours of a mesh's vertices: of the ramp at t, as shares of 255, darker below."""
+    return ", ".join(f"round(({_ramp_sql(k)}) / CAST(255 AS DOUBLE) * shade, 6) + 0 AS {c}" for k, c in ((1, "red"), (2, "green"), (3, "blue")))
+
+
 @query("colour_ramp", f"SELECT k, {_ramp_sql(1)} AS red, {_ramp_sql(2)} AS green, {_ramp_sql(3)} AS blue FROM (SELECT k, CAST(k AS DOUBLE) / 99 AS t FROM (SELECT DISTINCT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events))")
 def colour_ramp(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = points(spark, sf_dir).select(F.col("accuracy").cast("int").alias("k")).distinct()
@@ -442,9 +458,11 @@ def label_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nation.select("n_nationkey", display.first_label(abbrev, F.when(key % 2 == 0, ""), F.col("n_name")).alias("label"))
 
 
-@query("cell_labels", "SELECT res, CAST(round(CAST(360 AS DOUBLE) / res, 4) AS VARCHAR) || ' degrees' AS label FROM (VALUES (90), (180), (720), (2880)) r(res)")
+@query("cell_labels", "SELECT res, CAST(round(CAST(360 AS DOUBLE) / res, 4) AS VARCHAR) || ' degrees' AS label, n FROM (SELECT CAST(90 * pow(2, event_id % 6) AS INTEGER) AS res, count(*) AS n FROM events GROUP BY 1)")
 def cell_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(90,), (180,), (720,), (2880,)], "res int").select("res", display.cell_label(F.col("res")).alias("label"))
+    """The labels of the resolutions that events stand for, and how many do."""
+    of_events = _events(spark, sf_dir).groupBy((F.lit(90) * F.pow(F.lit(2.0), F.col("event_id") % 6)).cast("int").alias("res")).agg(F.count(F.lit(1)).alias("n"))
+    return of_events.select("res", display.cell_label(F.col("res")).alias("label"), "n")
 
 
 @query("ranked_bars", f"WITH {POINTS}, c AS (SELECT name, count(*) AS n FROM points GROUP BY name ORDER BY n DESC, name LIMIT 24), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, name) - 1 AS i, count(*) OVER () AS items, max(n) OVER () AS most FROM c) SELECT name, n, round(greatest(0.1, n / most * 1.5), 6) AS length, round(i / items * 2 * pi(), 6) AS angle, round((i % 3 - 1) * CAST(0.15 AS DOUBLE), 6) AS shift FROM r")
@@ -458,11 +476,11 @@ def tile_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).select(zoom.alias("zoom"), display.tile_x(F.col("lon"), zoom).alias("x"), display.tile_y(F.col("lat"), zoom).alias("y")).distinct()
 
 
-@query("density_mesh", f"WITH {BLUR}, k AS (SELECT x, y, z FROM scaled WHERE z >= 0.1), c AS (SELECT x, y, z, unnest(range(8)) AS corner FROM k), p AS (SELECT *, (x + CASE WHEN corner % 4 IN (1, 2) THEN 1 ELSE 0 END) / 180.0 * 360 - 180 AS lon, (y + CASE WHEN corner % 4 IN (2, 3) THEN 1 ELSE 0 END) / 90.0 * 180 - 90 AS lat, CASE WHEN corner < 4 THEN CAST(1.001 AS DOUBLE) ELSE 1 + z * CAST(0.3 AS DOUBLE) END AS r FROM c) SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, corner, round(r * cos(radians(lat)) * cos(radians(-lon)), 6) + 0 AS px, round(r * sin(radians(lat)), 6) + 0 AS py, round(r * cos(radians(lat)) * sin(radians(-lon)), 6) + 0 AS pz FROM p".replace("180.0", "CAST(180 AS DOUBLE)").replace("90.0", "CAST(90 AS DOUBLE)"))
+@query("density_mesh", f"WITH {BLUR}, k AS (SELECT x, y, z FROM scaled WHERE z >= 0.1), c AS (SELECT x, y, z, unnest(range(8)) AS corner FROM k), p AS (SELECT *, (x + CASE WHEN corner % 4 IN (1, 2) THEN 1 ELSE 0 END) / 180.0 * 360 - 180 AS lon, (y + CASE WHEN corner % 4 IN (2, 3) THEN 1 ELSE 0 END) / 90.0 * 180 - 90 AS lat, CASE WHEN corner < 4 THEN CAST(1.001 AS DOUBLE) ELSE 1 + z * CAST(0.3 AS DOUBLE) END AS r, least(1, greatest(0, z)) AS t, CASE WHEN corner < 4 THEN CAST(0.6 AS DOUBLE) ELSE 1 END AS shade FROM c) SELECT " + _shades_sql() + ", CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, corner, round(r * cos(radians(lat)) * cos(radians(-lon)), 6) + 0 AS px, round(r * sin(radians(lat)), 6) + 0 AS py, round(r * cos(radians(lat)) * sin(radians(-lon)), 6) + 0 AS pz FROM p".replace("180.0", "CAST(180 AS DOUBLE)").replace("90.0", "CAST(90 AS DOUBLE)"))
 def density_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = smooth.above(smooth.normalise(_blurred(spark, sf_dir), POWER), 0.1)
     v = mesh.globe_vertices(kept, 180, 90, height_scale=0.3)
-    return v.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("corner").cast("long").alias("corner"), *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("px", "py", "pz")])
+    return v.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("corner").cast("long").alias("corner"), *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("px", "py", "pz", "red", "green", "blue")])
 
 
 @query("mesh_triangles", f"WITH {BLUR} SELECT triangle, count(*) AS n FROM (SELECT unnest(range(10)) AS triangle FROM scaled WHERE z >= 0.1) GROUP BY triangle")
@@ -471,11 +489,11 @@ def mesh_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mesh.triangles(kept).groupBy(F.col("triangle").cast("long").alias("triangle")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("local_mesh", f"WITH {BLUR}, c AS (SELECT x, y, z, unnest(range(8)) AS corner FROM scaled WHERE z >= 0.1) SELECT CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, corner, round(((x + CASE WHEN corner % 4 IN (1, 2) THEN 1 ELSE 0 END) / CAST(180 AS DOUBLE) - 0.5) * 8, 6) + 0 AS px, round(((y + CASE WHEN corner % 4 IN (2, 3) THEN 1 ELSE 0 END) / CAST(90 AS DOUBLE) - 0.5) * 4, 6) + 0 AS py, round(CASE WHEN corner < 4 THEN 0 ELSE z * CAST(2 AS DOUBLE) END, 6) + 0 AS pz FROM c")
+@query("local_mesh", f"WITH {BLUR}, c AS (SELECT x, y, z, unnest(range(8)) AS corner FROM scaled WHERE z >= 0.1), d AS (SELECT *, least(1, greatest(0, z)) AS t, CASE WHEN corner < 4 THEN CAST(0.5 AS DOUBLE) ELSE 1 END AS shade FROM c) SELECT " + _shades_sql() + ", CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, corner, round(((x + CASE WHEN corner % 4 IN (1, 2) THEN 1 ELSE 0 END) / CAST(180 AS DOUBLE) - 0.5) * 8, 6) + 0 AS px, round(((y + CASE WHEN corner % 4 IN (2, 3) THEN 1 ELSE 0 END) / CAST(90 AS DOUBLE) - 0.5) * 4, 6) + 0 AS py, round(CASE WHEN corner < 4 THEN 0 ELSE z * CAST(2 AS DOUBLE) END, 6) + 0 AS pz FROM d")
 def local_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = smooth.above(smooth.normalise(_blurred(spark, sf_dir), POWER), 0.1)
     v = mesh.plane_vertices(kept, 180, 90, height_scale=0.5, aspect=0.5)
-    return v.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("corner").cast("long").alias("corner"), *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("px", "py", "pz")])
+    return v.select(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("corner").cast("long").alias("corner"), *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("px", "py", "pz", "red", "green", "blue")])
 
 
 @query("bar_labels", f"WITH {POINTS}{ZONES} SELECT fip, points, abbrev AS label FROM (SELECT CASE zone WHEN 'Z1' THEN '48' ELSE '06' END AS fip, points FROM counts) JOIN (VALUES {_STATES}) s(fip, name, abbrev, lat, lon) USING (fip)")
@@ -631,13 +649,14 @@ def stream_every_nth(spark: SparkSession, sf_dir: str) -> DataFrame:
     "coalesce((SELECT string_agg(points, ',' ORDER BY points DESC) FROM counts), '') AS states, (SELECT string_agg(n, ',' ORDER BY res) FROM (SELECT res, count(*) AS n FROM grid GROUP BY res)) AS cells, (SELECT string_agg(s, ',' ORDER BY res) FROM (SELECT res, CAST(sum(cnt) AS BIGINT) AS s FROM grid GROUP BY res)) AS sums",
 )
 def report_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the report's one document says, read back from its JSON text."""
+    """What the report's document and tiles say, read back from their JSON texts."""
     text = report.document(points(spark, sf_dir), list(RESOLUTIONS), zones=zone_top(spark, sf_dir))
-    kind = "total_points long, peaks array<struct<rank:int,cnt:long>>, local_views array<struct<rank:int,total_points:long>>, state_counts array<struct<points:long>>, histograms map<string,struct<values:array<double>,sum:double>>"
-    doc = text.select(F.from_json("document", kind).alias("d")).select("d.*")
-    joined = lambda c: F.array_join(F.transform(c, lambda v: v.cast("long").cast("string")), ",")
-    by_res = F.array(*[F.col("histograms")[str(r)] for r in RESOLUTIONS])
-    return doc.select(
-        "total_points", joined(F.col("peaks.cnt")).alias("peaks"), joined(F.col("local_views.total_points")).alias("views"), joined(F.col("state_counts.points")).alias("states"),
-        joined(F.transform(by_res, lambda h: F.size(h["values"]))).alias("cells"), joined(F.transform(by_res, lambda h: h["sum"])).alias("sums"),
+    kind = "total_points long, peaks array<struct<rank:int,cnt:long>>, local_views array<struct<rank:int,total_points:long>>, state_counts array<struct<points:long>>, res int, values array<long>"
+    doc = text.select("part", F.from_json("document", kind).alias("d")).select("part", "d.*")
+    joined = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",")
+    head = {"peaks": "peaks.cnt", "views": "local_views.total_points", "states": "state_counts.points"}
+    of_grids = lambda f: F.array_join(F.array(*[F.sum(F.when(F.col("res") == r, f)).cast("string") for r in RESOLUTIONS]), ",")
+    return doc.agg(
+        F.max("total_points").alias("total_points"), *[F.max(F.when(F.col("part") == 0, joined(F.col(c)))).alias(n) for n, c in head.items()],
+        of_grids(F.size("values")).alias("cells"), of_grids(F.aggregate("values", F.lit(0).cast("long"), lambda a, v: a + v)).alias("sums"),
     )

@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 #: Tables of few rows show too little at the smallest size.
 LARGER = "/root/testdata/sf0.01"
-FEW_ROWS = {"boundary_on_sphere", "zone_rings", "dissolved_zones"}
+FEW_ROWS = {"boundary_on_sphere", "zone_rings", "dissolved_zones", "state_dimension"}
 
 
 def connect(folder):

@@ -190,6 +190,23 @@ def test_report_round_trip(spark):
     assert len(doc["shown"]) > 2 and max(c["z"] for c in doc["shown"]) == 1.0
 
 
+def test_a_full_grid_comes_in_small_rows_and_back(spark, monkeypatch):
+    """All cells of resolution 8640 are full: rows stay below 16 MB; and a smaller page reads the same back."""
+    whole = spark.range(0, 1, 1, 1).select(F.explode(F.sequence(F.lit(0), F.lit(255))).alias("x")).select(F.lit(8640).alias("res"), (F.col("x") + 8192).alias("x"), F.explode(F.sequence(F.lit(4096), F.lit(4319))).alias("y"), F.lit(10**12).alias("cnt"))
+    tile = density.payload_tiles(whole).select(F.length(F.to_json(F.struct("*"))).alias("n")).collect()
+    assert len(tile) == 1 and tile[0]["n"] < 16 << 20
+    assert 8640 // density.TILE * (4320 // density.TILE) < 600  # full tiles of the whole grid, each a row like that one
+    monkeypatch.setattr(density, "TILE", 8)
+    points = spark.range(720).selectExpr("id % 24 * 15.0D - 172.5D AS lon", "id % 12 * 15.0D - 82.5D AS lat")
+    doc = report.load_page(report.page(report.document(points, [24, 48], n_peaks=1, local_resolution=4)))
+    counted = {}
+    for r in density.histogram(points, [24, 48]).collect():
+        counted.setdefault(str(r["res"]), []).append(([r["x"], r["y"]], r["cnt"]))
+    for res, cells in counted.items():
+        got = doc["histograms"][res]
+        assert list(zip(got["indices"], got["values"], strict=True)) == sorted(cells)
+
+
 def test_states(spark):
     assert states(spark).count() == 49
 

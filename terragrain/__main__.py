@@ -121,4 +121,5 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 if __name__ == "__main__":
-    run(SparkSession.builder.appName("terragrain").getOrCreate(), parser().parse_args())
+    # Room for a million cells in the hash tables that tasks count points in.
+    run(SparkSession.builder.appName("terragrain").config("spark.sql.codegen.aggregate.fastHashMap.capacityBit", "20").getOrCreate(), parser().parse_args())

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +21,7 @@ def lenient_double(text: Column) -> Column:
     for hexadecimal ones; only the others are held against it.
     """
     text = text.cast("string")
-    plain = F.right(text, F.lit(1)).between("0", "9") & ~text.contains("x") & ~text.contains("X")
+    plain = reduce(or_, [text.endswith(digit) for digit in "0123456789"]) & ~text.contains("x") & ~text.contains("X")
     return F.when(plain | text.rlike(NUMBER), text.try_cast("double"))
 
 

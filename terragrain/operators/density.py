@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.binning import bin_index, cell_of, centre_of, contains_grid
-from ..functions.predicates import computed, in_world, lenient_double
+from ..functions.predicates import in_world, lenient_double
 
 KM_PER_DEGREE = 111.0
 
@@ -16,24 +16,31 @@ KM_PER_DEGREE = 111.0
 def valid_points(points: DataFrame) -> DataFrame:
     """Points whose lon and lat are numbers, or texts that are, within the world."""
     kinds = dict(points.dtypes)
-    if any(kinds[c] != "double" for c in ("lon", "lat")):
-        points = computed(points, **{c: lenient_double(F.col(c)) for c in ("lon", "lat")}).select(*points.columns)
-    return points.where(in_world(F.col("lon"), F.col("lat")))
+    within = in_world(F.col("lon"), F.col("lat"))
+    if all(kinds[c] == "double" for c in ("lon", "lat")):
+        return points.where(within)
+    # A filter that asks for the partition isn't moved before the numbers are made of texts, which happens once then.
+    numbers = points.withColumns({c: lenient_double(F.col(c)) for c in ("lon", "lat")} | {"_partition": F.spark_partition_id()})
+    return numbers.where(within & (F.col("_partition") >= 0)).drop("_partition")
 
 
-def _cells(resolutions: Iterable[int]) -> Column:
-    out = []
-    for r in resolutions:
-        x, y = cell_of(F.col("lon"), F.col("lat"), r)
-        out.append(F.struct(F.lit(r).alias("res"), x.alias("x"), y.alias("y")))
-    return F.array(*out)
+#: Bits of a resolution and of a cell's numbers in the one number that stands for a cell while points are counted.
+CELL_BITS = 20
 
 
-def _coarser(base: int, others: list[int]) -> Column:
+def _packed(resolution: int, x: Column, y: Column) -> Column:
+    return F.lit(resolution << 2 * CELL_BITS) + F.shiftleft(x.cast("long"), CELL_BITS) + y.cast("long")
+
+
+def _unpacked(cells: DataFrame) -> DataFrame:
+    part = lambda k: F.shiftright("cell", k * CELL_BITS).bitwiseAND(F.lit((1 << CELL_BITS) - 1)).cast("int")
+    return cells.select(part(2).alias("res"), part(1).alias("x"), part(0).alias("y"), "cnt")
+
+
+def _and_coarser(base: int, others: list[int]) -> Column:
     """A cell of ``base`` and the cells of the coarser grids around it."""
-    own = [F.struct("res", "x", "y")]
-    own += [F.struct(F.lit(r).alias("res"), F.floor(F.col("x") / (base // r)).cast("int").alias("x"), F.floor(F.col("y") / (base // r)).cast("int").alias("y")) for r in others]
-    return F.array(*own)
+    around = [_packed(r, F.floor(F.col("x") / (base // r)), F.floor(F.col("y") / (base // r))) for r in others]
+    return F.array(_packed(base, F.col("x"), F.col("y")), *around)
 
 
 def bases(resolutions: Iterable[int]) -> dict[int, list[int]]:
@@ -49,9 +56,18 @@ def bases(resolutions: Iterable[int]) -> dict[int, list[int]]:
 
 
 def cell_counts(points: DataFrame, resolutions: Iterable[int]) -> DataFrame:
-    """(res, x, y, cnt) of every non-empty cell, with every point put into a cell of every resolution."""
-    each = valid_points(points).select(F.explode(_cells(resolutions)).alias("c"))
-    return each.groupBy(F.col("c.res").alias("res"), F.col("c.x").alias("x"), F.col("c.y").alias("y")).agg(F.count(F.lit(1)).alias("cnt"))
+    """(res, x, y, cnt) of every non-empty cell, with every point put into a cell of every resolution.
+
+    Cells are counted by one long, for which Spark's generated code has a hash table of its own; more
+    than 65,536 different cells a task fit in it with a larger
+    ``spark.sql.codegen.aggregate.fastHashMap.capacityBit``.
+    """
+    wanted = list(resolutions)
+    if any(not 1 < r < 1 << CELL_BITS for r in wanted):
+        raise ValueError(f"resolutions must lie between 2 and {(1 << CELL_BITS) - 1}")
+    cells = [_packed(r, *cell_of(F.col("lon"), F.col("lat"), r)) for r in wanted]
+    each = valid_points(points).select((cells[0] if len(cells) == 1 else F.explode(F.array(*cells))).alias("cell"))
+    return _unpacked(each.groupBy("cell").agg(F.count(F.lit(1)).alias("cnt")))
 
 
 def with_coarser(counts: DataFrame, within: dict[int, list[int]]) -> DataFrame:
@@ -60,10 +76,10 @@ def with_coarser(counts: DataFrame, within: dict[int, list[int]]) -> DataFrame:
         return counts
     around = None
     for base, others in within.items():
-        cells = _coarser(base, others)
+        cells = _and_coarser(base, others)
         around = F.when(F.col("res") == base, cells) if around is None else around.when(F.col("res") == base, cells)
-    spread = counts.select(F.explode(around).alias("c"), "cnt")
-    return spread.groupBy(F.col("c.res").alias("res"), F.col("c.x").alias("x"), F.col("c.y").alias("y")).agg(F.sum("cnt").alias("cnt"))
+    spread = counts.select(F.explode(around).alias("cell"), "cnt")
+    return _unpacked(spread.groupBy("cell").agg(F.sum("cnt").alias("cnt")))
 
 
 def histogram(points: DataFrame, resolutions: Iterable[int]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import SKIPPED_FIPS, pad_fips
+from ..sources.folders import written
 from .zone_cells import cell_index, locate
 
 
@@ -48,8 +49,10 @@ def points_in_zones(points: DataFrame, zone_edges: DataFrame, index: DataFrame |
     index = cell_index(zone_edges) if index is None else index
     west, east, south, north = zone_edges.agg(F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2")), F.min(F.least("y1", "y2")), F.max(F.greatest("y1", "y2"))).first()
     near = F.col("lon").between(west, east) & F.col("lat").between(south, north)
-    located = locate(points.where(near).groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("n")), index)
+    located = written(locate(points.where(near).groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("n")), index), "located")
     unsure = located.where("NOT sure").select("lon", "lat", "n", "zone")
+    if unsure.isEmpty():
+        return located.select("lon", "lat", "zone", "n")
     settled = by_bands(unsure.select("lon", "lat", "n").distinct(), zone_edges).join(unsure.select("lon", "lat", "zone"), ["lon", "lat", "zone"], "left_semi")
     return located.where("sure").select("lon", "lat", "zone", "n").unionByName(settled.select("lon", "lat", "zone", "n"))
 

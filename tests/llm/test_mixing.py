@@ -52,6 +52,39 @@ def test_targets_caps_and_reruns(spark):
         assert abs(taken[s] - target[s]) <= 2 * 17
 
 
+def test_rows_without_an_id_come_near_their_targets(spark):
+    rows = [(None, "w " * 9 + f"{s}{i}", "en", s, 1) for s in "ab" for i in range(100)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, DOCUMENTS)).collect()
+    for target in {r.target for r in got}:
+        assert abs(sum(r.taken for r in got if r.target == target) - target) <= 20
+    assert in_spark(documents(spark, rows)) == in_sql(rows)
+
+
+@pytest.mark.parametrize("alike, fan", [(3, 2), (7, 5), (1024, 4096)])
+def test_rows_alike_are_units_of_their_own(spark, monkeypatch, alike, fan):
+    """A third of all rows has one text and no id, others repeat an id, with one text or several."""
+    monkeypatch.setattr(mixing, "ALIKE", alike)
+    monkeypatch.setattr(mixing, "FAN", fan)
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 60)
+    rows = [(None, "one text that is everywhere", "en", "hot", 1)] * 150 + [(7, "w " * (1 + i % 3), "en", "hot", 1) for i in range(60)]
+    rows += [(i, "w " * (i % 13), "en", f"s{i % 3}" if i % 7 else None, 1) for i in range(200)] + [(9, "same", "en", "s1", 1)] * 30
+    df = documents(spark, rows).repartition(5)
+    got = in_spark(df)
+    assert got == in_sql(rows)
+    sums = {}
+    for r in got:
+        sums[r[2:4]] = sums.get(r[2:4], 0) + r[4]
+    assert all(abs(taken - target) <= 26 for (_, target), taken in sums.items())
+    drawn = mixing.draw_mix(df)
+    planned = {}
+    for r in got:
+        planned[repr(r[0])] = planned.get(repr(r[0]), 0) + r[4]
+    words = {}
+    for r in drawn.select("doc_id", "text").collect():
+        words[repr(r.doc_id)] = words.get(repr(r.doc_id), 0) + len((r.text or "").split())
+    assert {i: n for i, n in words.items() if n} == {i: n for i, n in planned.items() if n}
+
+
 def test_drawn_rows_keep_their_columns(spark):
     docs = documents(spark, clashing=True)
     drawn = mixing.draw_mix(docs)

@@ -42,6 +42,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there, on whichever store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
 #: Paths of the ``scratch`` blocks that are open, from the outermost.
 _blocks: list[list[str]] = []
 

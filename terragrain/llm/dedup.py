@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, hot_keys, keep, materialise, min_by_order, scratch, settings, split_join
+from .common import exists, fresh_path, hot_keys, keep, materialise, min_by_order, scratch, settings, split_join
 
 #: Keyed state on disk; many small stores shouldn't each reserve disk ahead of need.
 STATE = {
@@ -22,6 +22,9 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
+#: Bits of a locator that number the rows of a part, as Spark's increasing ids do.
+PART_BITS = 33
+
 
 def normalised(text: Column) -> Column:
     """``text`` with every run of white space as one space, null as empty; a lone space is left as it is."""
@@ -33,11 +36,18 @@ def sha256_digest(text: Column) -> Column:
 
 
 def stage(docs: DataFrame, path: str, text: str = "text", digest: Callable[[Column], Column] = sha256_digest) -> None:
-    """Adds to the staged table at ``path``: the columns of ``docs`` under ``row`` and, beside them, locator and digest."""
+    """Adds to the staged table at ``path``: the columns of ``docs`` under ``row`` and, beside them, locator and digest.
+
+    A row keeps its locator for good, and later calls go on behind the greatest part (the upper 31
+    bits) of those before, so locators tell the rows of all calls apart. Calls follow one another.
+    """
+    spark = docs.sparkSession
+    before = spark.read.schema("locator long").parquet(path).agg(F.max("locator")).first()[0] if exists(spark, path) else None
+    start = 0 if before is None else ((before >> PART_BITS) + 1) << PART_BITS
     sha = F.sha2(normalised(F.col(text)), 256)
     key = sha if digest is sha256_digest else digest(normalised(F.col(text)))
     docs.select(
-        F.monotonically_increasing_id().alias("locator"),
+        (F.monotonically_increasing_id() + F.lit(start).cast("long")).alias("locator"),
         key.alias("digest"),
         sha.alias("text_sha256"),
         F.struct(*[F.col(c) for c in docs.columns]).alias("row"),

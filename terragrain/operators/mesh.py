@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.display import colour, first_label, human_count, sphere, tile_lat, tile_lon, tile_x, tile_y
+from ..functions.predicates import computed
 
 #: Corners of a column of the mesh: 0 to 3 below, 4 to 7 above; these take the east or north edge of the cell.
 EAST, NORTH = (1, 2), (2, 3)
@@ -53,7 +54,7 @@ def triangles(cells: DataFrame) -> DataFrame:
 def ring_on_sphere(lines: DataFrame, radius: float = 1.0) -> DataFrame:
     """Boundary lines (line: array of [lon, lat]) as arrays of positions; lines of one point go."""
     at = lambda p: F.struct(*[c.alias(n) for n, c in sphere(p[0].cast("double"), p[1].cast("double"), radius).items()])
-    return lines.where(F.size("line") >= 2).withColumn("positions", F.transform("line", at))
+    return computed(lines.where(F.size("line") >= 2), positions=F.transform("line", at))
 
 
 def ranked_bars(counts: DataFrame, most: int = 24) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.predicates import SKIPPED_FIPS, pad_fips
+from ..functions.predicates import SKIPPED_FIPS, computed, pad_fips
 from ..sources.folders import written
 from .zone_cells import cell_index, locate
 
@@ -69,11 +69,17 @@ def with_states(counts: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def decimate(rings: DataFrame, factor: int) -> DataFrame:
-    """Boundary lines: every len // factor-th point, single precision; short rings go."""
-    usable = rings.where(F.size("points") >= 4)
+    """Boundary lines: every len // factor-th point, single precision; short rings go.
+
+    Points and line are worked out once a ring: a copy of what the points are made of, inside the
+    function that looks at every point, would take time with the square of their number.
+    """
     step = F.greatest(F.lit(1), F.floor(F.size("points") / factor).cast("int"))
-    kept = usable.withColumn("step", step).withColumn("line", F.filter("points", lambda p, i: i % F.col("step") == 0))
-    return kept.where(F.size("line") >= 3).withColumn("line", F.transform("line", lambda p: p.cast("array<float>"))).drop("step", "points")
+    usable = computed(computed(rings, points=F.col("points")).where(F.size("points") >= 4), step=step)
+    # Beyond two steps, a third point is kept.
+    kept = usable.where(F.size("points") > 2 * F.col("step"))
+    line = F.when(F.col("step") == 1, F.col("points")).otherwise(F.filter("points", lambda p, i: i % F.col("step") == 0))
+    return computed(kept, line=line.cast("array<array<float>>")).drop("step", "points")
 
 
 def boundary_lines(rings: DataFrame, factor: int, fips: str | None = None) -> DataFrame:

@@ -552,7 +552,9 @@ def _shape_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     around = F.transform(F.sequence(F.lit(0), F.lit(2) + key % 200), lambda k: F.array((key % 60 - F.lit(130)).cast("double") + F.cos(step * k), (F.lit(25) + key % 20).cast("double") + F.sin(step * k)))
     kind = F.when(key % 7 == 0, 3).when(key % 2 == 0, 5).otherwise(15)
     code = F.when(key % 13 == 0, "02").when(key % 11 == 0, "2").when(key % 3 == 0, "1").otherwise("48")
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(key.alias("record"), F.lit(0).alias("ring"), kind.alias("kind"), around.alias("points"), F.create_map(F.lit("STATEFP"), code).alias("attributes"))
+    # A small file is read by one task, and its rows become a hundred times as many corners: all cores share them.
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey").repartition(spark.sparkContext.defaultParallelism, "s_suppkey")
+    return suppliers.select(key.alias("record"), F.lit(0).alias("ring"), kind.alias("kind"), around.alias("points"), F.create_map(F.lit("STATEFP"), code).alias("attributes"))
 
 
 _SHAPES = """shapes AS (SELECT CAST(s_suppkey AS INTEGER) AS record, CASE WHEN s_suppkey % 7 = 0 THEN 3 WHEN s_suppkey % 2 = 0 THEN 5 ELSE 15 END AS kind,

@@ -52,6 +52,16 @@ def test_decimation(spark):
     assert got == {4: [0, 1, 2, 3], 200: list(range(0, 200, 2))}
 
 
+def test_what_points_are_made_of_is_worked_out_once_a_ring(spark):
+    """Points that are computed, as the ring's number many; each is made once, not once for every point that is looked at."""
+    made = spark.range(3, 303).select(F.col("id").alias("ring"), F.transform(F.sequence(F.lit(1), F.col("id")), lambda k: F.array(F.cbrt(k.cast("double")), F.lit(0.0))).alias("points"))
+    lines = mesh.ring_on_sphere(zones.decimate(made, 80), 1.5)
+    got = {r.ring: len(r.positions) for r in lines.collect()}
+    assert got == {n: -(-n // max(1, n // 80)) for n in range(4, 303)}
+    plan = lines.select("ring", F.explode("positions").alias("p"))._jdf.queryExecution().optimizedPlan().toString().upper()
+    assert plan.count("CBRT(") == 1 and plan.count("SIN(") == 2  # height and depth
+
+
 def test_colours_and_labels(spark):
     z = spark.createDataFrame([(-1.0,), (0.0,), (0.075,), (0.15,), (1.0,), (2.0,)], "z double").select(display.colour(F.col("z")).alias("c"))
     assert [tuple(r.c) for r in z.collect()] == [(40, 60, 100), (40, 60, 100), (50, 80, 130), (60, 100, 160), (255, 255, 200), (255, 255, 200)]

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -40,6 +40,8 @@ NUMERATOR, DENOMINATOR = 4, 5
 BUCKET_BYTES = 6_000_000
 #: Shingles that a task gathers before it sends them.
 BATCH_SHINGLES = 500_000
+#: Sets that a Bloom filter tells apart from the others, at most: 8 MB; with many more, it lets most rows pass.
+BLOOM_ITEMS = 8_000_000
 #: Rounds against pivots before what is left is compared in full.
 PIVOT_ROUNDS = 2
 #: Bytes of a long text, and words, that are looked up together.
@@ -259,6 +261,19 @@ def _tokens(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     _digests().clear()
 
 
+def rows_of_sets(rows: DataFrame, ids: DataFrame, name: str, make: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """What ``make`` makes of those rows (set_id, ...) whose set is in the materialised, distinct ``ids`` (set_id, not negative), as a table.
+
+    Texts and shingles are long and mostly not wanted, so Spark drops the others by a Bloom filter of
+    the ids before it shuffles any. It makes one only from a side with a filter, which here holds for
+    every row.
+    """
+    items = min(max(ids.count(), 1_000), BLOOM_ITEMS)
+    bloom = {"enabled": "true", "applicationSideScanSizeThreshold": "0", "creationSideThreshold": "1t", "expectedNumItems": items, "maxNumItems": BLOOM_ITEMS, "numBits": 8 * items, "maxNumBits": 8 * BLOOM_ITEMS}
+    with settings(rows.sparkSession, SMALL_BATCHES | {f"spark.sql.optimizer.runtime.bloomFilter.{k}": str(v) for k, v in bloom.items()}):
+        return materialise(make(rows.join(ids.where("set_id >= 0"), "set_id", "left_semi")), name)
+
+
 def distinct_sets(staged: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The different sets that may be similar to another: (set_id, key_hi, key_lo, n, members, first) and (set_id, tokens, text).
 
@@ -269,10 +284,7 @@ def distinct_sets(staged: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFr
     reps = is_alike(sets).groupBy("key_hi", "key_lo").agg(F.min("locator").alias("set_id"), F.min("n").alias("n"), F.count(F.lit(1)).alias("members"), first)
     reps = materialise(reps, "reps")
     texts = staged.select(F.col("locator").alias("set_id"), F.col("row.text").alias("text"))
-    # Where the sets are few enough for a Bloom filter, Spark drops the other texts before it shuffles.
-    with settings(staged.sparkSession, SMALL_BATCHES | {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}):
-        found = texts.join(reps.select("set_id"), "set_id").mapInArrow(task("jaccard", _tokens), "set_id long, tokens array<long>, text string")
-        return reps, materialise(found, "tokens")
+    return reps, rows_of_sets(texts, reps.select("set_id"), "tokens", lambda found: found.mapInArrow(task("jaccard", _tokens), "set_id long, tokens array<long>, text string"))
 
 
 def prefixes(reps: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -317,6 +329,8 @@ def _with_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verify(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     """Those of the distinct, materialised pairs (a, b) whose whole sets are similar: by their hashes, then by their words."""
     hot_a, hot_b = (hot_keys_of(pairs, [k]) for k in "ab")
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), "paired")
+    tokens = rows_of_sets(tokens, ids, "paired-tokens")
 
     def beside(rows: DataFrame, column: str) -> DataFrame:
         right = split_join(rows, tokens.select(F.col("set_id").alias("b"), F.col(column).alias(f"{column}_b")), ["b"], "a", hot_b)

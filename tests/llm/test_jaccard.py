@@ -73,6 +73,23 @@ def test_many_small_batches_and_buckets(spark, monkeypatch):
     assert got(documents(spark, rows)) == brute_force(rows)
 
 
+def test_only_texts_and_shingles_that_are_wanted_are_shuffled(spark, monkeypatch):
+    """Where no side is small enough for a broadcast, a Bloom filter drops the other rows before the join."""
+    plans = {}
+    write = jaccard.materialise
+
+    def watch(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(jaccard, "materialise", watch)
+    rows = corpus(5)
+    with common.settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        assert got(documents(spark, rows)) == brute_force(rows)
+    assert plans["tokens"] and all("might_contain" in p for p in plans["tokens"])
+    assert plans["paired-tokens"] and all("might_contain" in p for p in plans["paired-tokens"])
+
+
 def test_awkward_rows(spark):
     assert got(documents(spark, clashing=True)) == brute_force(AWKWARD)
 

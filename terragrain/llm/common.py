@@ -138,6 +138,15 @@ def settings(spark: SparkSession, values: dict[str, str]):
 #: Arrow batches of long texts are kept small, as both sides of a Python stage hold one or two of them.
 SMALL_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
+
+def stay_small(spark: SparkSession) -> None:
+    """SMALL_BATCHES from now on, unless the session's batches are smaller: for a result that is computed when the caller reads it."""
+    for k, v in SMALL_BATCHES.items():
+        now = int(spark.conf.get(k))
+        if now <= 0 or now > int(v):
+            spark.conf.set(k, v)
+
+
 #: What operators remember in a Python worker from task to task, by operator, with the way to drop it.
 _remembered: dict[str, Callable[[], None]] = {}
 

@@ -442,7 +442,7 @@ def link_sets(reps: DataFrame, tokens: DataFrame) -> DataFrame:
             links = found if links is None else links.union(found)
             labels = components(links)
         elif labels is None:
-            labels = spark.createDataFrame([], "id long, label long")
+            labels = spark.range(0).select("id", F.col("id").alias("label"))
         tried, pairs = pairs if tried is None else tried.union(pairs), None
     return labels
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-from .common import SMALL_BATCHES, materialise, scratch, settings, task, text_slices
+from .common import SMALL_BATCHES, materialise, scratch, settings, stay_small, task, text_slices
 
 ORDERS = (2, 3, 4)
 #: Labelled documents per language that training reads, in expectation.
@@ -36,8 +36,8 @@ HASHES = 2
 #: A text is rejected where its winner's share of n-grams lies, by this many standard errors, below
 #: LEAST_SHARE of what the language's own texts have. Overlapping n-grams count as one of DEPENDENT.
 LEAST_SHARE, ERRORS, DEPENDENT = 0.5, 4.0, 6
-#: Characters that one vectorised pass looks at.
-CHARS_AT_ONCE = 1 << 18
+#: Characters that one vectorised pass looks at: some 300 bytes of a Python worker's memory each.
+CHARS_AT_ONCE = 1 << 16
 
 
 @lru_cache(maxsize=1)
@@ -223,7 +223,9 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageFilter
     languages = sorted(counts)
     if not languages:
         return LanguageFilters([], np.zeros((1 << LEAST_SLOTS_LOG2, 1), dtype=np.uint64))
-    chance = spark.createDataFrame([(x, min(1.0, sample_docs / counts[x]), k) for k, x in enumerate(languages)], "lang string, chance double, bit int")
+    # From Arrow columns; rows of Python objects would start Python workers that only read them, and stay for a while.
+    chances = [pa.array(languages, pa.string()), pa.array([min(1.0, sample_docs / counts[x]) for x in languages]), pa.array(range(len(languages)), pa.int32())]
+    chance = spark.createDataFrame(pa.table(chances, names=["lang", "chance", "bit"]))
     chosen = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < F.col("chance") * (1 << 20)
     with scratch(spark):
         sample = materialise(labelled.join(F.broadcast(chance), "lang").where(chosen).select("text", "bit"), "lang-sample")
@@ -290,6 +292,10 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
     That drops null and empty texts, texts without letters, texts with none of the winner's n-grams,
     and texts long enough to tell that they have too few of them. Short texts with little evidence stay.
+
+    Whole rows go through Python while the caller reads the result, so the session's Arrow batches are
+    small from then on (``stay_small``).
     """
+    stay_small(docs.sparkSession)
     packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
     return predict(packed, fit(docs)).where((F.col("lang_pred") != "und") & F.col("clear")).select("row.*")

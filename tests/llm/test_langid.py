@@ -1,10 +1,12 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from terragrain.llm import langid
+from terragrain.llm import common, langid
 
 from .cases import AWKWARD, documents
 
@@ -107,3 +109,45 @@ def test_pipeline_stage_keeps_columns_and_clean_rows(spark):
     assert kept.columns == docs.columns
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
     assert {1, 2, 8, 11} <= ids and not {3, 4, 5, 7} & ids
+
+
+def test_whole_rows_go_through_python_in_small_batches(spark):
+    """Also where the caller computes the result, and no larger than the session's own."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.union(docs).union(docs).coalesce(1)
+
+    def sizes(batches):
+        yield pa.RecordBatch.from_pydict({"rows": [b.num_rows for b in batches]})
+
+    def largest():
+        return langid.keep_identified(docs).mapInArrow(sizes, "rows long").agg(F.max("rows")).first()[0]
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    with common.settings(spark, {key: "10000"}):
+        assert 0 < largest() <= 1000
+    with common.settings(spark, {key: "70"}):
+        assert 0 < largest() <= 70
+
+
+def test_training_starts_no_workers_for_rows_of_python_objects(spark, monkeypatch):
+    plans = {}
+    write = langid.materialise
+
+    def watch(df, name):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(langid, "materialise", watch)
+    langid.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert "lang-sample" in plans and "LogicalRDD" not in plans["lang-sample"]
+
+
+def test_a_pass_over_letters_takes_little_memory():
+    texts = ["".join(chr(97 + (k * k + i) % 26) for k in range(1 << 14)) for i in range(64)]
+    filters = langid.LanguageFilters(["a", "b"], np.arange(1 << 16, dtype=np.uint64).reshape(-1, 1) & np.uint64(3))
+    langid.letters()
+    tracemalloc.start()
+    filters.shares(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 32 << 20
